@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, line_dedup, mpeg, token_counts
+from terraloom.llm import bpe, language, line_dedup, mpeg, packing, token_counts
 from terraloom.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.evaluated(table(spark, sf_dir, "documents"))
+
+
 def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digests(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op5_line_dedup": op5_line_dedup,
+    "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op7_language_id": op7_language_id,
     "op8_mpeg_media": op8_mpeg_media,
     "op10_token_counts": op10_token_counts,
 }
