@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, language, line_dedup, mpeg, packing, token_counts
+from terraloom.llm import bpe, chat, language, line_dedup, mpeg, packing, token_counts, topk
 from terraloom.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.unionByName(chat.probe_conversation(spark))))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -30,16 +35,22 @@ def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op4_chat_windows": op4_chat_windows,
     "op5_line_dedup": op5_line_dedup,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_language_id": op7_language_id,
     "op8_mpeg_media": op8_mpeg_media,
+    "op9_mtree_top_k": op9_mtree_top_k,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -58,4 +69,15 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.key IS NULL OR doc_id = last), '')) AS kept_sha256
         FROM k LEFT JOIN r USING (key) GROUP BY doc_id
     """,
+    "op9_mtree_top_k": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
 }
