@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, chat, language, line_dedup, mpeg, packing, token_counts, topk
+from terraloom.llm import bpe, chat, language, line_dedup, mpeg, packing, substring_dedup, token_counts, topk
 from terraloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.windows(turns.unionByName(chat.probe_conversation(spark))))
@@ -45,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_de_bruijn_dedup": op2_de_bruijn_dedup,
     "op4_chat_windows": op4_chat_windows,
     "op5_line_dedup": op5_line_dedup,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
@@ -55,6 +60,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_de_bruijn_dedup": """
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), k AS (
+            SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i, w FROM w WHERE len(w) >= 13
+        ), k2 AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS kmer FROM k
+        ), f AS (
+            SELECT kmer, min(doc_id) AS first FROM k2 GROUP BY kmer
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM k2 JOIN f USING (kmer) WHERE first < doc_id
+        ), x AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w WHERE len(w) > 0
+        ), r AS (
+            SELECT x.doc_id, count(*) AS n_words, count(gone.i) AS n_removed,
+                sha256(coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
+            FROM x LEFT JOIN gone USING (doc_id, i) GROUP BY x.doc_id
+        )
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM w LEFT JOIN r USING (doc_id)
+    """,
     "op5_line_dedup": """
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
