@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, chat, language, line_dedup, mpeg, packing, substring_dedup, token_counts, topk
+from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, substring_dedup, token_counts, topk
 from terraloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.windows(turns.unionByName(chat.probe_conversation(spark))))
@@ -50,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_de_bruijn_dedup": op2_de_bruijn_dedup,
+    "op3_lsh_forest_join": op3_lsh_forest_join,
     "op4_chat_windows": op4_chat_windows,
     "op5_line_dedup": op5_line_dedup,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
