@@ -32,31 +32,71 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces that one shard packs, on average.
 SHARD_PIECES = 50_000
 #: White-space chunks that one worker remembers, and the longest in code points.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
 class ChunkCoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    Texts within Latin-1 have ASCII capitals lowered before they are cut, as the tokenizer would do (beyond
+    Latin-1, marks could compose differently). The unknown words of some texts go through the library in one call
+    and are told apart by the tokens that end a word."""
 
     def __init__(self, folder: str | None, name: str):
-        import regex
+        import re
 
         self.coder = tokenizer(name, folder)
         self.memory = Memory(self.code, REMEMBERED)
-        self.odd = regex.compile(r"[\x1c-\x1f]").search  # Python's split takes these for white space
-        self.split = regex.compile(r"[^ \t-\r]+").findall
-
-    def code(self, chunk: str) -> bytes:
-        return np.array(self.coder.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        chunks = self.split(text) if self.odd(text) else text.split()
-        if max(map(len, chunks), default=0) <= LONGEST:
-            return b"".join(map(self.memory.__getitem__, chunks))
-        return b"".join(self.memory[c] if len(c) <= LONGEST else self.code(c) for c in chunks)
+        vocab = self.coder.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.split = re.compile(r"[^ \t-\r]+").findall
+        self.stem = re.compile(rb"([a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+    def code(self, chunk: bytes | str) -> bytes:
+        """Ids of one chunk between white space."""
+        text = chunk.decode("latin-1") if isinstance(chunk, bytes) else chunk
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set) -> None:
+        """Put the ids of chunks into the memory."""
+        words, composed = set(), []
+        for c in chunks:
+            if isinstance(c, bytes) and len(c) <= LONGEST and (m := self.stem(c)):
+                words.add(m[1])
+                if m[2]:
+                    composed.append((c, m[1], m[2]))
+        found, words = {}, list(words)
+        for lo in range(0, len(words), 2000):
+            some = words[lo : lo + 2000]
+            ids = np.array(self.coder.encode_batch_fast([b" ".join(some).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            found.update(zip(some, (data[4 * a : 4 * z] for a, z in zip([0, *cuts], cuts)), strict=True))
+        for c, w, tail in composed:
+            self.memory[c] = found[w] + self.memory[tail]
+        for w, ids in found.items():
+            if w in chunks:
+                self.memory[w] = ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for t in texts:
+            try:
+                cut.append(t.encode("latin-1").lower().split())
+            except UnicodeEncodeError:
+                cut.append(self.split(t))
+        self.learn(set().union(*cut).difference(self.memory).difference(self.memory.old))
+        out = []
+        for chunks in cut:
+            if max(map(len, chunks), default=0) <= LONGEST:
+                out.append(b"".join(map(self.memory.__getitem__, chunks)))
+            else:
+                out.append(b"".join(self.memory[c] if len(c) <= LONGEST else self.code(c) for c in chunks))
+        return out
 
 
 _LOADED: dict = {}
@@ -71,11 +111,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, fold
         code, end = _LOADED[folder, name], np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = code(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                for doc_id, ids in zip(part.column(0).to_pylist(), code([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

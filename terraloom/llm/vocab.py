@@ -8,7 +8,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 #: The split of byte-level BPE, with Unicode white space spelled out.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -52,8 +52,11 @@ class Memory(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self[key] = value
+        return value
+
+    def __setitem__(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
+        super().__setitem__(key, value)
