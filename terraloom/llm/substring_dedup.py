@@ -38,10 +38,11 @@ from terraloom.llm.common import byte_size, sha256, stored, with_id
 K = 13
 #: Bytes of text that a task hashes at once, and that a bucket stands for on average. Both may grow with the
 #: executors; their ratio decides how many edges share a packed block.
-SLICE_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+SLICE_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 
 SPAN = np.dtype([("start", "<u4"), ("len", "<u4"), ("src", "<i8"), ("srid", "<i8"), ("at", "<u4")])
-_ROWS = "bucket int, did long, rid long, spans binary, docs binary, keys binary"
+_ROWS = "bucket int, spans binary, docs binary, keys binary"
+_FOUND = "bucket int, spans binary"
 _SPANS = "did long, rid long, start int, len int, src long, srid long, at int"
 
 _BLANK = np.zeros(256, bool)
@@ -122,11 +123,37 @@ def _straight(row: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[heads], out
 
 
-def _grouped(row: np.ndarray, spans: np.ndarray) -> list[tuple[int, bytes]]:
-    """(row, its spans as bytes) of spans ordered by row."""
-    heads = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, int)
-    ends = np.r_[heads[1:], len(row)] if len(heads) else heads
-    return [(int(row[i]), spans[i:j].tobytes()) for i, j in zip(heads.tolist(), ends.tolist(), strict=True)]
+def _dealt(did: np.ndarray, rid: np.ndarray, spans: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket of the documents, their spans packed column by column), a row per bucket."""
+    mixed = _mix(did.astype(np.int64).view(np.uint64) ^ _mix(rid.astype(np.int64).view(np.uint64)))
+    to = (mixed % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((spans["start"], rid, did, to))
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    out = []
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[i] : cuts[i + 1]]
+        columns = [did[at].astype("<i8"), rid[at].astype("<i8"), *(spans[c][at] for c in SPAN.names)]
+        out.append((i, np.array([len(at)], "<u4").tobytes() + b"".join(c.tobytes() for c in columns)))
+    return out
+
+
+def _undealt(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (did, rid) and spans of packed rows."""
+    dids, rids, spans = [], [], []
+    for data in parts:
+        n, at = int(np.frombuffer(data, "<u4", 1)[0]), 4
+        columns = []
+        for d in ("<i8", "<i8", *(SPAN[c] for c in SPAN.names)):
+            columns.append(np.frombuffer(data, d, n, at))
+            at += n * np.dtype(d).itemsize
+        s = np.empty(n, SPAN)
+        for c, x in zip(SPAN.names, columns[2:], strict=True):
+            s[c] = x
+        dids.append(columns[0])
+        rids.append(columns[1])
+        spans.append(s)
+    cat = lambda x, d: np.concatenate(x) if x else np.empty(0, d)
+    return cat(dids, np.int64), cat(rids, np.int64), cat(spans, SPAN)
 
 
 def _spans(start, src, srid, at) -> np.ndarray:
@@ -139,22 +166,30 @@ _PLANES = (("<u4", 0), ("<u2", 32), ("<u1", 48))
 
 
 def _packed(key: np.ndarray, did: np.ndarray, rid: np.ndarray, text: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes]:
-    """Edges of one bucket: the documents they start in, and 56 bits of the key, document number and position."""
+    """Edges of one bucket in the order of their texts: the documents they start in, 56 bits of the keys, document
+    numbers and steps of the positions, byte by byte so that they compress."""
     docs, number = np.unique(text, return_inverse=True)
     head = np.stack([did[docs], rid[docs]], axis=1).astype("<i8").tobytes()
     planes = [(key >> np.uint64(s)).astype(d).tobytes() for d, s in _PLANES]
-    return head, b"".join([np.array([len(key)], "<u4").tobytes(), *planes, number.astype("<u2").tobytes(), *((pos >> s).astype("<u2").tobytes() for s in (0, 16))])
+    step = pos.copy()
+    step[1:] -= np.where(number[1:] == number[:-1], pos[:-1], 0)
+    return head, b"".join([np.array([len(key)], "<u4").tobytes(), *planes, number.astype("<u2").tobytes(), *((step >> s).astype("<u1").tobytes() for s in (0, 8, 16, 24))])
 
 
 def _unpacked(head: bytes, data: bytes) -> tuple[np.ndarray, ...]:
     n, at = int(np.frombuffer(data, "<u4", 1)[0]), 4
     parts = []
-    for d in (*(d for d, _ in _PLANES), "<u2", "<u2", "<u2"):
+    for d in (*(d for d, _ in _PLANES), "<u2", "<u1", "<u1", "<u1", "<u1"):
         parts.append(np.frombuffer(data, d, n, at).astype(np.uint64))
         at += n * np.dtype(d).itemsize
     key = parts[0] | parts[1] << np.uint64(32) | parts[2] << np.uint64(48)
-    docs = np.frombuffer(head, "<i8").reshape(-1, 2)[parts[3].astype(np.int64)]
-    return key, docs[:, 0], docs[:, 1], (parts[4] | parts[5] << np.uint64(16)).astype(np.int64)
+    number = parts[3].astype(np.int64)
+    step = sum((x << np.uint64(8 * i) for i, x in enumerate(parts[4:])), np.zeros(n, np.uint64)).astype(np.int64)
+    total = np.cumsum(step)
+    first = np.r_[True, number[1:] != number[:-1]]
+    pos = total - np.repeat((total - step)[first], np.diff(np.flatnonzero(np.r_[first, True])))
+    docs = np.frombuffer(head, "<i8").reshape(-1, 2)[number]
+    return key, docs[:, 0], docs[:, 1], pos
 
 
 def _slice_rows(texts: list[bytes], did: np.ndarray, rid: np.ndarray, buckets: int, k: int) -> Iterator[tuple]:
@@ -174,18 +209,19 @@ def _slice_rows(texts: list[bytes], did: np.ndarray, rid: np.ndarray, buckets: i
     later = did[text[lead]] < did[text]
     source = np.where(later, lead, mine)
     told = later | ~own
-    t, s = text[told], source[told]
-    for row, data in _grouped(*_straight(t, _spans(pos[told], did[text[s]], rid[text[s]], pos[s]))):
-        yield int(did[row]) % buckets, int(did[row]), int(rid[row]), data, None, None
-    key, text, pos = key[~told], text[~told], pos[~told]
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # keys are in order, so buckets are
+    t, m = text[told], source[told]
+    row, spans = _straight(t, _spans(pos[told], did[text[m]], rid[text[m]], pos[m]))
+    for i, data in _dealt(did[row], rid[row], spans, buckets):
+        yield i, data, None, None
+    place, key, text, pos = order[~told], key[~told], text[~told], pos[~told]
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket << 40 | place)
+    key, text, pos, bucket = key[order], text[order], pos[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for i in np.flatnonzero(np.diff(cuts)).tolist():
-        part = slice(cuts[i], cuts[i + 1])
-        for at in range(part.start, part.stop, 60_000):  # at most as many documents as 16 bits tell apart
-            p = slice(at, min(part.stop, at + 60_000))
-            head, data = _packed(key[p], did, rid, text[p], pos[p])
-            yield i, None, None, None, head, data
+        for at in range(cuts[i], cuts[i + 1], 60_000):  # at most as many documents as 16 bits tell apart
+            p = slice(at, min(cuts[i + 1], at + 60_000))
+            yield i, None, *_packed(key[p], did, rid, text[p], pos[p])
 
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -215,16 +251,14 @@ def edges(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
     return docs.select("did", "rid", "text").mapInArrow(run, _ROWS)
 
 
-def _occurrences(rows: DataFrame) -> DataFrame:
-    """(did, rid, spans): what buckets find, one row per document and bucket, and what slices had found."""
+def _occurrences(rows: DataFrame, buckets: int) -> DataFrame:
+    """What buckets of edges find and what slices had found, dealt by document: (bucket, spans)."""
 
     def run(group: pa.Table) -> pa.Table:
-        out, parts = [], []
-        for did, rid, spans, head, data in zip(*(group.column(c).to_pylist() for c in ("did", "rid", "spans", "docs", "keys")), strict=True):
-            if data is None:
-                out.append((did, rid, spans))
-            else:
-                parts.append(_unpacked(head, data))
+        spans, heads, data = (group.column(c).to_pylist() for c in ("spans", "docs", "keys"))
+        at = group.column("bucket")[0].as_py()
+        out = [(at, s) for s in spans if s is not None]
+        parts = [_unpacked(h, d) for h, d in zip(heads, data, strict=True) if d is not None]
         if parts:
             key, did, rid, pos = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = np.argsort(key)
@@ -236,36 +270,32 @@ def _occurrences(rows: DataFrame) -> DataFrame:
             if len(key):
                 lead = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))
                 later = did[lead] < did
-                spans, d, r = _spans(pos[later], did[lead][later], rid[lead][later], pos[lead][later]), did[later], rid[later]
-                order = np.lexsort((spans["start"], r, d))
-                spans, d, r = spans[order], d[order], r[order]
-                doc = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (r[1:] != r[:-1])]) if len(d) else d
-                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(d) else doc
-                out += [(int(d[i]), int(r[i]), s) for i, (_, s) in zip(at.tolist(), _grouped(doc, spans), strict=True)]
-        return pa.Table.from_batches([_table(out, "did long, rid long, spans binary")])
+                out += _dealt(did[later], rid[later], _spans(pos[later], did[lead][later], rid[lead][later], pos[lead][later]), buckets)
+        return pa.Table.from_batches([_table(out, _FOUND)])
 
-    return rows.groupBy("bucket").applyInArrow(run, "did long, rid long, spans binary")
+    return rows.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
 def paths(docs: DataFrame, k: int = K) -> DataFrame:
     """The straight paths of each document: runs of shared edges and where their source has them."""
     buckets = max(1, -(-byte_size(docs) // BUCKET_BYTES))
-    found = _occurrences(edges(docs, buckets, k)).groupBy("did", "rid").agg(F.collect_list("spans").alias("spans"))
+    names = [c.split()[0] for c in _SPANS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in _SPANS.split(", ")]
-        for b in batches:
-            dids, rids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            parts = [np.frombuffer(b"".join(x), SPAN) for x in b.column(2).to_pylist()]
-            row, spans = _straight(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts) if parts else np.empty(0, SPAN))
-            # one occurrence of a window may have been told more than once where rows repeat
-            one = np.r_[True, (row[1:] != row[:-1]) | (spans[1:] != spans[:-1])] if len(row) else np.empty(0, bool)
-            row, spans = row[one], spans[one]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(dids[row]), pa.array(rids[row]), *(pa.array(np.ascontiguousarray(spans[c]).astype(t)) for c, t in (("start", np.int32), ("len", np.int32), ("src", np.int64), ("srid", np.int64), ("at", np.int32)))], names=names
-            )
-
-    return stored(found.mapInArrow(run, _SPANS))
+    def run(group: pa.Table) -> pa.Table:
+        did, rid, spans = _undealt(group.column("spans").to_pylist())
+        order = np.lexsort((rid, did))
+        did, rid, spans = did[order], rid[order], spans[order]
+        doc = np.cumsum(np.r_[0, (did[1:] != did[:-1]) | (rid[1:] != rid[:-1])]) if len(did) else did
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(did) else doc
+        order = np.lexsort((spans["len"], spans["start"], doc))  # where rows repeat, windows are told more than once
+        d, x = doc[order], spans[order]
+        one = np.r_[True, (d[1:] != d[:-1]) | (x["start"][1:] != x["start"][:-1]) | (x["len"][1:] != x["len"][:-1])] if len(d) else np.empty(0, bool)
+        row, spans = _straight(d[one], x[one])
+        columns = [did[first][row], rid[first][row], *(np.ascontiguousarray(spans[c]).astype(t) for c, t in (("start", np.int32), ("len", np.int32), ("src", np.int64), ("srid", np.int64), ("at", np.int32)))]
+        return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
+
+    found = _occurrences(edges(docs, buckets, k), buckets)
+    return stored(found.groupBy("bucket").applyInArrow(run, _SPANS))
 
 
 def compact(straight: DataFrame) -> DataFrame:
