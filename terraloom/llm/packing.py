@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces that one shard packs, on average.
 SHARD_PIECES = 50_000
 #: White-space chunks that one worker remembers, and the longest in code points.
-REMEMBERED, LONGEST = 700_000, 64
+REMEMBERED, LONGEST = 1_400_000, 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -49,7 +51,7 @@ class ChunkCoder:
         import re
 
         self.coder = tokenizer(name, folder)
-        self.memory = Memory(self.code, REMEMBERED)
+        self.memory = Memory(self.code, REMEMBERED, LONGEST)
         vocab = self.coder.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -63,12 +65,18 @@ class ChunkCoder:
 
     def learn(self, chunks: set) -> None:
         """Put the ids of chunks into the memory."""
-        words, composed = set(), []
+        words, composed, old = set(), [], self.memory.old
         for c in chunks:
-            if isinstance(c, bytes) and len(c) <= LONGEST and (m := self.stem(c)):
-                words.add(m[1])
-                if m[2]:
-                    composed.append((c, m[1], m[2]))
+            if (ids := old.get(c)) is not None:
+                self.memory[c] = ids
+            elif isinstance(c, bytes) and len(c) <= LONGEST and (m := self.stem(c)):
+                stem, tail = m.groups()
+                if tail and (ids := self.memory.get(stem)) is not None:
+                    self.memory[c] = ids + self.memory[tail]
+                else:
+                    words.add(stem)
+                    if tail:
+                        composed.append((c, stem, tail))
         found, words = {}, list(words)
         for lo in range(0, len(words), 2000):
             some = words[lo : lo + 2000]
@@ -89,14 +97,16 @@ class ChunkCoder:
                 cut.append(t.encode("latin-1").lower().split())
             except UnicodeEncodeError:
                 cut.append(self.split(t))
-        self.learn(set().union(*cut).difference(self.memory).difference(self.memory.old))
-        out = []
+        unknown, known = set(), []
         for chunks in cut:
-            if max(map(len, chunks), default=0) <= LONGEST:
-                out.append(b"".join(map(self.memory.__getitem__, chunks)))
-            else:
-                out.append(b"".join(self.memory[c] if len(c) <= LONGEST else self.code(c) for c in chunks))
-        return out
+            ids = list(map(self.memory.get, chunks))
+            if None in ids:
+                unknown.update(compress(chunks, map(is_, ids, repeat(None))))
+                ids = None
+            known.append(ids)
+        if unknown:
+            self.learn(unknown)
+        return [b"".join(map(self.memory.__getitem__, chunks) if ids is None else ids) for chunks, ids in zip(cut, known, strict=True)]
 
 
 _LOADED: dict = {}

@@ -42,17 +42,19 @@ def tokenizer(name: str, folder: str | None = None):
 
 
 class Memory(dict):
-    """A bounded memo: ``make(key)`` fills a missing key; when full, the older half is forgotten."""
+    """A bounded memo: ``make(key)`` fills a missing key; when full, the older half is forgotten. Keys longer than
+    ``longest`` are made each time."""
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int, longest: int = 1 << 16):
         super().__init__()
-        self.make, self.limit, self.old = make, limit // 2, {}
+        self.make, self.limit, self.longest, self.old = make, limit // 2, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= self.longest:
+            self[key] = value
         return value
 
     def __setitem__(self, key, value):
