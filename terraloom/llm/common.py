@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -33,7 +34,20 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(spark: SparkSession, *written: DataFrame) -> None:
+    """Delete scratch tables that nothing lazy reads any more, and let the driver notice which shuffles are over:
+    their files stay on the executors' disks until the driver has collected its garbage."""
+    jvm = spark.sparkContext._jvm
+    for df in written:
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def with_id(docs: DataFrame, *keep: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import stored
+from terraloom.llm.common import forget, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def components(edges: DataFrame) -> DataFrame:
     a written table. Loops and repeated edges don't matter; without edges the result is empty."""
     one_way = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.lit(None).cast(edges.schema["a"].dataType).alias("was"), F.least("a", "b").alias("label")))
     while True:
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
+        heard = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, labels["id"] == heard["a"]).select("id", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
         jump = labels.select(F.col("id").alias("now"), F.col("label").alias("next"))
         moved = stored(nearer.join(jump, "now").select("id", "was", F.least("now", "next").alias("label")))
-        labels = moved.select("id", "label")
+        forget(edges.sparkSession, labels)
         if moved.where("was <> label").isEmpty():
-            return labels
+            forget(edges.sparkSession, one_way)
+            return moved.select("id", "label")
+        labels = moved

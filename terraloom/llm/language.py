@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that are learned from, per language; feature buckets; passes over the sample.
-PER_LANGUAGE, BUCKETS, EPOCHS = 400, 8192, 15
+PER_LANGUAGE, BUCKETS, EPOCHS = 300, 4096, 15
 UNKNOWN = "und"
 #: Documents whose prediction scores lower are rejected by ``accepted``.
 LEAST_SCORE = 0.05
@@ -54,7 +54,7 @@ def counts(text: str) -> np.ndarray:
     two = data[:-1] << 8 | data[1:]
     three = two[:-1] << 8 | data[2:]
     four = three[:-1] << 8 | data[3:]
-    buckets = [(x * np.uint32(k)) >> np.uint32(32 - 13) for x, k in ((two, 2654435761), (three, 2246822519), (four, 3266489917))]
+    buckets = [(x * np.uint32(k)) >> np.uint32(32 - 12) for x, k in ((two, 2654435761), (three, 2246822519), (four, 3266489917))]
     return np.bincount(np.concatenate(buckets), minlength=BUCKETS)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import NULL_ID, stored, with_id
+from terraloom.llm.common import NULL_ID, forget, stored, with_id
 from terraloom.llm.components import components
 from terraloom.llm.substring_dedup import _mix, _numbers, windows, word_hashes
 
@@ -204,22 +204,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(did, rid, class_did, class_rid, copy_did, n_links) of each row: the first row of its class of linked documents, the
     smallest id with the same set, and the number of documents that it links to."""
-    rows = _keyed(docs)
-    signs = stored(signed(rows))
+    spark, rows = docs.sparkSession, _keyed(docs)
+    whole = stored(signed(rows))
     here = F.struct("did", "rid")
-    once = signs.where("sid is not null").groupBy("sid", "did", "rid").agg(F.count("*").alias("n"), F.first("grams").alias("grams"), F.first("minima").alias("minima"))
+    once = whole.where("sid is not null").groupBy("sid", "did", "rid").agg(F.count("*").alias("n"), F.first("grams").alias("grams"), F.first("minima").alias("minima"))
     sets = stored(once.groupBy("sid").agg(F.min(here).alias("rep"), F.sum("n").alias("copies"), F.first("grams").alias("grams"), F.first("minima").alias("minima"), F.min_by("n", here).alias("rep_rows")))
+    signs = stored(whole.select("did", "rid", "sid"))
+    forget(spark, whole)
     depth = DEPTH
     while True:
-        families = _families(sets, depth)
-        links = stored(_verified(stored(_parts(rows, sets, families)), threshold, depth))
+        parts = stored(_parts(rows, sets, _families(sets, depth)))
+        links = stored(_verified(parts, threshold, depth))
+        forget(spark, parts)
         seen = links.agg(F.sum("found").alias("found"), F.sum("stands_for").alias("all")).first()
         if not seen["found"] or depth == 1 or seen["found"] >= recall * seen["all"]:
             break
+        forget(spark, links)
         depth -= 1
+    names = stored(sets.select("sid", "rep", "copies"))
+    forget(spark, sets)
     classes = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     total = links.groupBy("sid").agg(F.sum("links").alias("links"))
-    known = sets.select("sid", "rep", "copies").join(total, "sid", "left").join(classes.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    known = names.join(total, "sid", "left").join(classes.withColumnRenamed("id", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     first = known.groupBy("label").agg(F.min("rep").alias("first"))
     told = known.join(first, "label").select("sid", "first", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signs.select("did", "rid", "sid").join(told, "sid", "left").select(

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import byte_size, sha256, stored, with_id
+from terraloom.llm.common import byte_size, forget, sha256, stored, with_id
 
 K = 13
 #: Bytes of text that a task hashes at once, and that a bucket stands for on average. Both may grow with the
@@ -294,8 +294,9 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
         columns = [did[first][row], rid[first][row], *(np.ascontiguousarray(spans[c]).astype(t) for c, t in (("start", np.int32), ("len", np.int32), ("src", np.int64), ("srid", np.int64), ("at", np.int32)))]
         return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
 
-    found = _occurrences(edges(docs, buckets, k), buckets)
-    return stored(found.groupBy("bucket").applyInArrow(run, _SPANS))
+    straight = stored(_occurrences(edges(docs, buckets, k), buckets).groupBy("bucket").applyInArrow(run, _SPANS))
+    forget(docs.sparkSession)
+    return straight
 
 
 def compact(straight: DataFrame) -> DataFrame:
@@ -374,6 +375,7 @@ def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K) ->
     that the words at their source coordinates have confirmed. ``kept``: the text with its own white space if
     ``whole_text``, else the digest of the kept words."""
     keys = ["did", "rid"]
+    spans = stored(spans)
     flat = spans.select(*keys, F.explode("segments").alias("s"))
     segments = flat.groupBy(*keys).agg(F.collect_list("s").alias("segments"))
     asked = flat.where("s.src <> did or s.srid <> rid").select(F.col("s.src").alias("did"), F.col("s.srid").alias("rid"), F.struct("s.at", "s.len").alias("q")).distinct()
@@ -410,6 +412,7 @@ def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K) ->
     wrong = stored(claims.join(facts, [*at, "digest"], "left_anti").select(*at).distinct())
     result = first.select(*out.names)
     if wrong.isEmpty():
+        forget(docs.sparkSession, wrong)
         return result
     marked = flat.select(*keys, "s", F.col("s.src").alias("src"), F.col("s.srid").alias("srid"), F.col("s.at").alias("at"), F.col("s.len").alias("len"))
     again = marked.join(wrong, at, "left_semi").select(*keys).distinct()
