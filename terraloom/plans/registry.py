@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from terraloom.plans import mask_queries, series_queries  # noqa: F401  (they enter their queries)
+from terraloom.plans.catalog import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "f01_poly_lin"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-ORACLE_SQL: dict[str, str] = {}
