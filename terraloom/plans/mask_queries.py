@@ -18,9 +18,9 @@ def p01(spark, d):
 @query(
     "p02_quality_weights",
     f"""WITH {PX} SELECT px, t, qual, CAST({sql_weight((1.0, 0.5, 0.25, 0.01))} AS DOUBLE) AS w,
-        CASE qual WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.01 END AS w_chained,
-        CAST({sql_weight((1.0, 0.5, 0.25, 0.01), "0.0")} AS DOUBLE) AS w_zero, CASE qual WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.01 WHEN 4 THEN 4.0 END AS w_code4,
-        CASE qual WHEN 0 THEN 0.99 WHEN 1 THEN 0.5 WHEN 2 THEN 0.01 WHEN 3 THEN 0.01 ELSE 0.0001 END AS w_fourier7
+        CAST(CASE qual WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.01 END AS DOUBLE) AS w_chained,
+        CAST({sql_weight((1.0, 0.5, 0.25, 0.01), "0.0")} AS DOUBLE) AS w_zero, CAST(CASE qual WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.01 WHEN 4 THEN 4.0 END AS DOUBLE) AS w_code4,
+        CAST(CASE qual WHEN 0 THEN 0.99 WHEN 1 THEN 0.5 WHEN 2 THEN 0.01 WHEN 3 THEN 0.01 ELSE 0.0001 END AS DOUBLE) AS w_fourier7
         FROM px""",
 )
 def p02(spark, d):
