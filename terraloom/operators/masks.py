@@ -38,7 +38,7 @@ def valid_or_fill(value: Column) -> Column:
 
 def floored(value: Column) -> Column:
     """Negative values become 0; there is no upper bound; missing ones become the fill value."""
-    return F.coalesce(F.rint(F.greatest(value, F.lit(0.0))), F.lit(float(DATA_FILL))).cast("int")
+    return F.when(value.isNull(), DATA_FILL).otherwise(F.rint(F.greatest(value, F.lit(0.0))).cast("int"))
 
 
 def between_extremes(fit: Column, low: Column, high: Column) -> Column:

@@ -51,13 +51,16 @@ def extent(x0: Column, y0: Column, res: Column, n_rows: Column, n_cols: Column)
     return {"x_min": x0, "x_max": x0 + n_cols * res, "y_min": y0 - n_rows * res, "y_max": y0}
 
 
-def points_on_grid(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """Each point with the tile, row and col of every grid whose extent holds it. A grid table has a row per tile: a
-    dimension of a few hundred rows by nature, so Spark's own size check decides on a broadcast."""
+def points_on_grid(points: DataFrame, grid: DataFrame, coarse: float) -> DataFrame:
+    """Each point with the tile, row and col of every grid whose extent holds it. Grids and points meet in squares of side
+    ``coarse`` (about a grid's own extent), so the join is by equality whatever the number of grids."""
     e = extent(*(F.col(c) for c in ("x0", "y0", "res", "n_rows", "n_cols")))
+    square = lambda v: F.floor(v / coarse)
+    spread = grid.select("*", F.explode(F.sequence(square(e["x_min"]), square(e["x_max"]))).alias("_sx")).select("*", F.explode(F.sequence(square(e["y_min"]), square(e["y_max"]))).alias("_sy"))
+    placed = points.select("*", square(F.col("x")).alias("_sx"), square(F.col("y")).alias("_sy")).join(spread, ["_sx", "_sy"])
     inside = (F.col("x") >= e["x_min"]) & (F.col("x") < e["x_max"]) & (F.col("y") > e["y_min"]) & (F.col("y") <= e["y_max"])
     row, col = cell_of(*(F.col(c) for c in ("x", "y", "x0", "y0", "res")))
-    return points.join(grid, inside).select(*points.columns, "tile", row.alias("row"), col.alias("col"))
+    return placed.where(inside).select(*points.columns, "tile", row.alias("row"), col.alias("col"))
 
 
 def line_cells(lines: DataFrame, res: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:

@@ -71,6 +71,27 @@ pair AS (
     FROM lineitem
 )"""
 
+#: poi(fid, x, y): points. til(tile, x0, y0, res, n_rows, n_cols): grids. lin(fid, x1, y1, x2, y2): lines. bnd(px, epoch, band, value): bands.
+POINTS = "poi AS (SELECT c_custkey AS fid, c_acctbal AS x, CAST((c_custkey * 37) % 10000 AS DOUBLE) AS y FROM customer)"
+GRIDS = "til AS (SELECT n_name AS tile, CAST(n_nationkey % 5 * 2000 AS DOUBLE) AS x0, CAST(n_nationkey // 5 * 2000 + 2000 AS DOUBLE) AS y0, 50.0::DOUBLE AS res, 40 AS n_rows, 40 AS n_cols FROM nation)"
+LINES = """
+lin AS (
+    SELECT fid, x1, y1, x1 + (fid % 7 - 3) * 41 AS x2, y1 + (fid % 5 - 2) * 63 AS y2
+    FROM (SELECT s_suppkey AS fid, CAST(s_suppkey % 50 * 10 + 3 AS DOUBLE) AS x1, CAST(s_suppkey * 17 % 40 * 10 + 7 AS DOUBLE) AS y1 FROM supplier)
+), lst AS (
+    SELECT *, CAST(greatest(ceil(greatest(abs(x2 - x1), abs(y2 - y1)) / 10.0::DOUBLE * 2), 1) AS INTEGER) AS n FROM lin
+), lsx AS (SELECT *, unnest(generate_series(0, n)) AS i FROM lst),
+lcl AS (
+    SELECT fid, row, col, min(i) AS step FROM (
+        SELECT fid, CAST(i AS INTEGER) AS i, CAST(floor((400.0::DOUBLE - (y1 + (y2 - y1) * (CAST(i AS DOUBLE) / n))) / 10.0::DOUBLE) AS INTEGER) AS row,
+            CAST(floor((x1 + (x2 - x1) * (CAST(i AS DOUBLE) / n)) / 10.0::DOUBLE) AS INTEGER) AS col FROM lsx
+    ) GROUP BY fid, row, col
+)"""
+BANDS = """
+bnd AS (
+    SELECT l_suppkey AS px, CAST(date_trunc('quarter', CAST(l_shipdate AS DATE)) AS DATE) AS epoch, l_linenumber AS band, sum(CAST(l_quantity AS BIGINT)) AS value FROM lineitem GROUP BY 1, 2, 3
+)"""
+
 SCENES = "scn AS (SELECT o_orderkey AS scene, CAST(o_orderdate AS DATE) AS acq_date FROM orders)"
 EPOCHS = """
 epo AS (

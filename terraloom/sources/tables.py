@@ -85,3 +85,32 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("o_orderkey") % 5 + 2015000).cast("string"), F.when(F.col("o_orderkey") % 10 == 3, ".jpg").otherwise(".hdf"),
         ).alias("name")
     )
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, x, y: the customers as points of interest."""
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), F.col("c_acctbal").alias("x"), ((F.col("c_custkey") * 37) % 10000).cast("double").alias("y"))
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tile, x0, y0, res, n_rows, n_cols: the nations as tiles of 40 x 40 cells side by side."""
+    n = F.col("n_nationkey")
+    return read(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("tile"), (n % 5 * 2000).cast("double").alias("x0"), (F.floor(n / 5) * 2000 + 2000).cast("double").alias("y0"), F.lit(50.0).alias("res"), F.lit(40).alias("n_rows"), F.lit(40).alias("n_cols")
+    )
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, x1, y1, x2, y2: the suppliers as transects over the parts' raster, in all four directions."""
+    k = F.col("s_suppkey")
+    x1, y1 = (k % 50 * 10 + 3).cast("double"), (k * 17 % 40 * 10 + 7).cast("double")
+    return read(spark, sf_dir, "supplier").select(k.alias("fid"), x1.alias("x1"), y1.alias("y1"), (x1 + (k % 7 - 3) * 41).alias("x2"), (y1 + (k % 5 - 2) * 63).alias("y2"))
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """px, epoch, band, value: quantities by supplier, month and line number, as seven bands with gaps."""
+    return (
+        read(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("px"), F.trunc(F.col("l_shipdate").cast("date"), "quarter").alias("epoch"), F.col("l_linenumber").alias("band"))
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+    )
