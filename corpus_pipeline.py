@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 20 code points that three or more documents share stay in the last of them only."""
-    return _counted(line_dedup.dedup(docs).select(*docs.columns))
+    return _counted(line_dedup.dedup(docs).drop("_n_lines", "_n_dropped"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

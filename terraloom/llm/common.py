@@ -59,6 +59,11 @@ def with_id(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def doc_id() -> Column:
     return F.when(F.col("did") != NULL_ID, F.col("did")).alias("doc_id")
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.llm.common import quoted
+
 #: Labelled documents that are learned from, per language; feature buckets; passes over the sample.
 PER_LANGUAGE, BUCKETS, EPOCHS = 300, 4096, 15
 UNKNOWN = "und"
@@ -175,5 +177,5 @@ def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without the rows whose text is in no language that can be told."""
     model = train(docs.where(~held_out()))
     names = docs.columns
-    known = predict(docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), "text"), model, *(f"_{i}" for i in range(len(names))))
+    known = predict(docs.select(*(quoted(c).alias(f"_{i}") for i, c in enumerate(names)), "text"), model, *(f"_{i}" for i in range(len(names))))
     return known.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import NULL_ID, sha256, stored
+from terraloom.llm.common import NULL_ID, quoted, sha256, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys per filter shard on average, parts that a shard's lines are dealt to.
@@ -256,7 +256,7 @@ def apply(index: LineIndex, docs: DataFrame, rows: DataFrame | None = None, min_
     )
     names = docs.columns
     at = names.index("text")
-    schema = docs.select(*names).schema.add("_n_lines", "long").add("_n_dropped", "long")
+    schema = docs.select(*map(quoted, names)).schema.add("_n_lines", "long").add("_n_dropped", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,9 +278,9 @@ def apply(index: LineIndex, docs: DataFrame, rows: DataFrame | None = None, min_
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
 
     return (
-        docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+        docs.select(*(quoted(c).alias(f"_{i}") for i, c in enumerate(names)), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_did"))
         .join(hits.hint("shuffle_hash"), "_did", "left")
-        .select(*names, "_drop")
+        .select(*(f"_{i}" for i in range(len(names))), "_drop")
         .mapInArrow(run, schema)
     )
 

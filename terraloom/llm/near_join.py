@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import NULL_ID, forget, stored, with_id
+from terraloom.llm.common import NULL_ID, forget, quoted, stored, with_id
 from terraloom.llm.components import components
 from terraloom.llm.substring_dedup import _mix, _numbers, windows, word_hashes
 
@@ -248,7 +248,7 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     """``docs`` with one row of each class, that of the smallest doc_id; wordless rows all stay."""
     names = docs.columns
     found = stored(joined(docs, threshold, recall).where("did = class_did and rid = class_rid").groupBy("did", "rid").agg(F.count("*").alias("n"), F.max("n_links").alias("links")))
-    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(names)), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
+    rows = docs.select(*(quoted(c).alias(f"_{i}") for i, c in enumerate(names)), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
     kept = rows.join(found.hint("shuffle_hash"), ["did", "rid"])
     if not found.where("n > 1 and links > 0").isEmpty():  # repeated rows: any one of them
         kept = kept.where("links = 0").unionByName(kept.where("links > 0").dropDuplicates(["did", "rid"]))

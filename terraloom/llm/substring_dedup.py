@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import byte_size, forget, sha256, stored, with_id
+from terraloom.llm.common import byte_size, forget, quoted, sha256, stored, with_id
 
 K = 13
 #: Bytes of text that a task hashes at once, and that a bucket stands for on average. Both may grow with the
@@ -439,6 +439,6 @@ def digests(docs: DataFrame, k: int = K) -> DataFrame:
 
 def dedup(docs: DataFrame, k: int = K) -> DataFrame:
     """``docs`` without the passages that a document with a smaller doc_id has; what loses all its words goes."""
-    rows = _keyed(docs, *(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"))
+    rows = _keyed(docs, *(quoted(c).alias(f"_{i}") for i, c in enumerate(docs.columns) if c != "text"))
     done = verified(rows, compact(paths(rows, k)), True, k).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return done.select(*(F.col("kept").alias("text") if c == "text" else F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
