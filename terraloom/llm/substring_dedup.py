@@ -376,6 +376,7 @@ def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K) ->
     ``whole_text``, else the digest of the kept words."""
     keys = ["did", "rid"]
     spans = stored(spans)
+    forget(docs.sparkSession)  # the edges: texts travel next
     flat = spans.select(*keys, F.explode("segments").alias("s"))
     segments = flat.groupBy(*keys).agg(F.collect_list("s").alias("segments"))
     asked = flat.where("s.src <> did or s.srid <> rid").select(F.col("s.src").alias("did"), F.col("s.srid").alias("rid"), F.struct("s.at", "s.len").alias("q")).distinct()
