@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,22 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, *written: DataFrame) -> None:
-    """Delete scratch tables that nothing lazy reads any more, and let the driver notice which shuffles are over:
-    their files stay on the executors' disks until the driver has collected its garbage."""
+    """Delete scratch tables that nothing lazy reads any more, and let the driver notice which shuffles are over."""
     jvm = spark.sparkContext._jvm
     for df in written:
         path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    release(spark, 1)
+
+
+def release(spark: SparkSession, times: int = 2) -> None:
+    """Let the driver notice which shuffles are over: their files stay on the executors' disks until it has collected its
+    garbage. The first time may come while listeners still hold the last query, so large shuffles are worth a second."""
+    for k in range(times):
+        if k:
+            time.sleep(1)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def with_id(docs: DataFrame, *keep: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import byte_size, forget, quoted, sha256, stored, with_id
+from terraloom.llm.common import byte_size, forget, quoted, release, sha256, stored, with_id
 
 K = 13
 #: Bytes of text that a task hashes at once, and that a bucket stands for on average. Both may grow with the
@@ -166,30 +166,28 @@ _PLANES = (("<u4", 0), ("<u2", 32), ("<u1", 48))
 
 
 def _packed(key: np.ndarray, did: np.ndarray, rid: np.ndarray, text: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes]:
-    """Edges of one bucket in the order of their texts: the documents they start in, 56 bits of the keys, document
-    numbers and steps of the positions, byte by byte so that they compress."""
-    docs, number = np.unique(text, return_inverse=True)
-    head = np.stack([did[docs], rid[docs]], axis=1).astype("<i8").tobytes()
+    """Edges of one bucket in the order of their texts: the documents they start in with the number of each one's edges, then
+    56 bits of the keys and steps of the positions, column by column and byte by byte so that they compress."""
+    docs, n = np.unique(text, return_counts=True)
+    head = did[docs].astype("<i8").tobytes() + rid[docs].astype("<i8").tobytes() + n.astype("<u4").tobytes()
     planes = [(key >> np.uint64(s)).astype(d).tobytes() for d, s in _PLANES]
     step = pos.copy()
-    step[1:] -= np.where(number[1:] == number[:-1], pos[:-1], 0)
-    return head, b"".join([np.array([len(key)], "<u4").tobytes(), *planes, number.astype("<u2").tobytes(), *((step >> s).astype("<u1").tobytes() for s in (0, 8, 16, 24))])
+    step[1:] -= np.where(text[1:] == text[:-1], pos[:-1], 0)
+    return head, b"".join([*planes, *((step >> s).astype("<u1").tobytes() for s in (0, 8, 16, 24))])
 
 
 def _unpacked(head: bytes, data: bytes) -> tuple[np.ndarray, ...]:
-    n, at = int(np.frombuffer(data, "<u4", 1)[0]), 4
-    parts = []
-    for d in (*(d for d, _ in _PLANES), "<u2", "<u1", "<u1", "<u1", "<u1"):
+    m, at, parts = len(head) // 20, 0, []
+    per_doc = np.frombuffer(head, "<u4", m, 16 * m).astype(np.int64)
+    n = int(per_doc.sum())
+    for d in (*(d for d, _ in _PLANES), "<u1", "<u1", "<u1", "<u1"):
         parts.append(np.frombuffer(data, d, n, at).astype(np.uint64))
         at += n * np.dtype(d).itemsize
     key = parts[0] | parts[1] << np.uint64(32) | parts[2] << np.uint64(48)
-    number = parts[3].astype(np.int64)
-    step = sum((x << np.uint64(8 * i) for i, x in enumerate(parts[4:])), np.zeros(n, np.uint64)).astype(np.int64)
-    total = np.cumsum(step)
-    first = np.r_[True, number[1:] != number[:-1]]
-    pos = total - np.repeat((total - step)[first], np.diff(np.flatnonzero(np.r_[first, True])))
-    docs = np.frombuffer(head, "<i8").reshape(-1, 2)[number]
-    return key, docs[:, 0], docs[:, 1], pos
+    step = sum((x << np.uint64(8 * i) for i, x in enumerate(parts[3:])), np.zeros(n, np.uint64)).astype(np.int64)
+    total, first = np.cumsum(step), np.cumsum(per_doc) - per_doc
+    pos = total - np.repeat((total - step)[first], per_doc)
+    return key, np.repeat(np.frombuffer(head, "<i8", m), per_doc), np.repeat(np.frombuffer(head, "<i8", m, 8 * m), per_doc), pos
 
 
 def _slice_rows(texts: list[bytes], did: np.ndarray, rid: np.ndarray, buckets: int, k: int) -> Iterator[tuple]:
@@ -219,9 +217,8 @@ def _slice_rows(texts: list[bytes], did: np.ndarray, rid: np.ndarray, buckets: i
     key, text, pos, bucket = key[order], text[order], pos[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     for i in np.flatnonzero(np.diff(cuts)).tolist():
-        for at in range(cuts[i], cuts[i + 1], 60_000):  # at most as many documents as 16 bits tell apart
-            p = slice(at, min(cuts[i + 1], at + 60_000))
-            yield i, None, *_packed(key[p], did, rid, text[p], pos[p])
+        p = slice(cuts[i], cuts[i + 1])
+        yield i, None, *_packed(key[p], did, rid, text[p], pos[p])
 
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -295,7 +292,7 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
         return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
 
     straight = stored(_occurrences(edges(docs, buckets, k), buckets).groupBy("bucket").applyInArrow(run, _SPANS))
-    forget(docs.sparkSession)
+    release(docs.sparkSession)
     return straight
 
 
@@ -376,7 +373,7 @@ def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K) ->
     ``whole_text``, else the digest of the kept words."""
     keys = ["did", "rid"]
     spans = stored(spans)
-    forget(docs.sparkSession)  # the edges: texts travel next
+    release(docs.sparkSession)  # texts travel next
     flat = spans.select(*keys, F.explode("segments").alias("s"))
     segments = flat.groupBy(*keys).agg(F.collect_list("s").alias("segments"))
     asked = flat.where("s.src <> did or s.srid <> rid").select(F.col("s.src").alias("did"), F.col("s.srid").alias("rid"), F.struct("s.at", "s.len").alias("q")).distinct()
