@@ -65,29 +65,33 @@ class ChunkCoder:
 
     def learn(self, chunks: set) -> None:
         """Put the ids of chunks into the memory."""
-        words, composed, old = set(), [], self.memory.old
+        words, composed, old, stem_of = set(), [], self.memory.old, self.stem
+        known, have, tails = {}, self.memory.get, {}
         for c in chunks:
-            if (ids := old.get(c)) is not None:
-                self.memory[c] = ids
-            elif isinstance(c, bytes) and len(c) <= LONGEST and (m := self.stem(c)):
+            if old and (ids := old.get(c)) is not None:
+                known[c] = ids
+            elif isinstance(c, bytes) and len(c) <= LONGEST and (m := stem_of(c)):
                 stem, tail = m.groups()
-                if tail and (ids := self.memory.get(stem)) is not None:
-                    self.memory[c] = ids + self.memory[tail]
+                if not tail:
+                    words.add(stem)
+                    continue
+                if tail not in tails:
+                    tails[tail] = self.memory[tail]
+                if (ids := have(stem)) is not None:
+                    known[c] = ids + tails[tail]
                 else:
                     words.add(stem)
-                    if tail:
-                        composed.append((c, stem, tail))
+                    composed.append((c, stem, tails[tail]))
         found, words = {}, list(words)
         for lo in range(0, len(words), 2000):
             some = words[lo : lo + 2000]
             ids = np.array(self.coder.encode_batch_fast([b" ".join(some).decode("latin-1")], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             data = ids.tobytes()
-            found.update(zip(some, (data[4 * a : 4 * z] for a, z in zip([0, *cuts], cuts)), strict=True))
-        for c, w, tail in composed:
-            self.memory[c] = found[w] + self.memory[tail]
-        for w, ids in found.items():
-            self.memory[w] = ids
+            found.update(zip(some, [data[4 * a : 4 * z] for a, z in zip([0, *cuts], cuts)], strict=True))
+        known.update([(c, found[stem] + ids) for c, stem, ids in composed])
+        known.update(found)
+        self.memory.add(known)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = []

@@ -57,6 +57,13 @@ class Memory(dict):
             self[key] = value
         return value
 
+    def add(self, values: dict) -> None:
+        """Remember many at once."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
     def __setitem__(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
