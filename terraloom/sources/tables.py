@@ -35,7 +35,9 @@ def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("n") == 2, 1)
         .otherwise(2)
     )
-    return axis.join(cells, ["px", "epoch"], "left").select("px", (F.col("epoch") - F.col("lo")).cast("int").alias("t"), F.coalesce(value, F.lit(float(DATA_FILL))).cast("int").alias("value"), code.cast("int").alias("qual"))
+    # joined by a shuffle, so that tasks are cut by the cells' size, not by that of the list of suppliers
+    dense = axis.join(cells.hint("merge"), ["px", "epoch"], "left")
+    return dense.select("px", (F.col("epoch") - F.col("lo")).cast("int").alias("t"), F.coalesce(value, F.lit(float(DATA_FILL))).cast("int").alias("value"), code.cast("int").alias("qual"))
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(F.round(F.col("value") * 1000).cast("long")).alias("s"), F.count("*").alias("n"))
     )
     axis = cells.select("px").distinct().select("px", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("t"))
-    return axis.join(cells, ["px", "t"], "left").select("px", "t", F.rint(F.col("s") / F.col("n") / 100.0).alias("v"))
+    return axis.join(cells.hint("merge"), ["px", "t"], "left").select("px", "t", F.rint(F.col("s") / F.col("n") / 100.0).alias("v"))
 
 
 def part_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
