@@ -100,16 +100,20 @@ class ChunkCoder:
                 cut.append(t.encode("latin-1").lower().split())
             except UnicodeEncodeError:
                 cut.append(self.split(t))
-        unknown, known = set(), []
+        unknown, known, have = set(), [], self.memory.get
         for chunks in cut:
-            ids = list(map(self.memory.get, chunks))
-            if None in ids:
-                unknown.update(compress(chunks, map(is_, ids, repeat(None))))
-                ids = None
-            known.append(ids)
+            ids = list(map(have, chunks))
+            gaps = list(compress(range(len(ids)), map(is_, ids, repeat(None)))) if None in ids else ()
+            unknown.update([chunks[j] for j in gaps])
+            known.append((ids, gaps))
         if unknown:
             self.learn(unknown)
-        return [b"".join(map(self.memory.__getitem__, chunks) if ids is None else ids) for chunks, ids in zip(cut, known, strict=True)]
+        out = []
+        for chunks, (ids, gaps) in zip(cut, known, strict=True):
+            for j in gaps:
+                ids[j] = self.memory[chunks[j]]
+            out.append(b"".join(ids))
+        return out
 
 
 _LOADED: dict = {}
