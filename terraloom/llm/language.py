@@ -4,6 +4,10 @@ First a family is predicted by one linear support vector machine per family agai
 machines among the family's languages vote. Features are hashed byte 2- to 4-grams of the lower-cased text
 with everything but letters folded to one blank, square-rooted and scaled to length 1; whole texts count.
 
+Margins only compare learned languages with each other. What is in none of them is told by its evidence: the mean log
+ratio of its n-grams' frequencies in a language's sample to even ones. Each language's least evidence comes from its
+sample; the score is the machines' or that of the evidence, whichever is lower.
+
 The machines are fitted on the driver on a bounded sample, at most about ``PER_LANGUAGE`` labelled documents
 of each language drawn by the hash of their id, sent there as sparse features. Prediction is one map over the
 scan with a model of fixed size (``BUCKETS`` x machines).
@@ -31,6 +35,10 @@ PER_LANGUAGE, BUCKETS, EPOCHS = 300, 4096, 15
 UNKNOWN = "und"
 #: Documents whose prediction scores lower are rejected by ``accepted``.
 LEAST_SCORE = 0.05
+#: A language's least evidence is this part of its sample's median, or the sample's low quantile where that is lower.
+LEAST_PART, LOW_QUANTILE = 0.1, 0.01
+#: N-grams that one text adds to its language's frequencies, at most.
+LONG = 10_000
 
 #: Families of languages, by ISO 639-1 code.
 FAMILIES = {
@@ -43,6 +51,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+#: Buckets of n-grams of blanks only, which tell nothing.
+_BLANKS = [0x2020 * 2654435761 % 2**32 >> 32 - 12, 0x202020 * 2246822519 % 2**32 >> 32 - 12, 0x20202020 * 3266489917 % 2**32 >> 32 - 12]
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -60,11 +70,15 @@ def counts(text: str) -> np.ndarray:
     return np.bincount(np.concatenate(buckets), minlength=BUCKETS)
 
 
-def features(text: str) -> np.ndarray:
-    x = np.sqrt(counts(text), dtype=np.float32)
+def scaled(c: np.ndarray) -> np.ndarray:
+    x = np.sqrt(c, dtype=np.float32)
     return x / max(1e-6, float(np.linalg.norm(x)))
 
 
+def features(text: str) -> np.ndarray:
+    return scaled(counts(text))
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of a linear SVM with squared hinge loss, by dual coordinate descent. ``y`` is +1 or -1."""
     w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(y))
@@ -80,16 +94,45 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = EPOCHS)
     return w
 
 
+def shares(x: np.ndarray) -> np.ndarray:
+    """Shares of the buckets in a text, from its features, without those of blanks."""
+    p = x * x
+    p[..., _BLANKS] = 0
+    return p / np.maximum(1e-6, p.sum(axis=-1, keepdims=True))
+
+
+def evidence(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    return shares(x) @ profiles
+
+
+def profile(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log ratios of the buckets' frequencies in a language's sample to even ones; long texts count as ``LONG`` n-grams."""
+    seen = 0.5 + np.minimum(sizes, LONG) @ shares(x)
+    ratios = np.log(seen * (BUCKETS / seen.sum()))
+    ratios[_BLANKS] = 0
+    return ratios.astype(np.float32)
+
+
+def least_evidence(x: np.ndarray, sizes: np.ndarray) -> float:
+    """What a text needs for a language, from its sample; each half is told by the other one's profile."""
+    halves = [np.arange(len(x)) % 2 == k for k in (0, 1)]
+    told = np.concatenate([evidence(x[~h], profile(x[h], sizes[h])) for h in halves])
+    return float(min(LEAST_PART * np.median(told), np.quantile(told, LOW_QUANTILE)))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     families: tuple[tuple[str, ...], ...]
     duels: tuple[tuple[int, int, int], ...]  # family, and two of its languages
     weights: np.ndarray  # a column per family, then one per duel
+    profiles: np.ndarray  # a column of log ratios per language
+    least: np.ndarray  # evidence that scores LEAST_SCORE, per language
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.families or not has_letter(text):
             return UNKNOWN, 0.0
-        margins = features(text) @ self.weights
+        x = features(text)
+        margins = x @ self.weights
         sure = lambda m: float(1 / (1 + np.exp(-4 * m)))
         n = len(self.families)
         family = int(margins[:n].argmax())
@@ -101,7 +144,12 @@ class LanguageModel:
             votes[a if m >= 0 else b] += 1 + 1e-3 * np.tanh(abs(m))
         best = int(votes.argmax())
         won = [m if a == best else -m for a, b, m in mine if best in (a, b)]
-        return languages[best], score * (sure(min(won)) if won else 1.0)
+        over = float((evidence(x, self.profiles) - self.least).max())
+        known = 1 / (1 + (1 / LEAST_SCORE - 1) * np.exp(-4 * over))
+        return languages[best], min(score * (sure(min(won)) if won else 1.0), float(known))
+
+
+NOTHING = LanguageModel((), (), np.zeros((BUCKETS, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -109,29 +157,32 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
     rows = labelled.select(F.col("doc_id").cast("long"), "text", "lang").where("doc_id is not null and lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel((), (), np.zeros((BUCKETS, 0), np.float32))
+        return NOTHING
     share = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, per_language / n))))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, at, values = [], [], []
+            langs, at, values, n = [], [], [], []
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if has_letter(text.as_py()):
-                    x = features(text.as_py())
+                    c = counts(text.as_py())
+                    x = scaled(c)
                     langs.append(lang)
+                    n.append(int(c.sum()))
                     at.append(np.flatnonzero(x).astype(np.int32))
                     values.append(x[at[-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(n, pa.int64())], names=["lang", "at", "v", "n"])
 
-    sample = drawn.select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, v array<float>").toArrow().sort_by("lang")
+    sample = drawn.select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, v array<float>, n long").toArrow().sort_by("lang")
     langs = np.array(sample.column("lang").to_pylist(), object)
     x = np.zeros((len(langs), BUCKETS), np.float32)
     for i, (a, v) in enumerate(zip(sample.column("at").to_pylist(), sample.column("v").to_pylist(), strict=True)):
         x[i, a] = v
     order = np.lexsort(x[:, ::257].T) if len(langs) else []
     order = sorted(order, key=lambda i: langs[i])  # the same whatever order the rows come in
-    x, langs = x[order], langs[order]
+    sizes = sample.column("n").to_numpy()
+    x, langs, sizes = x[order], langs[order], sizes[order]
     by_family: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         by_family.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
@@ -146,7 +197,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
                 rows_of = np.isin(langs, [members[a], members[b]])
                 machines.append(fit_svm(x[rows_of], np.where(langs[rows_of] == members[a], 1.0, -1.0)))
                 duels.append((f, a, b))
-    return LanguageModel(families, tuple(duels), np.stack(machines, axis=1) if machines else np.zeros((BUCKETS, 0), np.float32))
+    if not machines:
+        return NOTHING
+    of_language = [np.flatnonzero(langs == lang) for lang in sorted(set(langs))]
+    profiles = np.stack([profile(x[i], sizes[i]) for i in of_language], axis=1)
+    least = np.array([least_evidence(x[i], sizes[i]) for i in of_language])
+    return LanguageModel(families, tuple(duels), np.stack(machines, axis=1), profiles, least)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:

@@ -144,6 +144,26 @@ def test_language_keeps_clean_documents(docs):
     assert len(clean & kept) >= 0.99 * len(clean)
 
 
+UNLEARNED = {
+    "it": "Il governo ha annunciato oggi una nuova legge che dovrebbe aiutare le famiglie con bambini piccoli e quelle delle grandi città",
+    "nl": "De regering heeft vandaag een nieuwe wet aangekondigd die gezinnen met kleine kinderen moet helpen om in de grote steden te wonen",
+    "pl": "Rząd ogłosił dzisiaj nową ustawę która ma pomóc rodzinom z małymi dziećmi mieszkającym w wielkich miastach naszego kraju",
+    "ru": "Правительство объявило сегодня о новом законе который должен помочь семьям с маленькими детьми живущим в больших городах",
+    "fi": "Hallitus ilmoitti tänään uudesta laista jonka pitäisi auttaa perheitä joissa on pieniä lapsia ja jotka asuvat suurissa kaupungeissa",
+    "tr": "Hükümet bugün küçük çocukları olan ailelere ve büyük şehirlerde yaşayanlara yardım etmesi gereken yeni bir yasa açıkladı",
+}
+
+
+def test_unlearned_languages_and_random_letters_go_and_labelled_documents_stay(spark, docs):
+    rng = np.random.default_rng(5)
+    random = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), size=n)) for n in (60, 200, 1000, 5000)]
+    strange = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*UNLEARNED.values(), *random])], "doc_id long, text string")
+    kept = [r["doc_id"] for r in language.accepted(docs.unionByName(strange, allowMissingColumns=True)).select("doc_id").collect()]
+    labelled = [r["doc_id"] for r in docs.where("lang is not null and text is not null").select("doc_id", "text").collect() if language.has_letter(r["text"])]
+    assert not [i for i in kept if i < 0]
+    assert sorted(kept) == sorted(labelled)
+
+
 # --- exact search -----------------------------------------------------------------------------------------
 
 
