@@ -44,7 +44,8 @@ class ChunkCoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     Texts within Latin-1 have ASCII capitals lowered before they are cut, as the tokenizer would do (beyond
-    Latin-1, marks could compose differently). The unknown words of some texts go through the library in one call
+    Latin-1, marks could compose differently); the vocabulary's special strings count as they are written, so a text in
+    which lowering makes or breaks one is cut as it is. The unknown words of some texts go through the library in one call
     and are told apart by the tokens that end a word."""
 
     def __init__(self, folder: str | None, name: str):
@@ -55,6 +56,8 @@ class ChunkCoder:
         vocab = self.coder.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        special = [t.content.encode("latin-1") for t in self.coder.get_added_tokens_decoder().values() if not t.normalized]
+        self.special, self.capital = [c for c in special if c == c.lower()], [c for c in special if c != c.lower()]
         self.split = re.compile(r"[^ \t-\r]+").findall
         self.stem = re.compile(rb"([a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -93,11 +96,17 @@ class ChunkCoder:
         known.update(found)
         self.memory.add(known)
 
+    def changed(self, raw: bytes, low: bytes) -> bool:
+        """Whether a text has other special strings when lowered."""
+        return any(c in low and low.count(c) != raw.count(c) for c in self.special) or any(c in raw for c in self.capital)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             try:
-                cut.append(t.encode("latin-1").lower().split())
+                raw = t.encode("latin-1")
+                low = raw.lower()
+                cut.append(self.split(t) if self.changed(raw, low) else low.split())
             except UnicodeEncodeError:
                 cut.append(self.split(t))
         unknown, known, have = set(), [], self.memory.get

@@ -80,6 +80,13 @@ def test_any_text_is_packed_like_the_library(text):
     assert np.frombuffer(own([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_strings_in_other_case_are_packed_like_the_library(word_coder):
+    texts = ["<|ENDOFTEXT|>", "Words <|EndOfText|> and <|endoftext|>", "x<|STARTOFTEXT|>Y <|startoftext|>", "<|endoftext|> Plain", "Ä<|Endoftext|>é", "Again <|ENDOFTEXT|> Again", "<|endoftext|><|ENDOFTEXT|>"]
+    own = packing.ChunkCoder(None, "word_bpe_49k.json")
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [word_coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_counts_are_the_library(mixed, byte_coder):
     want = Counter()
     for r in mixed.collect():
