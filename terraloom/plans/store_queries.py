@@ -11,6 +11,9 @@ from terraloom.schema import DATA_FILL
 from terraloom.sources import stores, tables
 from terraloom.streaming import sliding
 
+#: Epochs that arrive at once in the stream of all series; files that one batch reads.
+SPAN, SPAN_FILES = 46, 64
+
 
 def _pixels(spark, d):
     """The suppliers' series as pixels of two tiles, seven bands' layout and a raster of 40 columns."""
@@ -93,3 +96,16 @@ def s02(spark, d):
     pipelines.masked(tables.supplier_series(spark, d).where("px <= 20"), (1.0, 0.5, 0.01, 0.01)).repartition(1).sortWithinPartitions("t").write.option("maxRecordsPerFile", 1500).parquet(source)
     out = sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark))
     return out.select("px", "t", F.floor(F.col("mean") * 100 + 0.37129).cast("long").alias("mean"))
+
+
+@query("s02c_streamed_windows_of_all_series", f"""WITH {PX}, w AS (SELECT px, t, avg(CASE WHEN value <> 32767 THEN value END) OVER a AS mean, count(*) OVER a AS n FROM px WINDOW a AS (PARTITION BY px ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
+    SELECT px, t, CAST(floor(mean * 100 + 0.37129) AS BIGINT) AS mean FROM w WHERE n = 15""")
+def s02c(spark, d):
+    """The same for every series; spans of epochs arrive one after the other, each in files dealt by series."""
+    staged, source = stores.scratch(spark), stores.scratch(spark)
+    pipelines.masked(tables.supplier_series(spark, d), (1.0, 0.5, 0.01, 0.01)).withColumn("span", F.floor(F.col("t") / SPAN)).write.partitionBy("span").parquet(staged)
+    rows = spark.read.parquet(staged)
+    for (span,) in rows.select("span").distinct().orderBy("span").collect():
+        rows.where(F.col("span") == span).drop("span").repartition("px").write.mode("append").parquet(source)
+    out = sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark), files_per_batch=SPAN_FILES)
+    return out.select("px", "t", F.floor(F.col("mean") * 100 + 0.37129).cast("long").alias("mean"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.operators import masks, regress, robust, series, spatial, spectral, temporal
-from terraloom.plans import pipelines
+from terraloom.plans import pipelines, store_queries
 from terraloom.sources import stores, tables
 from terraloom.streaming import sliding
 
@@ -172,6 +172,13 @@ def test_stream_equals_batch_and_goes_on(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
 
 
+def test_all_series_are_streamed(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    n = tables.supplier_series(spark, sf_dir).groupBy("px").count().collect()
+    got = {r["px"]: r["count"] for r in store_queries.s02c(spark, sf_dir).groupBy("px").count().collect()}
+    assert len(n) > 21 and got == {r["px"]: r["count"] - 14 for r in n}
+
+
 def test_calibration_finds_the_line(spark):
     df = spark.createDataFrame([("s", i, float(x), 3.0 + 2.0 * x) for i, x in enumerate(range(1, 60))] + [("s", 99, 9000.0, 5.0)], "scene string, id int, x double, y double")
     rows, stats = pipelines.calibrate(df, ("scene",))
