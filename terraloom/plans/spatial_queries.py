@@ -73,6 +73,21 @@ def j06(spark, d):
     return scene.join(offsets, "scene_row").select("tile", "scene_row", "scene_col", (F.col("scene_row") + F.col("drow")).alias("row"), (F.col("scene_col") + F.col("dcol")).alias("col"), "value")
 
 
+@query(
+    "j06b_g03_tiles_under_raster",
+    f"""WITH {GRIDS}, {GRID}, o AS (SELECT tile, n_rows, n_cols, CAST(round((10000.0 - y0) / res) AS INTEGER) AS drow, CAST(round((x0 - 0.0) / res) AS INTEGER) AS dcol FROM til)
+        SELECT tile, CAST(row - drow AS INTEGER) AS tile_row, CAST(col - dcol AS INTEGER) AS tile_col, row, col, value
+        FROM grid JOIN o ON row - drow BETWEEN 0 AND n_rows - 1 AND col - dcol BETWEEN 0 AND n_cols - 1""",
+)
+def j06b(spark, d):
+    """Every cell of the raster with the tile's cell that lies under it."""
+    drow, dcol = spatial.aligned_offsets(F.col("x0"), F.col("y0"), F.lit(0.0), F.lit(10000.0), F.col("res"))
+    tiles = tables.grids(spark, d).select("tile", "n_cols", drow.alias("drow"), dcol.alias("dcol"), F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("tile_row"))
+    cells = tiles.select("tile", "drow", "dcol", "tile_row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("tile_col"))
+    shifted = cells.select("tile", "tile_row", "tile_col", (F.col("tile_row") + F.col("drow")).alias("row"), (F.col("tile_col") + F.col("dcol")).alias("col"))
+    return tables.part_grid(spark, d).select("row", "col", "value").join(shifted, ["row", "col"]).select("tile", "tile_row", "tile_col", "row", "col", "value")
+
+
 @query(
     "g02_bounding_box",
     f"WITH {POINTS}, {GRIDS}, {_PLACED} SELECT tile, min(x) AS x0, max(y) AS y0, CAST(ceil((max(x) - min(x)) / 50.0::DOUBLE) AS INTEGER) AS n_cols, CAST(ceil((max(y) - min(y)) / 50.0::DOUBLE) AS INTEGER) AS n_rows FROM pl GROUP BY tile",

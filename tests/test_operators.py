@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.operators import masks, regress, robust, series, spatial, spectral, temporal
-from terraloom.plans import pipelines, store_queries
+from terraloom.plans import pipelines, spatial_queries, store_queries
 from terraloom.sources import stores, tables
 from terraloom.streaming import sliding
 
@@ -179,6 +179,14 @@ def test_all_series_are_streamed(spark):
     assert len(n) > 21 and got == {r["px"]: r["count"] - 14 for r in n}
 
 
+def test_every_cell_of_the_raster_is_aligned(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    cells = {(r["row"], r["col"]) for r in tables.part_grid(spark, sf_dir).collect()}
+    got = spatial_queries.j06b(spark, sf_dir).collect()
+    assert sorted((r["row"], r["col"]) for r in got) == sorted(cells) and max(r for r, _ in cells) > 1
+    assert all(0 <= r["tile_row"] < 40 and 0 <= r["tile_col"] < 40 for r in got)
+
+
 def test_calibration_finds_the_line(spark):
     df = spark.createDataFrame([("s", i, float(x), 3.0 + 2.0 * x) for i, x in enumerate(range(1, 60))] + [("s", 99, 9000.0, 5.0)], "scene string, id int, x double, y double")
     rows, stats = pipelines.calibrate(df, ("scene",))
