@@ -61,6 +61,19 @@ def j04(spark, d):
     return n.select("scene", "side", "rank", F.col("day").cast("string").alias("day"))
 
 
+@query(
+    "j04b_neighbours_of_all_scenes",
+    f"""WITH {SCENES}, {EPOCHS}, e AS (SELECT epoch_date AS day, row_number() OVER (ORDER BY epoch_date) AS no FROM epo),
+        b AS (SELECT acq_date, count(*) FILTER (epoch_date < acq_date) AS n FROM (SELECT DISTINCT acq_date FROM scn), epo GROUP BY acq_date),
+        r AS (SELECT scene, n, unnest([1, 2, 3]) AS rank FROM scn JOIN b USING (acq_date)),
+        s AS (SELECT scene, 'pre' AS side, rank, n - rank + 1 AS no FROM r UNION ALL SELECT scene, 'post', rank, n + rank FROM r)
+        SELECT scene, side, CAST(rank AS INTEGER) AS rank, CAST(day AS VARCHAR) AS day FROM s JOIN e USING (no)""",
+)
+def j04b(spark, d):
+    n = temporal.neighbours(tables.scene_dates(spark, d), tables.epochs(spark, d), "acq_date", "epoch_date", 3, "scene")
+    return n.select("scene", "side", "rank", F.col("day").cast("string").alias("day"))
+
+
 _SPLIT = ", ".join(f"split_part(name, '.', {i}) AS {c}" for i, c in ((1, "product"), (2, "epoch"), (3, "tile"), (5, "version"), (6, "ext")))
 _FILES = f"{NAMES}, f AS (SELECT name, {_SPLIT} FROM nam)"
 

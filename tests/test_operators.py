@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraloom.operators import masks, regress, robust, series, spatial, spectral, temporal
-from terraloom.plans import pipelines, spatial_queries, store_queries
+from terraloom.plans import join_queries, pipelines, spatial_queries, store_queries
 from terraloom.sources import stores, tables
 from terraloom.streaming import sliding
 
@@ -187,6 +187,26 @@ def test_every_cell_of_the_raster_is_aligned(spark):
     assert all(0 <= r["tile_row"] < 40 and 0 <= r["tile_col"] < 40 for r in got)
 
 
+def test_scenes_at_both_ends_have_their_neighbours(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    epochs = sorted(r[0] for r in tables.epochs(spark, sf_dir).collect())
+    scenes = tables.scene_dates(spark, sf_dir).collect()
+    want = set()
+    for s in scenes:
+        want |= {(s["scene"], "pre", k, str(e)) for k, e in enumerate([e for e in epochs if e < s["acq_date"]][-1:-4:-1], 1)}
+        want |= {(s["scene"], "post", k, str(e)) for k, e in enumerate([e for e in epochs if e >= s["acq_date"]][:3], 1)}
+    got = join_queries.j04b(spark, sf_dir).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert any(str(s["acq_date"]) < "1995-06-01" for s in scenes) and any(str(s["acq_date"]) > "2001-06-01" for s in scenes)
+
+
+def test_neighbours_beyond_the_epochs(spark):
+    days = spark.createDataFrame([(f"2000-01-{d:02}",) for d in (5, 13, 21, 29)], "d string").selectExpr("cast(d as date) e")
+    scenes = spark.createDataFrame([(1, "1990-01-01"), (2, "2000-01-13"), (3, "2010-01-01")], "scene long, d string").selectExpr("scene", "cast(d as date) a")
+    got = {(r["scene"], r["side"], r["rank"], r["day"].day) for r in temporal.neighbours(scenes, days, "a", "e", 3, "scene").collect()}
+    assert got == {(1, "post", 1, 5), (1, "post", 2, 13), (1, "post", 3, 21), (2, "pre", 1, 5), (2, "post", 1, 13), (2, "post", 2, 21), (2, "post", 3, 29), (3, "pre", 1, 29), (3, "pre", 2, 21), (3, "pre", 3, 13)}
+
+
 def test_calibration_finds_the_line(spark):
     df = spark.createDataFrame([("s", i, float(x), 3.0 + 2.0 * x) for i, x in enumerate(range(1, 60))] + [("s", 99, 9000.0, 5.0)], "scene string, id int, x double, y double")
     rows, stats = pipelines.calibrate(df, ("scene",))
