@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import quoted
 
 #: Labelled documents that are learned from, per language; feature buckets; passes over the sample.
-PER_LANGUAGE, BUCKETS, EPOCHS = 300, 4096, 15
+PER_LANGUAGE, BUCKETS, EPOCHS = 300, 8192, 15
 UNKNOWN = "und"
 #: Documents whose prediction scores lower are rejected by ``accepted``.
 LEAST_SCORE = 0.05
@@ -52,7 +52,10 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Buckets of n-grams of blanks only, which tell nothing.
-_BLANKS = [0x2020 * 2654435761 % 2**32 >> 32 - 12, 0x202020 * 2246822519 % 2**32 >> 32 - 12, 0x20202020 * 3266489917 % 2**32 >> 32 - 12]
+_SHIFT = 32 - (BUCKETS.bit_length() - 1)
+_BLANKS = [gram * k % 2**32 >> _SHIFT for gram, k in ((0x2020, 2654435761), (0x202020, 2246822519), (0x20202020, 3266489917))]
+#: Buckets and values of a text's features.
+Sparse = tuple[np.ndarray, np.ndarray]
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -66,57 +69,61 @@ def counts(text: str) -> np.ndarray:
     two = data[:-1] << 8 | data[1:]
     three = two[:-1] << 8 | data[2:]
     four = three[:-1] << 8 | data[3:]
-    buckets = [(x * np.uint32(k)) >> np.uint32(32 - 12) for x, k in ((two, 2654435761), (three, 2246822519), (four, 3266489917))]
+    buckets = [(x * np.uint32(k)) >> np.uint32(_SHIFT) for x, k in ((two, 2654435761), (three, 2246822519), (four, 3266489917))]
     return np.bincount(np.concatenate(buckets), minlength=BUCKETS)
 
 
-def scaled(c: np.ndarray) -> np.ndarray:
-    x = np.sqrt(c, dtype=np.float32)
-    return x / max(1e-6, float(np.linalg.norm(x)))
+def scaled(c: np.ndarray) -> Sparse:
+    at = np.flatnonzero(c).astype(np.int32)
+    v = np.sqrt(c[at], dtype=np.float32)
+    return at, v / max(1e-6, float(np.linalg.norm(v)))
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str) -> Sparse:
     return scaled(counts(text))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = EPOCHS) -> np.ndarray:
+def fit_svm(x: list[Sparse], y: np.ndarray, c: float = 10.0, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of a linear SVM with squared hinge loss, by dual coordinate descent. ``y`` is +1 or -1."""
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(y))
-    q = (x * x).sum(axis=1) + 1 / (2 * c)
+    w, alpha = np.zeros(BUCKETS, np.float32), np.zeros(len(y))
+    q = np.array([float(v @ v) for _, v in x]) + 1 / (2 * c)
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            g = y[i] * float(x[i] @ w) - 1 + alpha[i] / (2 * c)
+            at, v = x[i]
+            g = y[i] * float(v @ w[at]) - 1 + alpha[i] / (2 * c)
             new = max(0.0, alpha[i] - g / q[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w[at] += np.float32((new - alpha[i]) * y[i]) * v
                 alpha[i] = new
     return w
 
 
-def shares(x: np.ndarray) -> np.ndarray:
-    """Shares of the buckets in a text, from its features, without those of blanks."""
-    p = x * x
-    p[..., _BLANKS] = 0
-    return p / np.maximum(1e-6, p.sum(axis=-1, keepdims=True))
+def shares(x: Sparse) -> np.ndarray:
+    """Shares of a text's buckets, from its features, without those of blanks."""
+    at, v = x
+    p = np.where(np.isin(at, _BLANKS), 0, v * v)
+    return p / max(1e-6, float(p.sum()))
 
 
-def evidence(x: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    return shares(x) @ profiles
+def evidence(x: Sparse, profiles: np.ndarray) -> np.ndarray:
+    return shares(x) @ profiles[x[0]]
 
 
-def profile(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def profile(x: list[Sparse], sizes: np.ndarray) -> np.ndarray:
     """Log ratios of the buckets' frequencies in a language's sample to even ones; long texts count as ``LONG`` n-grams."""
-    seen = 0.5 + np.minimum(sizes, LONG) @ shares(x)
+    seen = np.full(BUCKETS, 0.5)
+    for row, n in zip(x, sizes, strict=True):
+        seen[row[0]] += min(n, LONG) * shares(row)
     ratios = np.log(seen * (BUCKETS / seen.sum()))
     ratios[_BLANKS] = 0
     return ratios.astype(np.float32)
 
 
-def least_evidence(x: np.ndarray, sizes: np.ndarray) -> float:
+def least_evidence(x: list[Sparse], sizes: np.ndarray) -> float:
     """What a text needs for a language, from its sample; each half is told by the other one's profile."""
-    halves = [np.arange(len(x)) % 2 == k for k in (0, 1)]
-    told = np.concatenate([evidence(x[~h], profile(x[h], sizes[h])) for h in halves])
+    by_half = [profile(x[k::2], sizes[k::2]) for k in (0, 1)]
+    told = [float(evidence(row, by_half[1 - i % 2])) for i, row in enumerate(x)]
     return float(min(LEAST_PART * np.median(told), np.quantile(told, LOW_QUANTILE)))
 
 
@@ -132,7 +139,8 @@ class LanguageModel:
         if not self.families or not has_letter(text):
             return UNKNOWN, 0.0
         x = features(text)
-        margins = x @ self.weights
+        at, v = x
+        margins = v @ self.weights[at]
         sure = lambda m: float(1 / (1 + np.exp(-4 * m)))
         n = len(self.families)
         family = int(margins[:n].argmax())
@@ -152,6 +160,14 @@ class LanguageModel:
 NOTHING = LanguageModel((), (), np.zeros((BUCKETS, 0), np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
 
 
+def _rows(at: pa.ListArray, values: pa.ListArray) -> Iterator[Sparse]:
+    """The sparse rows of two list columns, as views."""
+    ends, flat, data = at.offsets.to_numpy(), at.values.to_numpy(), values.values.to_numpy()
+    shift = values.offsets.to_numpy() - ends
+    for lo, hi, d in zip(ends[:-1], ends[1:], shift[:-1], strict=True):
+        yield flat[lo:hi], data[lo + d : hi + d]
+
+
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model from the rows of (doc_id, text, lang); rows without a label or letters teach nothing."""
     rows = labelled.select(F.col("doc_id").cast("long"), "text", "lang").where("doc_id is not null and lang is not null and text is not null")
@@ -170,19 +186,15 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
                     x = scaled(c)
                     langs.append(lang)
                     n.append(int(c.sum()))
-                    at.append(np.flatnonzero(x).astype(np.int32))
-                    values.append(x[at[-1]])
+                    at.append(x[0])
+                    values.append(x[1])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(n, pa.int64())], names=["lang", "at", "v", "n"])
 
-    sample = drawn.select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, v array<float>, n long").toArrow().sort_by("lang")
-    langs = np.array(sample.column("lang").to_pylist(), object)
-    x = np.zeros((len(langs), BUCKETS), np.float32)
-    for i, (a, v) in enumerate(zip(sample.column("at").to_pylist(), sample.column("v").to_pylist(), strict=True)):
-        x[i, a] = v
-    order = np.lexsort(x[:, ::257].T) if len(langs) else []
-    order = sorted(order, key=lambda i: langs[i])  # the same whatever order the rows come in
-    sizes = sample.column("n").to_numpy()
-    x, langs, sizes = x[order], langs[order], sizes[order]
+    sample = drawn.select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, v array<float>, n long").toArrow()
+    langs, sizes = sample.column("lang").to_pylist(), sample.column("n").to_numpy()
+    x = [row for c in zip(sample.column("at").chunks, sample.column("v").chunks, strict=True) for row in _rows(*c)]
+    order = sorted(range(len(x)), key=lambda i: (langs[i], x[i][0].tobytes(), x[i][1].tobytes()))  # the same whatever order the rows come in
+    x, langs, sizes = [x[i] for i in order], np.array(langs, object)[order], sizes[order]
     by_family: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         by_family.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
@@ -194,14 +206,14 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
     for f, members in enumerate(families):
         for a in range(len(members)):
             for b in range(a + 1, len(members)):
-                rows_of = np.isin(langs, [members[a], members[b]])
-                machines.append(fit_svm(x[rows_of], np.where(langs[rows_of] == members[a], 1.0, -1.0)))
+                rows_of = np.flatnonzero(np.isin(langs, [members[a], members[b]]))
+                machines.append(fit_svm([x[i] for i in rows_of], np.where(langs[rows_of] == members[a], 1.0, -1.0)))
                 duels.append((f, a, b))
     if not machines:
         return NOTHING
-    of_language = [np.flatnonzero(langs == lang) for lang in sorted(set(langs))]
-    profiles = np.stack([profile(x[i], sizes[i]) for i in of_language], axis=1)
-    least = np.array([least_evidence(x[i], sizes[i]) for i in of_language])
+    of_language = [([x[i] for i in rows_of], sizes[rows_of]) for rows_of in (np.flatnonzero(langs == lang) for lang in sorted(set(langs)))]
+    profiles = np.stack([profile(*o) for o in of_language], axis=1)
+    least = np.array([least_evidence(*o) for o in of_language])
     return LanguageModel(families, tuple(duels), np.stack(machines, axis=1), profiles, least)
 
 

@@ -164,6 +164,12 @@ def test_unlearned_languages_and_random_letters_go_and_labelled_documents_stay(s
     assert sorted(kept) == sorted(labelled)
 
 
+def test_features_keep_8192_buckets(docs):
+    model = language.train(docs.where(~language.held_out()))
+    assert model.weights.shape[0] == model.profiles.shape[0] == 8192
+    assert all(len(np.unique(model.weights[lo : lo + 4096, 0])) > 1000 for lo in (0, 4096))
+
+
 # --- exact search -----------------------------------------------------------------------------------------
 
 
