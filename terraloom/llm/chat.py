@@ -6,12 +6,15 @@ conversations are cut into windows of whole turns: from the prefix sums of the t
 ends before the turn whose prefix sum passes the window's start by more than the budget that the system turn
 and the repeated history leave. Each window repeats the conversation's first system turn and as many of the last
 turns as ``history`` tokens hold; what is repeated is masked, so each assistant text is under the loss once.
-A turn longer than the budget gets a window of its own.
+Tokens are those of the formatted turns. A turn too long for the budget gets a window of its own, without history.
 
-Scale: token counts are one map. Conversations are dealt by (conversation, block of ``BLOCK_TURNS`` turn numbers),
-so that a conversation of a third of all rows is spread over many tasks; windows and history don't cross blocks.
-Rows stream in order through the tasks, which hold one window at a time. Reading back streams the windows of a
-conversation in order through one task because a digest of the whole is sequential; it holds one window.
+Scale: token counts are one map. Turns are numbered by the carried sizes of blocks of turn numbers and dealt by
+(conversation, block of about ``BLOCK_TURNS`` turns), so that a conversation of a third of all rows is spread over many
+tasks; a block also gets the turns before and after it that its windows may reach. Where a window that starts at a turn ends
+depends on these alone, so each block tells, for each of its turns, where a chain of windows from there leaves it; one
+pass over one such row per block finds each block's first window. The windows are those of one pass over the whole
+conversation. Reading back streams the windows of a conversation in order through one task because a digest of the
+whole is sequential; it holds one window.
 
 Cases: null text or role counts as empty; a null turn comes first; equal turns are all kept, in (role, text) order;
 a null conv_id is a conversation of its own; extra columns are dropped; an empty table gives an empty result; only
@@ -22,18 +25,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.llm.common import stored
 from terraloom.llm.vocab import BYTE_BPE, tokenizer
 
 #: Tokens of a window, of the history that a window repeats, and turn numbers per block.
 BUDGET, HISTORY, BLOCK_TURNS = 2048, 256, 256
-#: Tokens that the template adds to a turn, at most.
-FRAME_TOKENS = 16
+#: Tokens of a formatted turn, at least.
+LEAST_TOKENS = 10
 
 _CONTROL = re.compile(r"([<\[])(\\*)(/?(?:INST\]|s>))")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(/?(?:INST\]|s>))")
@@ -62,38 +68,119 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(text)]
 
 
-def _counted(turns: DataFrame, folder: str | None, name: str) -> DataFrame:
+def _numbered(turns: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """conv_id, idx, role, text, tokens: turns with their places in the conversation and the tokens that they have when formatted."""
+    block = F.floor(F.coalesce("turn", F.lit(-(2**63))) / BLOCK_TURNS).cast("long")
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block)
+    w = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("conv_id", "block").count().select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
+    dealt = rows.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "block", "turn", "role", "text", "before")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer(name, folder)
+        coder, group, at = tokenizer(name, folder), None, 0
         for b in batches:
-            coded = coder.encode_batch_fast([f"{r} {t}" for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(c) + FRAME_TOKENS for c in coded], pa.int32())], names=["conv_id", "turn", "role", "text", "tokens"])
+            roles, texts, places = b.column(3).to_pylist(), b.column(4).to_pylist(), []
+            coded = coder.encode_batch_fast([format_turn(r, t)[0] for r, t in zip(roles, texts, strict=True)], add_special_tokens=False)
+            for conv, block, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True):
+                group, at = (conv, block), at + 1 if group == (conv, block) else 0
+                places.append(before + at)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int64()), b.column(3), b.column(4), pa.array([len(c) for c in coded], pa.int32())], names=["conv_id", "idx", "role", "text", "tokens"])
+
+    return dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text").mapInArrow(run, "conv_id long, idx long, role string, text string, tokens int")
+
 
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, tokens int")
+class _Block:
+    """The turns that a block's windows may reach, as prefix sums: where a window ends and what it repeats."""
+
+    def __init__(self, first: int, tokens: list[int], same: list[bool], system: int | None, budget: int, history: int):
+        self.first, self.tokens, self.system, self.budget, self.history = first, tokens, system, budget, history
+        self.sums, self.same = [0, *accumulate(tokens)], [0, *accumulate(same)]
+
+    def window(self, idx: int) -> tuple[int, int, bool]:
+        """First turn repeated, end, and whether the system turn comes first, of a window whose own turns begin at ``idx``."""
+        i, n, system = idx - self.first, self.tokens[idx - self.first], self.system or 0
+        lo = bisect_left(self.sums, self.sums[i] - max(0, min(self.history, self.budget - system - n)), 0, i + 1)
+        put = self.system is not None and self.same[lo] == self.same[i + 1]
+        room = max(self.budget - (self.sums[i] - self.sums[lo]) - (system if put else 0), n)
+        return self.first + lo, self.first + bisect_right(self.sums, self.sums[i] + room, i + 1) - 1, put
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, folder: str | None = None, name: str = BYTE_BPE) -> DataFrame:
     """One row per window: its formatted text, how many turns at its start repeat earlier ones, and the spans
     of the text that are under the loss."""
-    counted = _counted(turns, folder, name)
-    systems = turns.where("role = 'system'").groupBy(F.col("conv_id").cast("long").alias("sys_conv")).agg(F.min(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), F.coalesce("text", F.lit("")).alias("text"))).alias("sys"))
-    rows = (
-        counted.withColumn("block", F.floor(F.coalesce("turn", F.lit(-(2**63))) / BLOCK_TURNS).cast("long"))
-        .join(systems, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left")
-        .select("conv_id", "block", "turn", "role", "text", "tokens", F.col("sys.text").alias("sys"))
+    behind, ahead = history // LEAST_TOKENS + 1, budget // LEAST_TOKENS + 1
+    size = max(BLOCK_TURNS, behind, ahead)
+    rows = stored(_numbered(turns, folder, name))
+    systems = rows.where("role = 'system'").groupBy(F.col("conv_id").alias("sys_conv")).agg(F.min(F.struct("idx", "text", "tokens")).alias("sys"))
+    own, place = F.floor(F.col("idx") / size).cast("long"), F.col("idx") % size
+    reached = F.array_compact(F.array(own, F.when((place < ahead) & (own > 0), own - 1), F.when(place >= size - behind, own + 1)))
+    same = (F.col("role") == "system") & (F.col("text") == F.col("sys.text"))
+    known = rows.join(systems, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left").withColumn("same", F.coalesce(same, F.lit(False)))
+    dealt = known.select("conv_id", F.explode(reached).alias("block"), "idx", "tokens", "same", F.col("sys.tokens").alias("sys_tokens"), "role", "text", F.col("sys.text").alias("sys"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(conversation, block, its rows as columns) of sorted rows."""
+        group, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != row[:2]:
+                    if held:
+                        yield (*group, list(zip(*held, strict=True)))
+                    group, held = row[:2], []
+                held.append(row[2:])
+        if held:
+            yield (*group, list(zip(*held, strict=True)))
+
+    def block_of(columns: list) -> _Block:
+        return _Block(columns[0][0], columns[1], columns[2], columns[3][0], budget, history)
+
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for conv, block, columns in blocks(batches):
+            end, b = (block + 1) * size, block_of(columns)
+            mine = [i for i in columns[0] if i // size == block]
+            leaves: dict[int, int] = {}
+            for i in reversed(mine):
+                to = b.window(i)[1]
+                leaves[i] = leaves[to] if to in leaves else to
+            if mine and len(mine) == size and columns[0][-1] >= end:
+                yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([block], pa.int64()), pa.array([[leaves[i] for i in mine]], pa.list_(pa.int64()))], names=["conv_id", "block", "leaves"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, at = None, 0
+        for b in batches:
+            found = []
+            for c, block, leaves in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                at = leaves[(0 if block == 0 or c != conv else at) - block * size]
+                conv = c
+                found.append((block + 1, at))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["entry_conv", "entry_block", "entry"])
+
+    left = dealt.drop("role", "text", "sys").repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "idx").mapInArrow(chains, "conv_id long, block long, leaves array<long>")
+    entered = left.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(entries, "entry_conv long, entry_block long, entry long")
+    whole = (
+        dealt.join(entered, F.col("conv_id").eqNullSafe(F.col("entry_conv")) & (F.col("block") == F.col("entry_block")), "left")
+        .select("conv_id", "block", "idx", "tokens", "same", "sys_tokens", F.coalesce("entry", F.lit(0)).alias("entry"), "role", "text", "sys")
         .repartition("conv_id", "block")
-        .sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+        .sortWithinPartitions("conv_id", "block", "idx")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, made = None, []
-        at, prefix, start, recent, seen_system = 0, 0, 0, [], False  # recent: the turns that later windows may repeat
-        parts: list = []
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        made = []
 
-        def close() -> None:
-            nonlocal at, parts
-            if parts:
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*made, strict=True)) or [()] * 6
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "block", "window", "text", "repeated", "loss"])
+
+        for conv, block, columns in blocks(batches):
+            b, at, n = block_of(columns), columns[4][0], 0
+            roles, texts, system = columns[5], columns[6], columns[7][0]
+            last = min((block + 1) * size, columns[0][-1] + 1)
+            while block * size <= at < last:
+                lo, end, put = b.window(at)
+                parts = [("system", system, True)] if put else []
+                parts += [(roles[i - b.first], texts[i - b.first], i < at) for i in range(lo, end)]
                 text, loss, pos = [], [], 0
                 for role, body, repeated in parts:
                     turn, offset = format_turn(role, body)
@@ -101,43 +188,13 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, fold
                         loss.append({"start": pos + offset, "end": pos + len(turn) - len("</s>")})
                     text.append(turn)
                     pos += len(turn)
-                made.append((*group, at, "".join(text), sum(r for _, _, r in parts), loss))
-                at, parts = at + 1, []
-
-        def out() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-            columns = list(zip(*made, strict=True)) or [()] * 6
-            made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "block", "window", "text", "repeated", "loss"])
-
-        room = budget
-        for b in batches:
-            for conv, block, role, text, tokens, system in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)), strict=True):
-                if group != (conv, block):
-                    close()
-                    group, at, prefix, start, recent, seen_system, room = (conv, block), 0, 0, 0, [], False, budget
-                if parts and prefix + tokens - start > room:
-                    close()
-                if not parts:
-                    # prefix sums of the turns so far give the longest suffix that fits into the history
-                    repeat = [(r, t) for end, n, r, t in recent if prefix - (end - n) <= history]
-                    used = sum(n for end, n, _, _ in recent if prefix - (end - n) <= history)
-                    first_of_block = not recent and prefix == 0
-                    if system is not None and not (first_of_block and role == "system" and text == system) and ("system", system) not in repeat:
-                        repeat.insert(0, ("system", system))
-                        used += len(system) // 4
-                    parts = [(r, t, True) for r, t in repeat]
-                    start, room = prefix, max(budget - used, tokens)
-                parts.append((role, text, False))
-                prefix += tokens
-                recent.append((prefix, tokens, role, text))
-                recent = [x for x in recent if prefix - (x[0] - x[1]) <= history] or []
-            if made:
+                made.append((conv, block, n, "".join(text), at - lo + put, loss))
+                at, n = end, n + 1
+            if len(made) >= 256:
                 yield out()
-        close()
         yield out()
 
-    return rows.mapInArrow(run, WINDOWS)
+    return whole.mapInArrow(run, WINDOWS)
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -110,6 +110,40 @@ def test_chat_windows_keep_budget_and_system_turn(spark):
     assert any(w["repeated"] > 1 for w in made)
 
 
+def brute_windows(rows, budget, history):
+    """Turns of each window of one conversation, by one pass over all of it."""
+    from terraloom.llm.vocab import BYTE_BPE, tokenizer
+
+    coder = tokenizer(BYTE_BPE)
+    size = lambda r, t: len(coder.encode(chat.format_turn(r, t)[0], add_special_tokens=False).ids)
+    turns = [(r, t) for _, _, r, t in sorted(rows, key=lambda x: x[1:])]
+    n, system = [size(*x) for x in turns], next((x for x in turns if x[0] == "system"), None)
+    s, at, out = size(*system) if system else 0, 0, []
+    while at < len(turns):
+        lo = at
+        while lo and sum(n[lo - 1 : at]) <= min(history, budget - s - n[at]):
+            lo -= 1
+        lead = [system] if system and system not in turns[lo : at + 1] else []
+        end = at + 1
+        while end < len(turns) and sum(n[lo : end + 1]) + (s if lead else 0) <= budget:
+            end += 1
+        out.append((lead + turns[lo:end], len(lead) + at - lo))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize(("budget", "history"), [(2048, 256), (300, 80), (64, 32)])
+def test_chat_windows_are_those_of_one_pass(spark, budget, history):
+    from terraloom.llm.vocab import BYTE_BPE, tokenizer
+
+    rows = [(1, 0, "system", "Отвечай кратко и вежливо 漢字"), *((1, i * (1 + i % 3), ("user", "assistant")[i % 2], f"turn {i} " * (i * 7 % 11)) for i in range(1, 900))]
+    got = chat.windows(spark.createDataFrame(rows, TURNS), budget, history).orderBy("block", "window").collect()
+    assert [(chat.parse(w["text"]), w["repeated"]) for w in got] == brute_windows(rows, budget, history)
+    assert len({w["block"] for w in got}) > 2
+    if budget >= 300:
+        assert all(len(tokenizer(BYTE_BPE).encode(w["text"], add_special_tokens=False).ids) <= budget for w in got)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/s[]INST\\ \n", max_size=40), st.text(alphabet="<>/s[]INST\\ u", max_size=10))
 def test_escapes_are_reversible(text, role):
