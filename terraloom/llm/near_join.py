@@ -8,7 +8,7 @@ sets have a Jaccard similarity of at least 0.8.
 2. Each tree is a prefix trie over its minima: sets that share a prefix of a tree are grouped by sort and
    aggregation. Prefixes start at full depth and are shortened by one until the estimated recall reaches the target:
    a link of similarity s is found with probability 1 - (1 - s^depth)^trees, so links found stand for the sum
-   of the reciprocals. The join of every group is a star to its smallest set; components of the stars are families.
+   of the reciprocals. With the default parameters full depth meets the target, so nothing is shortened. The join of every group is a star to its smallest set; components of the stars are families.
 3. All pairs of a family are verified on the exact sets, in blocks of bounded size: a family of n sets is cut into
    blocks, each pair of blocks is one task's matrix product; no pair ever is a row, whatever the family's size.
 4. Verified links give classes (components) and the number of links of each document.
