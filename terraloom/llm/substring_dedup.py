@@ -10,9 +10,13 @@ its nodes the (k-1)-mers between them. Only edges that start in several document
    edge: the first document (and position) that has it. By document, runs of edges whose source coordinates
    run along are straight paths; only these few rows go on.
 3. ``compact``: where one path ends and the next begins in a document, the node between is branching unless
-   all that reach it leave it the same way. Spark joins paths over nonbranching nodes into long repeated spans.
-4. ``verified``: source coordinates verify the spans. Each document's words and those at the source coordinates
-   are digested with 128 bits; a span whose digests differ (a hash collision) is taken out and its document done again.
+   all paths that go on behind it go the same way, and all have come the same way. Spark joins paths over nonbranching nodes into long repeated spans; documents
+   that have the same span share its representative, the span in the first of them.
+4. ``verified``: source coordinates verify the spans, by 128-bit digests of the words here and there. A representative
+   is held against the sources of each of its paths, every other copy as a whole against its representative.
+5. Where digests differ, two k-mers share a key and one hides the other's source. The documents concerned and those
+   that were claimed as their sources are done again with keys of another hash function, until all claims hold; what
+   held before stays. So collisions neither remove nor save a word.
 
 A word goes if a window (k-mer) that covers it also starts in a document with a smaller doc_id.
 
@@ -62,7 +66,6 @@ def _numbers(n: int, seed: int) -> np.ndarray:
 
 
 _LETTER = _numbers(256, 1)
-_STEP = _numbers(K, 2) | np.uint64(1)
 _POWERS = [np.ones(1, np.uint64)]
 
 
@@ -74,8 +77,8 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words of a byte string."""
+def word_hashes(data: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the words of a byte string; ``seed`` names the hash function."""
     b = np.frombuffer(data, np.uint8)
     full = ~_BLANK[b]
     first = full.copy()
@@ -86,22 +89,23 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     b, full = b[starts[0] :], full[starts[0] :]
     at = starts - starts[0]
     offset = np.arange(len(b)) - np.repeat(at, np.diff(at, append=len(b)))
-    value = _LETTER[b] * _powers(int(offset.max()) + 1)[offset]
+    value = (_LETTER if not seed else _numbers(256, 1 + 4 * seed))[b] * _powers(int(offset.max()) + 1)[offset]
     value[~full] = 0
     return starts, _mix(np.add.reduceat(value, at))
 
 
-def windows(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[bytes], k: int = K, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number and word position of each k-mer of the texts."""
-    starts, words = word_hashes(b" ".join(texts))
+    starts, words = word_hashes(b" ".join(texts), seed)
+    step = _numbers(k, 2 + 4 * seed) | np.uint64(1)
     edges = np.cumsum([0] + [len(t) + 1 for t in texts])
     bounds = np.searchsorted(starts, edges)
     n = np.diff(bounds)
     if len(words) < k:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = words[: len(words) - k + 1] * _STEP[0]
+    h = words[: len(words) - k + 1] * step[0]
     for i in range(1, k):
-        h = h + words[i : len(words) - k + 1 + i] * _STEP[i]
+        h = h + words[i : len(words) - k + 1 + i] * step[i]
     text = np.repeat(np.arange(len(texts)), n)[: len(h)]
     pos = np.arange(len(h)) - bounds[text]
     ok = pos + k <= n[text]
@@ -190,13 +194,14 @@ def _unpacked(head: bytes, data: bytes) -> tuple[np.ndarray, ...]:
     return key, np.repeat(np.frombuffer(head, "<i8", m), per_doc), np.repeat(np.frombuffer(head, "<i8", m, 8 * m), per_doc), pos
 
 
-def _slice_rows(texts: list[bytes], did: np.ndarray, rid: np.ndarray, buckets: int, k: int) -> Iterator[tuple]:
+def _slice_rows(texts: list[bytes], did: np.ndarray, rid: np.ndarray, buckets: int, k: int, seed: int, bits: int) -> Iterator[tuple]:
     """Rows for the buckets from some whole texts, and the spans that these texts decide among themselves."""
     order = np.lexsort((rid, did))
     texts, did, rid = [texts[i] for i in order], did[order], rid[order]
-    key, text, pos = windows(texts, k)
+    key, text, pos = windows(texts, k, seed)
     if not len(key):
         return
+    key = key & np.uint64((1 << bits) - 1)
     order = np.argsort(key, kind="stable")  # then by text, thus by id, and position
     key, text, pos = key[order], text[order], pos[order]
     new = np.r_[True, key[1:] != key[:-1]]
@@ -228,7 +233,7 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def edges(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
+def edges(docs: DataFrame, buckets: int, k: int = K, seed: int = 0, bits: int = 64) -> DataFrame:
     """Packed edges by bucket, and spans decided within slices. ``docs``: did, rid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +245,10 @@ def edges(docs: DataFrame, buckets: int, k: int = K) -> DataFrame:
                 ids.append((did, rid))
                 size += len(data) + 1
                 if size >= SLICE_BYTES:
-                    yield _table(list(_slice_rows(texts, *np.array(ids, np.int64).T, buckets, k)), _ROWS)
+                    yield _table(list(_slice_rows(texts, *np.array(ids, np.int64).T, buckets, k, seed, bits)), _ROWS)
                     texts, ids, size = [], [], 0
         if texts:
-            yield _table(list(_slice_rows(texts, *np.array(ids, np.int64).T, buckets, k)), _ROWS)
+            yield _table(list(_slice_rows(texts, *np.array(ids, np.int64).T, buckets, k, seed, bits)), _ROWS)
 
     return docs.select("did", "rid", "text").mapInArrow(run, _ROWS)
 
@@ -273,8 +278,9 @@ def _occurrences(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
-def paths(docs: DataFrame, k: int = K) -> DataFrame:
-    """The straight paths of each document: runs of shared edges and where their source has them."""
+def paths(docs: DataFrame, k: int = K, seed: int = 0, bits: int = 64) -> DataFrame:
+    """The straight paths of each document: runs of shared edges and where their source has them. Keys are hashes of ``bits``
+    bits, by the function that ``seed`` names."""
     buckets = max(1, -(-byte_size(docs) // BUCKET_BYTES))
     names = [c.split()[0] for c in _SPANS.split(", ")]
 
@@ -291,14 +297,15 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
         columns = [did[first][row], rid[first][row], *(np.ascontiguousarray(spans[c]).astype(t) for c, t in (("start", np.int32), ("len", np.int32), ("src", np.int64), ("srid", np.int64), ("at", np.int32)))]
         return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
 
-    straight = stored(_occurrences(edges(docs, buckets, k), buckets).groupBy("bucket").applyInArrow(run, _SPANS))
+    straight = stored(_occurrences(edges(docs, buckets, k, seed, bits), buckets).groupBy("bucket").applyInArrow(run, _SPANS))
     release(docs.sparkSession)
     return straight
 
 
 def compact(straight: DataFrame) -> DataFrame:
-    """Paths joined over nonbranching nodes: (did, rid, path, start, len, segments), the segments being the straight
-    paths with their source coordinates."""
+    """Paths joined over nonbranching nodes: (did, rid, start, len, segments, rep), the segments being the straight
+    paths with their source coordinates. ``rep``: where the first document with the same span has it, null for that
+    span itself, for spans of one path and for those with a source in the representative's own document."""
     by_doc = Window.partitionBy("did", "rid").orderBy("start")
     edge = lambda src, srid, at: F.struct(src.alias("src"), srid.alias("srid"), at.alias("at"))
     c = F.col
@@ -313,47 +320,64 @@ def compact(straight: DataFrame) -> DataFrame:
         F.when(c("before.end") == c("start"), c("before.last")).alias("came_from"),
         F.when(c("after.start") == c("start") + c("len"), c("after.first")).alias("goes_to"),
     )
-    # an edge has one way out (in) if all paths that end (begin) at it go on (have come) the same way
-    out = here.groupBy("last").agg(F.min("goes_to").alias("to"), F.max("goes_to").alias("to_too"), F.count_if(c("goes_to").isNull()).alias("ends"))
-    into = here.groupBy("first").agg(F.min("came_from").alias("of"), F.max("came_from").alias("of_too"), F.count_if(c("came_from").isNull()).alias("starts"))
+    # an edge has one way out (in) if all paths that go on behind it (have come to it) do so the same way
+    out = here.where(c("goes_to").isNotNull()).groupBy("last").agg(F.min("goes_to").alias("to"), F.max("goes_to").alias("to_too"))
+    into = here.where(c("came_from").isNotNull()).groupBy("first").agg(F.min("came_from").alias("of"), F.max("came_from").alias("of_too"))
     simple = (
-        out.where((c("ends") == 0) & (c("to") == c("to_too")))
+        out.where(c("to") == c("to_too"))
         .select("last", c("to").alias("first"))
-        .join(into.where((c("starts") == 0) & (c("of") == c("of_too"))).select("first", c("of").alias("of")), "first")
+        .join(into.where(c("of") == c("of_too")).select("first", c("of").alias("of")), "first")
         .where(c("last") == c("of"))
-        .select(c("last").alias("came_from"), "first", F.lit(True).alias("joined"))
+        .select(F.xxhash64("last", "first").alias("node"), c("last").alias("came"), c("first").alias("went"), F.lit(True).alias("joined"))
     )
-    marked = here.join(simple, ["came_from", "first"], "left")
+    own = F.xxhash64("did", "rid", "start")  # deals rows that have no partner to many tasks
+    keyed = here.withColumn("node", F.when(c("came_from").isNotNull(), F.xxhash64("came_from", "first")).otherwise(own))
+    marked = keyed.join(simple, (keyed["node"] == simple["node"]) & (c("came_from") == c("came")) & (c("first") == c("went")), "left")
     numbered = marked.withColumn("path", F.sum(F.when(c("joined"), 0).otherwise(1)).over(by_doc))
-    return numbered.groupBy("did", "rid", "path").agg(
-        F.min("start").alias("start"), F.sum("len").alias("len"), F.array_sort(F.collect_list(F.struct("start", "len", "src", "srid", "at"))).alias("segments")
+    spans = numbered.groupBy("did", "rid", "path").agg(
+        F.min("start").alias("start"), F.sum("len").cast("int").alias("len"), F.array_sort(F.collect_list(F.struct("start", "len", "src", "srid", "at"))).alias("segments")
     )
+    coordinates = F.transform("segments", lambda x: F.struct(x["src"], x["srid"], x["at"], x["len"]))
+    long = (F.size("segments") > 1) & F.forall("segments", lambda x: x["src"] < c("did"))
+    spans = stored(spans.select("did", "rid", "start", "len", "segments", F.when(long, F.xxhash64(coordinates)).otherwise(own).alias("name"), long.alias("long")))
+    rep = F.struct("did", "rid", "start")
+    shared = spans.where("long").groupBy("name").agg(F.min(rep).alias("rep"), F.count("*").alias("n")).where("n > 1").select("name", "rep")
+    other = spans.join(shared, "name", "left").withColumn("rep", F.when(c("long") & (c("rep") != rep), c("rep")))
+    made = stored(other.select("did", "rid", "start", "len", "segments", "rep"))
+    forget(straight.sparkSession, spans)
+    return made
 
 
 def _digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _remove(text: str, did: int, rid: int, segments: list[dict], k: int) -> tuple[list[bytes], np.ndarray, list[bytes | None]]:
-    """Words of a text, which of them go, and a digest per segment (None: its own first windows, or not to trust)."""
+def _remove(text: str, did: int, rid: int, spans: list[dict], k: int) -> tuple[list[bytes], np.ndarray, list[dict]]:
+    """Words of a text, which of them go, and what is claimed of other documents: their words at (src, srid, at)."""
     words = text.encode().split()
     covered = np.zeros(max(0, len(words) - k + 1), bool)
-    digests: list[bytes | None] = []
-    for s in segments:
-        if s["src"] < did:
-            covered[s["start"] : s["start"] + s["len"]] = True
-            digests.append(_digest(words[s["start"] : s["start"] + s["len"] + k - 1]))
-        else:
-            digests.append(None)
-    for s in segments:
+    claims, own = [], []
+    digest = lambda start, n: _digest(words[start : start + n + k - 1])
+    for span in spans:
+        rep = span["rep"]
+        if rep is not None:
+            claims.append({"src": rep["did"], "srid": rep["rid"], "at": rep["start"], "len": span["len"], "digest": digest(span["start"], span["len"])})
+        for s in span["segments"]:
+            if s["src"] < did:
+                covered[s["start"] : s["start"] + s["len"]] = True
+                if rep is None:
+                    claims.append({"src": s["src"], "srid": s["srid"], "at": s["at"], "len": s["len"], "digest": digest(s["start"], s["len"])})
+            elif s["src"] == did and s["srid"] == rid:
+                own.append(s)
+    for s in own:
         n = k - 1 + s["len"]
-        if s["src"] == did and s["srid"] == rid and words[s["start"] : s["start"] + n] == words[s["at"] : s["at"] + n]:
+        if words[s["start"] : s["start"] + n] == words[s["at"] : s["at"] + n]:
             covered[s["start"] : s["start"] + s["len"]] |= covered[s["at"] : s["at"] + s["len"]]
     edge = np.zeros(len(words) + 1, np.int64)
     at = np.flatnonzero(covered)
     edge[at] += 1
     edge[at + k] -= 1
-    return words, np.cumsum(edge)[:-1] > 0, digests
+    return words, np.cumsum(edge)[:-1] > 0, claims
 
 
 def _kept_text(text: str, gone: np.ndarray) -> str:
@@ -364,59 +388,97 @@ def _kept_text(text: str, gone: np.ndarray) -> str:
     return b"".join(c for c, g in zip(_CHUNK.findall(data), gone.tolist(), strict=True) if not g).strip().decode()
 
 
-_SEGMENTS = "array<struct<start:int,len:int,src:long,srid:long,at:int>>"
+_CLAIMS = "array<struct<src:long,srid:long,at:int,len:int,digest:binary>>"
+_KEYS, _AT = ["did", "rid"], ["src", "srid", "at", "len"]
 
 
-def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K) -> DataFrame:
+def _by_document(spans: DataFrame) -> DataFrame:
+    """(did, rid, spans, asked): each document's spans, and what others claim of it."""
+    flat = spans.select(*_KEYS, "len", "rep", F.explode("segments").alias("s"))
+    by_path = flat.where("rep is null and s.src < did").select(F.col("s.src").alias("did"), F.col("s.srid").alias("rid"), F.struct("s.at", "s.len").alias("q"))
+    as_whole = spans.where("rep is not null").select("rep.did", "rep.rid", F.struct(F.col("rep.start").alias("at"), "len").alias("q"))
+    asked = by_path.unionByName(as_whole).distinct().groupBy(*_KEYS).agg(F.collect_list("q").alias("asked"))
+    return spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "len", "segments", "rep")).alias("spans")).join(asked, _KEYS, "full_outer")
+
+
+def _told(docs: DataFrame, wanted: DataFrame, whole_text: bool, k: int, how: str, claims: bool) -> DataFrame:
+    """``docs`` with n_words, n_removed, kept and, if asked for, what they claim (``own``) and know of claims (``told``)."""
+    names = [c for c in docs.columns if c not in ("did", "rid", "text")]
+    out = docs.select(*_KEYS, *names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    if claims:
+        out = out.add("own", _type(_CLAIMS)).add("told", _type(_CLAIMS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.list_(pa.struct([("src", pa.int64()), ("srid", pa.int64()), ("at", pa.int32()), ("len", pa.int32()), ("digest", pa.binary())]))
+        n = len(names)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                rows = []
+                for did, rid, text, spans, asks in zip(*(part.column(i).to_pylist() for i in (0, 1, n + 2, n + 3, n + 4)), strict=True):
+                    words, gone, own = _remove(text, did, rid, spans or [], k)
+                    kept = _kept_text(text, gone) if whole_text else sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words))
+                    told = [{"src": did, "srid": rid, "at": q["at"], "len": q["len"], "digest": _digest(words[q["at"] : q["at"] + q["len"] + k - 1])} for q in asks or []]
+                    rows.append((len(words), int(gone.sum()), kept, own, told))
+                c = list(zip(*rows, strict=True)) or [()] * 5
+                made = [pa.array(list(x), t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.string(), shape, shape), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: n + 2], *made[: 5 if claims else 3]], names=out.names)
+
+    return docs.join(wanted.hint("shuffle_hash"), _KEYS, how).select(*_KEYS, *names, "text", "spans", "asked").mapInArrow(run, out)
+
+
+def _unfounded(told: DataFrame) -> DataFrame:
+    """The claims (src, srid, at, len) that some claimant's words contradict."""
+    claims, facts = (told.select(F.explode(c).alias("o")).select("o.*").distinct() for c in ("own", "told"))
+    return stored(claims.join(facts, [*_AT, "digest"], "left_anti").select(*_AT).distinct())
+
+
+def _by_paths(spans: DataFrame) -> DataFrame:
+    """Every segment as a span of its own."""
+    one = spans.select(*_KEYS, F.explode("segments").alias("s"))
+    return one.select(*_KEYS, F.col("s.start").alias("start"), F.col("s.len").alias("len"), F.array("s").alias("segments"), F.lit(None).cast("struct<did:long,rid:long,start:int>").alias("rep"))
+
+
+def _claimed(spans: DataFrame) -> DataFrame:
+    """Spans of one segment with the coordinates that they claim."""
+    s = F.col("segments")[0]
+    return spans.select("*", s["src"].alias("src"), s["srid"].alias("srid"), s["at"].alias("at"))
+
+
+def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K, bits: int = 64) -> DataFrame:
     """Each row of ``docs`` (did, rid, text and more) with n_words, n_removed and what is kept of it, from spans
     that the words at their source coordinates have confirmed. ``kept``: the text with its own white space if
     ``whole_text``, else the digest of the kept words."""
-    keys = ["did", "rid"]
-    spans = stored(spans)
-    release(docs.sparkSession)  # texts travel next
-    flat = spans.select(*keys, F.explode("segments").alias("s"))
-    segments = flat.groupBy(*keys).agg(F.collect_list("s").alias("segments"))
-    asked = flat.where("s.src <> did or s.srid <> rid").select(F.col("s.src").alias("did"), F.col("s.srid").alias("rid"), F.struct("s.at", "s.len").alias("q")).distinct()
-    wanted = segments.join(asked.groupBy(*keys).agg(F.collect_list("q").alias("asked")), keys, "full_outer")
-    names = [c for c in docs.columns if c not in ("did", "rid", "text")]
-    out = docs.select(*keys, *names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-
-    def done(with_digests: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shape = pa.list_(pa.struct([("src", pa.int64()), ("srid", pa.int64()), ("at", pa.int32()), ("len", pa.int32()), ("digest", pa.binary())]))
-            n = len(names)
-            for b in batches:
-                for lo in range(0, b.num_rows, 512):
-                    part = b.slice(lo, 512)
-                    rows = []
-                    for did, rid, text, segs, asks in zip(*(part.column(i).to_pylist() for i in (0, 1, n + 2, n + 3, n + 4)), strict=True):
-                        words, gone, digests = _remove(text, did, rid, segs or [], k)
-                        kept = _kept_text(text, gone) if whole_text else sha256(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(words))
-                        own = [{"src": s["src"], "srid": s["srid"], "at": s["at"], "len": s["len"], "digest": d} for s, d in zip(segs or [], digests, strict=True) if d is not None]
-                        told = [{"src": did, "srid": rid, "at": q["at"], "len": q["len"], "digest": _digest(words[q["at"] : q["at"] + q["len"] + k - 1])} for q in asks or []]
-                        rows.append((len(words), int(gone.sum()), kept, own, told))
-                    c = list(zip(*rows, strict=True)) or [()] * 5
-                    made = [pa.array(list(x), t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.string(), shape, shape), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: n + 2], *made[: 5 if with_digests else 3]], names=[*out.names, *(("own", "told") if with_digests else ())])
-
-        return run
-
-    shaped = "array<struct<src:long,srid:long,at:int,len:int,digest:binary>>"
-    given = lambda d, w: d.join(w.hint("shuffle_hash"), keys, "left").select(*keys, *names, "text", "segments", "asked")
-    first = stored(given(docs, wanted).mapInArrow(done(True), type(out)(list(out.fields)).add("own", _type(shaped)).add("told", _type(shaped))))
-    at = ["src", "srid", "at", "len"]
-    claims = first.select(F.explode("own").alias("o")).select("o.*").distinct()
-    facts = first.select(F.explode("told").alias("o")).select("o.*").distinct()
-    wrong = stored(claims.join(facts, [*at, "digest"], "left_anti").select(*at).distinct())
-    result = first.select(*out.names)
+    spark = docs.sparkSession
+    release(spark)  # texts travel next
+    first = stored(_told(docs, _by_document(spans), whole_text, k, "left", True))
+    wrong = _unfounded(first)
+    result = first.drop("own", "told")
     if wrong.isEmpty():
-        forget(docs.sparkSession, wrong)
+        forget(spark, wrong)
         return result
-    marked = flat.select(*keys, "s", F.col("s.src").alias("src"), F.col("s.srid").alias("srid"), F.col("s.at").alias("at"), F.col("s.len").alias("len"))
-    again = marked.join(wrong, at, "left_semi").select(*keys).distinct()
-    sound = marked.join(wrong, at, "left_anti").join(again, keys, "left_semi").groupBy(*keys).agg(F.collect_list("s").alias("segments")).withColumn("asked", F.lit(None).cast("array<struct<at:int,len:int>>"))
-    redone = given(docs.join(again, keys, "left_semi"), sound).mapInArrow(done(False), out)
-    return result.join(again, keys, "left_anti").unionByName(redone)
+    # a representative that is wrong itself is wrong for all that are like it
+    by_path = _claimed(_by_paths(spans.where("rep is null"))).join(wrong, _AT, "left_semi").select(*_KEYS, F.col("start").alias("s"))
+    bad = spans.where("rep is null").join(by_path, _KEYS).where("s >= start and s < start + len").select(F.col("did").alias("src"), F.col("rid").alias("srid"), F.col("start").alias("at"), "len")
+    wrong = stored(wrong.unionByName(bad).distinct())
+    like = spans.where("rep is not null").select(*_KEYS, F.col("rep.did").alias("src"), F.col("rep.rid").alias("srid"), F.col("rep.start").alias("at"), "len")
+    again = stored(by_path.select(*_KEYS).unionByName(like.join(wrong, _AT, "left_semi").select(*_KEYS)).distinct())
+    tried, sound, seed = _by_paths(spans.join(again, _KEYS, "left_semi")), None, 0
+    while True:
+        tried = stored(tried)
+        told = stored(_told(docs.select(*_KEYS, "text"), _by_document(tried), False, k, "inner", True))
+        wrong = _unfounded(told)
+        claimed = _claimed(tried)
+        good = claimed.join(wrong, _AT, "left_anti").select(tried.columns)
+        sound = good if sound is None else sound.unionByName(good)
+        if wrong.isEmpty():
+            break
+        seed, bits = seed + 1, min(64, bits + 8)
+        redo = claimed.join(wrong, _AT, "left_semi").select(*_KEYS).unionByName(wrong.select(F.col("src").alias("did"), F.col("srid").alias("rid"))).distinct()
+        tried = _by_paths(compact(paths(docs.select(*_KEYS, "text").join(redo, _KEYS, "left_semi"), k, seed, bits)))
+    held = sound.join(again, _KEYS, "left_semi").groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "len", "segments", "rep")).alias("spans"))
+    wanted = again.join(held, _KEYS, "left").withColumn("asked", F.lit(None).cast("array<struct<at:int,len:int>>"))
+    return result.join(again, _KEYS, "left_anti").unionByName(_told(docs, wanted, whole_text, k, "inner", False))
 
 
 def _type(ddl: str):
@@ -429,10 +491,10 @@ def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
     return with_id(docs, *keep).withColumn("rid", F.xxhash64("text"))
 
 
-def digests(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of each document."""
+def digests(docs: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of each document. ``bits``: the length of the first keys."""
     rows = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return verified(rows, compact(paths(rows, k)), False, k).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    return verified(rows, compact(paths(rows, k, bits=bits)), False, k, bits).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def dedup(docs: DataFrame, k: int = K) -> DataFrame:

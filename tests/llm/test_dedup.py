@@ -57,6 +57,28 @@ def test_substrings_with_overlapping_and_nested_copies(spark):
     assert Counter(map(tuple, substring_dedup.digests(df).collect())) == brute_substrings(rows)
 
 
+def test_substrings_whatever_the_collisions(spark, docs):
+    """Keys of few bits hide sources behind those of other windows; the result is the same."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(80).collect()]
+    rows += [(1000 + i, " ".join(t.split()[i : i + 40])) for i, (_, t) in enumerate(rows[:40]) if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_substrings(rows)
+    assert Counter(map(tuple, substring_dedup.digests(df, bits=13).collect())) == want
+
+
+def test_paths_are_compacted_over_nonbranching_nodes(spark):
+    """Two passages that always follow one another become one span, checked as a whole in all but the first copy."""
+    a, b, c = ([f"{x}{i}" for i in range(30)] for x in "abc")
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a + b)), (4, " ".join(["x", *a, *b])), (5, " ".join([*a, *b, "y"])), (6, " ".join(c)), (7, " ".join(["z"] + c))]
+    docs = substring_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = substring_dedup.compact(substring_dedup.paths(docs))
+    made = {(r["did"], r["start"]): (r["len"], len(r["segments"]), r["rep"] and r["rep"]["did"]) for r in spans.collect()}
+    assert made[3, 0] == made[3, 30] == (18, 1, None)  # 3 is the first with the windows over the seam
+    assert {k: v for k, v in made.items() if k[0] in (4, 5)} == {(4, 1): (48, 3, None), (5, 0): (48, 3, 4)}
+    assert made[7, 1] == (18, 1, None)
+    assert Counter(map(tuple, substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute_substrings(rows)
+
+
 def test_substring_dedup_keeps_columns_and_first_copies(odd):
     kept = substring_dedup.dedup(odd)
     assert set(kept.columns) == set(odd.columns)
