@@ -30,7 +30,8 @@ def roots(edges):
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2)) if a != b]
-    edges += [(1000 + i, 1001 + i) for i in rng.permutation(200).tolist()] + [(5000, i) for i in range(5001, 5100)]  # a path and a hub
+    path = rng.permutation(200).tolist()
+    edges += [(1000 + a, 1000 + b) for a, b in zip(path[:-1], path[1:], strict=True)] + [(5000, i) for i in range(5001, 5100)]  # a path and a hub
     df = spark.createDataFrame(edges + edges[:20] + [(7, 7)], "a long, b long")
     assert {r["id"]: r["label"] for r in components(df).collect()} == {k: v for k, v in roots(edges).items()}
 
