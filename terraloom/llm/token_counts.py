@@ -3,8 +3,8 @@
 1. Every task counts the pre-tokens of its texts; Spark adds the counts up by pre-token.
 2. The library counts the pieces of each distinct pre-token, once.
 3. Every task turns a text into pre-token frequencies again. The pre-tokens above a frequency that at most
-   ``HOT`` of them reach are looked up in a broadcast of that bounded size; only the rare rest is joined with
-   the counts by shuffle, so that no join key is hot. Sums per document follow; no ids are ever made.
+   ``HOT`` of them reach are looked up in a broadcast of that bounded size, long ones by their digest; only the rare rest
+   is joined with the counts by shuffle, so that no join key is hot. Sums per document follow; no ids are ever made.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); special strings inside texts are one token each, as
 the library has it; repeated rows each get a row; a null doc_id stays null; extra columns are dropped; an empty
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import stored
+from terraloom.llm.common import sha256, stored
 from terraloom.llm.vocab import BYTE_BPE, PRE_TOKEN, tokenizer
 
-#: Pre-tokens whose counts are broadcast at most, and the longest such pre-token in bytes.
-HOT, HOT_BYTES = 200_000, 64
+#: Pre-tokens whose counts are broadcast at most, and the longest, in code points, that are known by themselves there.
+HOT, HOT_CHARS = 200_000, 64
 #: Distinct pre-tokens that a task holds before it passes their frequencies on.
 HELD = 200_000
 
@@ -83,6 +83,11 @@ def piece_counts(freqs: DataFrame, folder: str | None = None, name: str = BYTE_B
     return freqs.select("piece", "freq").mapInArrow(run, "piece string, freq long, n int")
 
 
+def _named(piece: str) -> str:
+    """A pre-token, or the digest of a long one: what it is called in the broadcast."""
+    return piece if len(piece) <= HOT_CHARS else f"sha256 {sha256(piece.encode())}"
+
+
 def _hot_above(counts: DataFrame, most: int) -> int:
     """The least power of 2^(1/4) such that at most ``most`` pre-tokens are as frequent."""
     steps = counts.groupBy(F.floor(F.log2("freq") * 4).alias("step")).count().collect()
@@ -98,8 +103,9 @@ def token_counts(docs: DataFrame, limit: int = 512, folder: str | None = None, n
     """doc_id, n_bytes, n_tokens and over_limit of each document."""
     spark = docs.sparkSession
     counts = stored(piece_counts(frequencies(docs, folder, name), folder, name))
-    is_hot = (F.floor(F.log2("freq") * 4) >= _hot_above(counts, hot)) & (F.octet_length("piece") <= HOT_BYTES)
-    known = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in counts.where(is_hot).select("piece", "n").collect()})
+    is_hot = F.floor(F.log2("freq") * 4) >= _hot_above(counts, hot)
+    named = F.when(F.length("piece") <= HOT_CHARS, F.col("piece")).otherwise(F.concat(F.lit("sha256 "), F.sha2("piece", 256)))
+    known = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in counts.where(is_hot).select(named.alias("piece"), "n").collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, n_of = splitter(folder, name), known.value
@@ -112,7 +118,7 @@ def token_counts(docs: DataFrame, limit: int = 512, folder: str | None = None, n
                     text = text.as_py() or ""
                     total = 0
                     for piece, f in Counter(pieces(text)).items():
-                        n = n_of.get(piece)
+                        n = n_of.get(piece if len(piece) <= HOT_CHARS else _named(piece))
                         if n is None:
                             rare.append((piece, f))
                         else:

@@ -100,6 +100,13 @@ def test_counts_without_frequent_pretokens(odd, byte_coder):
     assert Counter(map(tuple, got)) == Counter((r["doc_id"], len(byte_coder.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.select("doc_id", "text").collect())
 
 
+def test_counts_of_long_frequent_pretokens(spark, byte_coder):
+    """A ruler that many documents share is looked up by its digest and not joined."""
+    rows = [(i, f"head {'=' * (300 + i % 2)}\n" * 3 + "z" * (64 + i % 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df).collect()} == {i: len(byte_coder.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def check_packing(rows, documents, coder, capacity):
     """Pieces are the documents' ids, cut only where they are longer than a sequence; sequences are gapless."""
     by_piece, by_sequence = Counter(), defaultdict(list)
