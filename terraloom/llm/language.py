@@ -9,7 +9,8 @@ ratio of its n-grams' frequencies in a language's sample to even ones. Each lang
 sample; the score is the machines' or that of the evidence, whichever is lower.
 
 The machines are fitted on the driver on a bounded sample, at most about ``PER_LANGUAGE`` labelled documents
-of each language drawn by the hash of their id, sent there as sparse features. Prediction is one map over the
+of each language drawn by the hash of their id, sent there as sparse features; of the languages the ``LANGUAGES``
+most frequent labels. Prediction is one map over the
 scan with a model of fixed size (``BUCKETS`` x machines).
 
 Cases: a text that is null or has no letter is ``und`` with score 0; if there is no labelled row, all are
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import quoted
 
-#: Labelled documents that are learned from, per language; feature buckets; passes over the sample.
-PER_LANGUAGE, BUCKETS, EPOCHS = 300, 8192, 15
+#: Labelled documents that are learned from, per language; languages that are learned, those with most documents;
+#: feature buckets; passes over the sample.
+PER_LANGUAGE, LANGUAGES, BUCKETS, EPOCHS = 300, 64, 8192, 15
 UNKNOWN = "und"
 #: Documents whose prediction scores lower are rejected by ``accepted``.
 LEAST_SCORE = 0.05
@@ -168,10 +170,11 @@ def _rows(at: pa.ListArray, values: pa.ListArray) -> Iterator[Sparse]:
         yield flat[lo:hi], data[lo + d : hi + d]
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """A model from the rows of (doc_id, text, lang); rows without a label or letters teach nothing."""
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
+    """A model from the rows of (doc_id, text, lang); rows without a label or letters, or with a label that is not among
+    the ``languages`` most frequent ones, teach nothing."""
     rows = labelled.select(F.col("doc_id").cast("long"), "text", "lang").where("doc_id is not null and lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not sizes:
         return NOTHING
     share = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, per_language / n))))

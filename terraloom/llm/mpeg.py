@@ -6,8 +6,10 @@ payload, and an ID3v1 trailer. All frames take the highest bitrate but the last,
 holds the rest. Every frame carries the CRC-16 of its header and side information.
 
 Reading works on any MPEG-1/2/2.5 audio stream: it skips junk until two frame headers follow one another (or
-the stream ends with the frame), parses ID3v2, ID3v1 and Xing/Info/VBRI tables, verifies checksums, and gives
-the exact duration (samples over rate) and the byte offset of each frame for seeking.
+the stream ends with the frame), parses ID3v2 (2.2 to 2.4, extended headers, footers), ID3v1 and Xing/Info/VBRI tables,
+verifies checksums of layers I and III (those of layer II need its allocation tables and are not verified), and gives
+the exact duration (samples over rate, summed over all rates) and the byte offset of each frame for seeking. Any
+bytes can be read: what is cut short counts as far as it goes.
 
 Documents are independent: one map over the scan, no shuffle.
 
@@ -79,6 +81,7 @@ class Header:
     layer: int
     side: int
     protected: bool
+    checked: int  # bytes behind the checksum that it covers besides the header's last two; -1: unknown
 
 
 @lru_cache(maxsize=4096)
@@ -96,7 +99,9 @@ def header(b: bytes) -> Header | None:
     size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
     mono = b[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if first else 9 if mono else 17
-    return Header(size, samples, hz, kbps, layer, side, not b[1] & 1)
+    apart = 32 if b[3] >> 6 != 1 else 4 * ((b[3] >> 4 & 3) + 1)  # subbands that two channels allocate apart (layer I)
+    checked = side if layer == 3 else (16 if mono else (32 + apart) // 2) if layer == 1 else -1
+    return Header(size, samples, hz, kbps, layer, side, not b[1] & 1, checked)
 
 
 def _frame_head(index: int) -> bytes:
@@ -153,32 +158,38 @@ class Stream:
 
 
 def _read_id3(data: bytes, tags: dict[str, bytes]) -> int:
-    """Frames of an ID3v2 tag at the start; the offset behind it."""
+    """Frames of an ID3v2 tag at the start; the offset behind it and its footer."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at = 10 + unsafe(data[6:10]), 10
-    while at + 10 <= min(end, len(data)) and data[at] != 0:
-        n = unsafe(data[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        tags[data[at : at + 4].decode("latin-1")] = data[at + 10 : at + 10 + n]
-        at += 10 + n
-    return end
+    unsafe = lambda b: int.from_bytes(b, "big") if data[3] < 4 else sum((x & 127) << 7 * k for k, x in enumerate(reversed(b)))
+    body = sum((x & 127) << 7 * k for k, x in enumerate(reversed(data[6:10])))
+    end, at = 10 + body, 10
+    if data[3] >= 3 and data[5] & 0x40:  # extended header; version 2.3 does not count its own size
+        at += unsafe(data[10:14]) + (4 if data[3] == 3 else 0)
+    name, head = (3, 6) if data[3] == 2 else (4, 10)
+    while at + head <= min(end, len(data)) and data[at] != 0:
+        n = unsafe(data[at + name : at + name + 4]) if name == 4 else int.from_bytes(data[at + 3 : at + 6], "big")
+        tags[data[at : at + name].decode("latin-1")] = data[at + head : min(end, at + head + n)]
+        at += head + n
+    return end + (10 if data[3] >= 4 and data[5] & 0x10 else 0)
 
 
 def _read_table(frame: bytes, h: Header) -> dict[str, object]:
-    """The Xing, Info or VBRI table of a frame, if it is one."""
+    """The Xing, Info or VBRI table of a frame, if it is one and whole."""
     at = 4 + 2 * h.protected + h.side
     kind = frame[at : at + 4]
-    if kind in (b"Xing", b"Info"):
+    if kind in (b"Xing", b"Info") and len(frame) >= at + 8:
         flags, at, out = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8, {"kind": kind.decode()}
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit:
                 out[name], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
         if flags & 4:
-            out["seek"] = frame[at : at + 100]
-        return out
-    if frame[36:40] == b"VBRI":
+            out["seek"], at = frame[at : at + 100], at + 100
+        return out if at <= len(frame) else {}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         n_bytes, n_frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
+        if 62 + width * entries > len(frame):
+            return {}
         seek = [scale * int.from_bytes(frame[62 + width * i : 62 + width * (i + 1)], "big") for i in range(entries)]
         return {"kind": "VBRI", "frames": n_frames, "bytes": n_bytes, "seek": seek}
     return {}
@@ -187,10 +198,10 @@ def _read_table(frame: bytes, h: Header) -> dict[str, object]:
 def read_stream(data: bytes) -> Stream:
     s = Stream()
     at, end, parts, first = _read_id3(data, s.tags), len(data), [], True
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         s.tags["ID3v1"] = data[end : end + 128]
-    synced = False
+    synced, samples = False, {}
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = at + h.size if h else 0
@@ -201,21 +212,20 @@ def read_stream(data: bytes) -> Stream:
             continue
         synced = True
         body = at + 4 + 2 * h.protected + h.side
-        if h.protected and h.layer == 3:
-            s.bad_checksums += crc16(data[at + 2 : at + 4] + data[at + 6 : body]) != data[at + 4] << 8 | data[at + 5]
+        if h.protected and h.checked >= 0:
+            s.bad_checksums += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.checked]) != data[at + 4] << 8 | data[at + 5]
         if first and (found := _read_table(data[at:after], h)):
             s.table = found
         else:
             s.offsets.append(at)
-            s.samples += h.samples
             s.rate = s.rate or h.rate
-            s.duration += Fraction(h.samples, h.rate) if h.rate != s.rate else 0
+            samples[h.rate] = samples.get(h.rate, 0) + h.samples
             s.kbps[h.kbps] = s.kbps.get(h.kbps, 0) + 1
             parts.append(data[body:after])
         first, at = False, after
-    same = sum(s.kbps.values()) and not s.duration
-    if same:
-        s.duration = Fraction(s.samples, s.rate)
+    s.skipped += max(0, end - at)
+    s.samples = sum(samples.values())
+    s.duration = sum((Fraction(n, rate) for rate, n in samples.items()), Fraction(0))
     s.ancillary = b"".join(parts)
     return s
 
@@ -280,14 +290,13 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1):
-                data, n = padded(t.as_py())
-                media = write_stream(data)
+            for m in b.column(2):
+                media = m.as_py()
                 s = read_stream(media)
                 back = payload_of(s)
-                rows.append((n, len(back), sha256(back), zlib.crc32(back[-BLOCK:]), len(media), sha256(media), feature(s)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
+                rows.append((len(back), sha256(back), zlib.crc32(back[-BLOCK:]), len(media), sha256(media), feature(s)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return store(docs).mapInArrow(run, SCHEMA)

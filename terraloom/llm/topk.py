@@ -5,10 +5,12 @@ Entries are dealt to the nearest of a bounded number of pivots, large pivots' en
 shard is an M-tree of pages: routing objects with covering radii and the distances to their parents. For a
 query q, a node with routing object c and radius r holds no score above q.c + |q| r, and by the triangle
 inequality none above q.p + |q| (d(p, c) + r) for its parent p, which needs no product with c; entries of a leaf
-are passed over likewise. Nodes are visited best bound first until the bound falls below the k-th score.
+are passed over likewise, or because |q| |x| is too low. Nodes are visited best bound first until the bound falls below the k-th score.
 
 A query first searches the shard of its own pivot, which gives it a lower bound for its k-th score, and then only the
-pivots whose bound reaches it. Shards meet queries in blocks of bounded size; the best of all shards are merged.
+pivots whose bound reaches it. A shard's entries come before its queries in one task: its tree is built once, and the
+queries stream past it. The best of all shards are merged. How many products are avoided is a matter of the data: in
+clusters most are, among vectors without any structure in many dimensions hardly one, as for every metric index.
 
 Cases: a vector that is null or holds null or non-finite components, or a null vec_id, takes no part; shorter
 vectors count as padded with zeros; repeated rows (same id and vector) count once; ties go to the smaller vec_id;
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from terraloom.llm.common import stored
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
-#: Pivots at most, entries per shard on average, queries per block on average, entries per page, children per node.
-PIVOTS, SHARD, QUERY_BLOCK, PAGE, FANOUT = 256, 8192, 5000, 256, 16
+#: Pivots at most, entries per shard on average, entries per page, children per node.
+PIVOTS, SHARD, PAGE, FANOUT = 4096, 8192, 128, 16
 #: Slack for the rounding of float bounds; scores themselves are exact integers.
 EPS = 1e-6
 
@@ -55,6 +57,7 @@ class Node:
     radius: float
     vectors: np.ndarray  # of the entries, or routing objects of the children
     parent_distance: np.ndarray
+    norms: np.ndarray
     uids: np.ndarray | None = None
     children: list[Node] | None = None
     radii: np.ndarray | None = None
@@ -69,7 +72,7 @@ def build_tree(x: np.ndarray, uids: np.ndarray, page: int = PAGE, fanout: int =
     center = x[_norms(x - x.mean(axis=0)).argmin()]
     if len(x) <= page:
         d = _norms(x - center)
-        return Node(center, float(d.max()), x, d, uids=uids)
+        return Node(center, float(d.max()), x, d, _norms(x), uids=uids)
     m = min(fanout, -(-len(x) // page) + 1)
     seeds, nearest = [int(_norms(x - center).argmax())], None
     while len(seeds) < m:  # farthest-first
@@ -83,13 +86,13 @@ def build_tree(x: np.ndarray, uids: np.ndarray, page: int = PAGE, fanout: int =
     children = [build_tree(x[of == i], uids[of == i], page, fanout) for i in range(m) if (of == i).any()]
     routing = np.stack([c.center for c in children])
     d, radii = _norms(routing - center), np.array([c.radius for c in children])
-    return Node(center, float((_norms(x - center)).max()), routing, d, children=children, radii=radii)
+    return Node(center, float((_norms(x - center)).max()), routing, d, _norms(routing), children=children, radii=radii)
 
 
-def search(root: Node, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+def search(root: Node, q: np.ndarray, k: int, least: float = -np.inf, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """uids and scores of the k entries with the highest inner products, ties to smaller uids. Entries that
-    score below ``least`` may be missing."""
-    norm = float(np.sqrt(q @ q))
+    score below ``least`` may be missing. ``seen`` is given the numbers of vectors whose product was computed."""
+    norm, seen = float(np.sqrt(q @ q)), [] if seen is None else seen
     best_s, best_u, floor = np.empty(0), np.empty(0, np.int64), least
     dot = float(root.center @ q)
     queue = [(-(dot + norm * root.radius), 0, dot, root)]
@@ -99,9 +102,10 @@ def search(root: Node, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[n
         if -bound + EPS < floor:
             break
         if node.children is None:
-            near = dot + norm * node.parent_distance + EPS >= floor
+            near = np.minimum(dot + norm * node.parent_distance, norm * node.norms) + EPS >= floor
             x, u = (node.vectors, node.uids) if near.all() else (node.vectors[near], node.uids[near])
             s = x @ q
+            seen.append(len(s))
             if floor > -np.inf:
                 over = s >= floor
                 s, u = s[over], u[over]
@@ -113,7 +117,8 @@ def search(root: Node, q: np.ndarray, k: int, least: float = -np.inf) -> tuple[n
                 if len(best_s) == k:
                     floor = max(floor, float(best_s.min()))
             continue
-        near = np.flatnonzero(dot + norm * (node.parent_distance + node.radii) + EPS >= floor)
+        near = np.flatnonzero(np.minimum(dot + norm * (node.parent_distance + node.radii), norm * (node.norms + node.radii)) + EPS >= floor)
+        seen.append(len(near))
         for i, d in zip(near.tolist(), (node.vectors[near] @ q).tolist(), strict=True):
             up = d + norm * float(node.radii[i])
             if up + EPS >= floor:
@@ -138,25 +143,37 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _searched(entries: DataFrame, queries: DataFrame, width: int, k: int, blocks: int) -> DataFrame:
-    """(quid, uid, score): the best of each (shard, query) that ``queries`` (quid, v, least, shard) asks for."""
-    left = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("quid"), F.lit(blocks)).cast("int"))
+def _searched(entries: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+    """(quid, uid, score): the best of each (shard, query) that ``queries`` (quid, v, least, shard) asks for. Entries come
+    first in their shard, so its tree is built when the first query arrives."""
+    nothing = F.lit(None).cast("double").alias("least")
+    both = entries.select("shard", F.lit(0).alias("asks"), F.col("uid").alias("id"), nothing, "v").unionByName(queries.select("shard", F.lit(1).alias("asks"), F.col("quid").alias("id"), "least", "v"))
 
-    def run(x: pa.Table, q: pa.Table) -> pa.Table:
-        quids, uids, scores = [], [], []
-        if x.num_rows and q.num_rows:
-            order = np.argsort(x.column("uid").to_numpy())
-            root = build_tree(_matrix(x.column("v"), width)[order], x.column("uid").to_numpy()[order])
-            for quid, least, v in zip(q.column("quid").to_pylist(), q.column("least").to_pylist(), _matrix(q.column("v"), width), strict=True):
-                u, s = search(root, v, k, -np.inf if least is None else least)
-                quids.append(np.full(len(u), quid))
-                uids.append(u)
-                scores.append(s.astype(np.int64))
-        cat = lambda p: np.concatenate(p).astype(np.int64) if p else np.empty(0, np.int64)
-        return pa.table({"quid": cat(quids), "uid": cat(uids), "score": cat(scores)})
-
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, FOUND)
+    def run(batches):
+        at, held, root = None, [], None
+        for b in batches:
+            shard, asks, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(4), width)
+            least = b.column(3).to_pylist()
+            quids, uids, scores = [], [], []
+            cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])]) if len(shard) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+                if shard[lo] != at:
+                    at, held, root = shard[lo], [], None
+                if not asks[lo]:
+                    held.append((x[lo:hi], ids[lo:hi]))
+                    continue
+                if root is None and held:
+                    root = build_tree(*(np.concatenate(p) for p in zip(*held, strict=True)))
+                    held = []
+                for i in range(lo, hi) if root is not None else ():
+                    u, s = search(root, x[i], k, -np.inf if least[i] is None else least[i])
+                    quids.append(np.full(len(u), ids[i]))
+                    uids.append(u)
+                    scores.append(s.astype(np.int64))
+            cat = lambda p: np.concatenate(p).astype(np.int64) if p else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cat(p)) for p in (quids, uids, scores)], names=["quid", "uid", "score"])
+
+    return both.repartition("shard").sortWithinPartitions("shard", "asks", "id").mapInArrow(run, FOUND)
 
 
 def top_k(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> DataFrame:
@@ -194,8 +211,7 @@ def top_k(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY) ->
     asked = rows.where(F.col("vec_id") % query_every == 0).distinct().join(entries.select("v", F.col("uid").alias("quid")), "v").select("vec_id", "quid")
     asked = stored(asked)
     queries = stored(asked.select("quid").distinct().join(sharded.withColumnRenamed("uid", "quid"), "quid"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    home = stored(_searched(sharded, queries.withColumn("least", F.lit(None).cast("double")), width, k + 1, blocks))
+    home = stored(_searched(sharded, queries.withColumn("least", F.lit(None).cast("double")), width, k + 1))
     reached = home.groupBy("quid").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low")).select("quid", F.when(F.col("n") > k, F.col("low")).alias("least"))
 
     def routes(batches):
@@ -213,7 +229,7 @@ def top_k(embeddings: DataFrame, k: int = K, query_every: int = QUERY_EVERY) ->
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(3).take(take), pa.array(shard[away])], names=["quid", "v", "least", "shard"])
 
     routed = queries.join(reached, "quid", "left").select("quid", "v", "shard", "least").mapInArrow(routes, "quid long, v array<long>, least double, shard int")
-    found = home.unionByName(_searched(sharded, routed, width, k + 1, blocks))
+    found = home.unionByName(_searched(sharded, routed, width, k + 1))
     best = lambda df, of, by, most: df.withColumn("r", F.row_number().over(Window.partitionBy(of).orderBy(F.desc("score"), by))).where(F.col("r") <= most).drop("r")
     ids = best(found, "quid", "uid", k + 1).join(entries.select("uid", "ids"), "uid").select("quid", "score", F.explode("ids").alias("vec_id"))
     lists = best(ids, "quid", "vec_id", k + 1).groupBy("quid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("best"))

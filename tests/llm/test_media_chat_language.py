@@ -57,6 +57,65 @@ def test_damage_is_noticed_and_junk_skipped():
     assert again.skipped >= 40 and len(again.offsets) >= len(s.offsets) - 1
 
 
+def frame(version, layer, index, rate, mode=3, protected=False, fill=0):
+    """A frame by its header fields, with zeros as side information."""
+    head = bytes((0xFF, 0xE0 | version << 3 | 4 - layer << 1 | (not protected), index << 4 | rate << 2, mode << 6))
+    h = mpeg.header(head)
+    body = bytearray(h.size - 4)
+    if protected:
+        body[:2] = mpeg.crc16(head[2:] + bytes(h.checked)).to_bytes(2, "big")
+    return head + bytes(body), h
+
+
+def test_durations_sum_over_rates():
+    a, b = frame(3, 3, 9, 1)[0], frame(3, 3, 9, 0)[0]
+    s = mpeg.read_stream(a * 10 + b * 10)
+    assert s.duration == Fraction(11520, 48000) + Fraction(11520, 44100) and len(s.offsets) == 20 and s.samples == 23040
+
+
+def test_checksums_of_layers():
+    for version, layer, mode in [(3, 1, 0), (3, 1, 3), (3, 1, 1), (2, 1, 0), (3, 3, 0), (2, 3, 3)]:
+        data, h = frame(version, layer, 9, 0, mode, protected=True)
+        assert mpeg.read_stream(data * 3).bad_checksums == 0
+        broken = data[:6] + bytes([data[6] ^ 1]) + data[7:]
+        assert mpeg.read_stream(broken * 3).bad_checksums == 3
+
+
+def test_tables_that_are_cut_short():
+    data, h = frame(3, 3, 1, 2)  # a frame of 144 bytes
+    small, low = frame(2, 3, 1, 1)  # and one of 24
+    assert len(small) == 24 and low.size == 24
+    for at in (36,):
+        vbri = bytearray(frame(2, 3, 2, 1)[0])
+        vbri[at : at + 4] = b"VBRI"
+        assert len(vbri) == 48 and mpeg.read_stream(bytes(vbri) * 2).table == {}
+    whole = bytearray(data)
+    whole[36:40] = b"VBRI"
+    whole[46:62] = (1000).to_bytes(4, "big") + (7).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes(2)
+    whole[62:66] = (5).to_bytes(2, "big") + (6).to_bytes(2, "big")
+    assert mpeg.read_stream(bytes(whole) + data).table == {"kind": "VBRI", "frames": 7, "bytes": 1000, "seek": [15, 18]}
+
+
+def test_tags_of_all_versions():
+    audio = frame(3, 3, 9, 1)[0] * 2
+    old = b"TT2" + (3).to_bytes(3, "big") + b"\0ab"
+    assert mpeg.read_stream(b"ID3\x02\0\0" + mpeg._syncsafe(len(old)) + old + audio).tags["TT2"] == b"\0ab"
+    new = mpeg._tag_frame(b"TIT2", b"\0abc")
+    foot = mpeg.read_stream(b"ID3\x04\0\x10" + mpeg._syncsafe(len(new)) + new + b"3DI\x04\0\x10" + mpeg._syncsafe(len(new)) + audio)
+    assert foot.tags["TIT2"] == b"\0abc" and foot.skipped == 0 and len(foot.offsets) == 2
+    extended = (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0abc"
+    assert mpeg.read_stream(b"ID3\x03\0\x40" + mpeg._syncsafe(len(extended)) + extended + audio).tags["TIT2"] == b"\0abc"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=60), st.sampled_from([b"ID3", b"\xff\xfb", b"\xff\xf3\x20", b"VBRI", b"Xing\0\0\0\x0f", b"TAG", *(frame(*f)[0] for f in ((3, 3, 1, 1), (2, 3, 2, 1), (3, 1, 3, 0), (0, 2, 1, 2)))])), max_size=12))
+def test_any_bytes_can_be_read(parts):
+    data = b"".join(parts)
+    s = mpeg.read_stream(data)
+    assert s.duration >= 0 and all(0 <= o < len(data) for o in s.offsets) and s.skipped <= len(data)
+    assert mpeg.read_stream(data[: len(data) // 2]).duration >= 0
+
+
 def test_stored_media_can_be_read_as_columns(odd):
     rows = mpeg.read(mpeg.store(odd)).collect()
     assert len(rows) == odd.count()
@@ -238,6 +297,82 @@ def test_top_k_cases(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_several_shards_and_pivots(spark, monkeypatch):
+    """Salted shards of one pivot, several pivots, vectors of several lengths, a clashing column."""
+    monkeypatch.setattr(topk, "SHARD", 32)
+    monkeypatch.setattr(topk, "PIVOTS", 5)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 10)) * 2
+    rows = [(i, [float(x) for x in (centres[i % 6] + 0.2 * rng.normal(size=10))[: 10 - i % 2]]) for i in range(400)]
+    df = spark.createDataFrame([(i, e, "x", 1.5, 3) for i, e in rows], "vec_id long, embedding array<double>, uid string, v double, shard int")
+    got = topk.top_k(df).collect()
+    wide = [(i, e + [0.0] * (10 - len(e))) for i, e in rows]
+    assert {tuple(r) for r in got} == brute_top(wide) and len(got) == len(set(got))
+
+
+def test_bounds_avoid_products_in_clusters():
+    """Best-first search computes few products among clustered vectors, and finds what brute force finds."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32)) * 60
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 3)
+    root, share = topk.build_tree(x, np.arange(4000), page=32), []
+    for q in x[:50]:
+        seen = []
+        uids, scores = topk.search(root, q, 20, seen=seen)
+        all_scores = x @ q
+        assert uids.tolist() == np.lexsort((np.arange(4000), -all_scores))[:20].tolist() and (scores == all_scores[uids]).all()
+        share.append(sum(seen) / 4000)
+    assert np.mean(share) < 0.2
+
+
+def plain_prediction(model, text):
+    """Family, votes and score of a text, one n-gram at a time."""
+    data = (" " + text.lower() + "   ").encode()
+    data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in data)
+    seen = Counter()
+    for n, k in ((2, 2654435761), (3, 2246822519), (4, 3266489917)):
+        for i in range(len(data) - n + 1):
+            seen[int.from_bytes(data[i : i + n], "big") * k % 2**32 >> 32 - (language.BUCKETS.bit_length() - 1)] += 1
+    length = sum(seen.values()) ** 0.5
+    x = {b: c**0.5 / length for b, c in seen.items()}
+    margins = [sum(v * float(model.weights[b, m]) for b, v in x.items()) for m in range(model.weights.shape[1])]
+    sure = lambda m: 1 / (1 + np.exp(-4 * m))
+    n = len(model.families)
+    family = max(range(n), key=lambda f: margins[f])
+    languages, votes, won = model.families[family], Counter(), defaultdict(list)
+    for (f, a, b), m in zip(model.duels, margins[n:], strict=True):
+        if f == family:
+            votes[a if m >= 0 else b] += 1 + 1e-3 * np.tanh(abs(m))
+            won[a].append(m)
+            won[b].append(-m)
+    best = max(range(len(languages)), key=lambda i: (votes[i], -i))
+    score = (1.0 if n == 1 else sure(margins[family])) * (sure(min(won[best])) if won[best] else 1.0)
+    blanks = set(language._BLANKS)
+    total = sum(v * v for b, v in x.items() if b not in blanks)
+    told = [sum(v * v / total * float(model.profiles[b, c]) for b, v in x.items() if b not in blanks) for c in range(len(model.least))]
+    over = max(t - float(m) for t, m in zip(told, model.least, strict=True))
+    return languages[best], min(score, 1 / (1 + (1 / language.LEAST_SCORE - 1) * np.exp(-4 * over)))
+
+
+def test_predictions_are_votes_within_the_family(docs):
+    model = language.train(docs.where(~language.held_out()))
+    assert len(model.families) >= 2 and len(model.duels) >= 1
+    said = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in language.evaluated(docs).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    tried = 0
+    for (_, text), (lang, score) in said.items():
+        if text and len(text) < 600 and language.has_letter(text):
+            want, sure = plain_prediction(model, text)
+            assert lang == want and abs(score - sure) < 1e-3
+            tried += 1
+    assert tried >= 20
+
+
+def test_only_the_most_frequent_labels_are_learned(docs):
+    most = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy("count", ascending=False).limit(2).collect()]
+    model = language.train(docs, languages=2)
+    assert sorted(x for f in model.families for x in f) == sorted(most)
+
+
 @pytest.mark.parametrize("run", [mpeg.digests])
 def test_empty_tables(empty, run, spark):
     assert run(empty).count() == 0
