@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.operators import masks, series, spectral
+from terraloom.operators import masks, series, spectral, window_fit
 from terraloom.schema import EPOCHS_PER_YEAR, HALF, WEIGHTS
 
 KEYS = ("px",)
@@ -19,41 +20,34 @@ def masked(df: DataFrame, weights: Sequence[float], keys: Sequence[str] = KEYS,
     return df.select(*keys, "t", masks.no_fill(F.col("value")).cast("double").alias("v"), masks.weight(F.col("qual"), weights, missing=missing, recode=recode).alias("w"))
 
 
-def refit(df: DataFrame, passes: int = 2, second: str = "raw", half: int = HALF) -> DataFrame:
-    """Adds ``fit``, the centre of the parabola after ``passes`` passes with residual weights in between; needs ``frame``."""
-    df = series.fit_window(df, "c1", "frame", half)
-    frame = "frame"
-    for i in range(2, passes + 1):
-        df = series.reweight(df, f"frame{i}", f"c{i - 1}", frame, half, second)
-        frame = f"frame{i}"
-        df = series.fit_window(df, f"c{i}", frame, half)
-    return df.withColumn("fit", F.col(f"c{passes}.a0")).withColumn("last_frame", F.col(frame))
-
-
 def poly_lin(df: DataFrame, keys: Sequence[str] = KEYS, second: str = "raw") -> DataFrame:
     """two weighted parabola passes over sliding windows, then interpolation of what has no fit."""
-    fit = refit(series.frames(masked(df, WEIGHTS["poly_lin"], keys), keys), second=second).select(*keys, "t", "fit")
-    return series.interpolate(fit.withColumn("fit", F.rint("fit")), keys, "fit", "smooth")
+
+    def run(v, w):
+        return {"smooth": spectral.fill_rows(np.rint(window_fit.refit(window_fit.around(v), window_fit.around(w), second=second)[0][0]))}
+
+    return window_fit.over_series(masked(df, WEIGHTS["poly_lin"], keys), keys, run, ["smooth"])
 
 
 def lin_poly(df: DataFrame, keys: Sequence[str] = KEYS, online: bool = False) -> DataFrame:
     """interpolation first, two passes (the second on the fit), and the interpolated value where the fit is below 1."""
     filled = series.interpolate(masked(df, WEIGHTS["lin_poly"], keys), keys, online_after=15 if online else None)
-    fit = refit(series.frames(filled, keys, value="filled"), second="fit")
-    return fit.select(*keys, "t", "filled", "fit", masks.fit_or_interpolation(F.rint("fit"), F.col("filled")).alias("smooth"))
 
+    def run(v, w):
+        return {"filled": v[:, HALF:-HALF], "fit": window_fit.refit(window_fit.around(v), window_fit.around(w), second="fit")[0][0]}
 
-def windows_filtered(df: DataFrame, keys: Sequence[str], passes: int, rounded: bool = True) -> DataFrame:
-    """Sliding windows with each frame's values filtered by Fourier; adds ``filtered`` (array) and keeps ``ws``."""
-    arrays = series.frames(df, keys).select(*keys, "t", F.col("frame.v").alias("vs"), F.col("frame.w").alias("ws"))
-    return spectral.fft_filter(arrays, passes=passes, rounded=rounded)
+    fit = window_fit.over_series(filled, keys, run, ["filled", "fit"], value="filled")
+    return fit.select(*keys, "t", "filled", "fit", masks.fit_or_interpolation(F.rint("fit"), F.col("filled")).alias("smooth"))
 
 
 def sg_fft_poly(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fourier filter within each window, then two weighted parabola passes over the filtered values."""
-    arrays = windows_filtered(masked(df, WEIGHTS["sg_fft_poly"], keys), keys, 1)
-    framed = arrays.withColumn("frame", F.zip_with("filtered", "ws", lambda v, w: F.struct(v.alias("v"), w.alias("w"))))
-    return refit(framed).select(*keys, "t", "fit", F.rint("fit").alias("smooth"))
+
+    def run(v, w):
+        fit = window_fit.refit(window_fit.filtered(window_fit.around(v)), window_fit.around(w))[0][0]
+        return {"fit": fit, "smooth": np.rint(fit)}
+
+    return window_fit.over_series(masked(df, WEIGHTS["sg_fft_poly"], keys), keys, run, ["fit", "smooth"])
 
 
 def fft_year(df: DataFrame, keys: Sequence[str] = KEYS, start: int = 0, rounded: bool = True) -> DataFrame:
@@ -65,7 +59,11 @@ def fft_year(df: DataFrame, keys: Sequence[str] = KEYS, start: int = 0, rounded:
 
 def fft_window(df: DataFrame, keys: Sequence[str] = KEYS, passes: int = 1, rounded: bool = True) -> DataFrame:
     """centre of each window after one or two Fourier passes."""
-    return windows_filtered(masked(df, WEIGHTS["poly_lin"], keys), keys, passes, rounded).select(*keys, "t", F.col("filtered")[HALF].alias("smooth"))
+
+    def run(v, w):
+        return {"smooth": window_fit.filtered(window_fit.around(v), passes, rounded)[HALF]}
+
+    return window_fit.over_series(masked(df, WEIGHTS["poly_lin"], keys), keys, run, ["smooth"])
 
 
 def dft_year(df: DataFrame, keys: Sequence[str] = KEYS, harmonics: int = 3, weights: Sequence[float] = WEIGHTS["dft"], missing: float = 0.0, start: int = 0) -> DataFrame:
@@ -77,13 +75,16 @@ def dft_year(df: DataFrame, keys: Sequence[str] = KEYS, harmonics: int = 3, weig
 
 def poly(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """four parabola passes on the fit, a straight line where observations are few, and the window's extremes as bounds."""
-    stats = series.window_stats(masked(df, WEIGHTS["poly"], keys), keys)
-    fit = refit(series.frames(stats, keys), passes=4, second="fit")
-    fit = fit.withColumn("_fit", series.fitted("last_frame", "c4"))
-    fit = fit.withColumn("_line_frame", F.zip_with("_fit", "last_frame", lambda v, x: F.struct(v.alias("v"), x["w"].alias("w"))))
-    fit = series.fit_window(fit, "line", "_line_frame", degree=1)
-    chosen = F.when(series.linear_is_due(), F.col("line.a0")).otherwise(F.col("fit"))
-    return fit.select(*keys, "t", "v_min", "v_max", masks.between_extremes(F.rint(chosen), F.col("v_min"), F.col("v_max")).alias("smooth"))
+
+    def run(v, w):
+        vs, ws = window_fit.around(v), window_fit.around(w)
+        low, high, few = window_fit.statistics(vs, ws)
+        c, _, last = window_fit.refit(vs, ws, passes=4, second="fit")
+        line = window_fit.coefficients(window_fit.fitted(c), last, degree=1)[0]
+        return {"v_min": low, "v_max": high, "fit": np.where(few, line, c[0])}
+
+    fit = window_fit.over_series(masked(df, WEIGHTS["poly"], keys), keys, run, ["v_min", "v_max", "fit"])
+    return fit.select(*keys, "t", "v_min", "v_max", masks.between_extremes(F.rint("fit"), F.col("v_min"), F.col("v_max")).alias("smooth"))
 
 
 def calibrate(pairs: DataFrame, keys: Sequence[str], alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import masks, series, spectral
+from terraloom.operators import masks, series, spectral, window_fit
 from terraloom.plans import pipelines
 from terraloom.plans.catalog import EV, PX, query, sql_fill, sql_fit, sql_low_pass, sql_reweight, sql_series, sql_steps, sql_windows, steps
 from terraloom.schema import HALF, WEIGHTS
@@ -50,8 +50,9 @@ def w02(spark, d):
     f"WITH {sql_series(W)}, {sql_windows()}, {sql_fit('win', 'c1')} SELECT px, t, {sql_steps('a0')} AS a0, {sql_steps('a1', 1000)} AS a1, {sql_steps('a2', 1000)} AS a2 FROM c1",
 )
 def w03(spark, d):
-    f = series.fit_window(series.frames(_series(spark, d), KEYS), "c")
-    return f.select("px", "t", steps(F.col("c.a0")).alias("a0"), steps(F.col("c.a1"), 1000).alias("a1"), steps(F.col("c.a2"), 1000).alias("a2"))
+    run = lambda v, w: dict(zip(("a0", "a1", "a2"), window_fit.coefficients(window_fit.around(v), window_fit.around(w)), strict=True))
+    f = window_fit.over_series(_series(spark, d), KEYS, run, ["a0", "a1", "a2"])
+    return f.select("px", "t", steps(F.col("a0")).alias("a0"), steps(F.col("a1"), 1000).alias("a1"), steps(F.col("a2"), 1000).alias("a2"))
 
 
 @query("w04_a10b_weighted_line", f"WITH {sql_series(W)}, {_STATS}, {sql_windows()}, {sql_fit('win', 'c1', 1)} SELECT px, t, {sql_steps('a0')} AS a0, {sql_steps('a1', 1000)} AS a1 FROM c1 JOIN st USING (px, t) WHERE {_LINEAR}")
@@ -65,8 +66,11 @@ def w04(spark, d):
     f"WITH {sql_series(W)}, {sql_windows()}, {sql_fit('win', 'c1')}, {sql_reweight('win', 'c1', 'win2')} SELECT px, t, {sql_steps('w')} AS w_centre FROM win2 WHERE k = 0",
 )
 def w05(spark, d):
-    f = series.fit_window(series.frames(_series(spark, d), KEYS), "c")
-    return series.reweight(f, "again", "c").select("px", "t", steps(F.col("again")[HALF]["w"]).alias("w_centre"))
+    def run(v, w):
+        vs = window_fit.around(v)
+        return {"w": window_fit.reweighted(vs, window_fit.fitted(window_fit.coefficients(vs, window_fit.around(w))))[HALF]}
+
+    return window_fit.over_series(_series(spark, d), KEYS, run, ["w"]).select("px", "t", steps(F.col("w")).alias("w_centre"))
 
 
 @query("w06_interpolate", f"WITH {sql_series(W)}, {sql_fill('sv', 'fl')} SELECT px, t, filled FROM fl")
@@ -122,7 +126,14 @@ def f06(spark, d):
     return spectral.fft_filter(_event_windows(spark, d), passes=2, rounded=False).select("px", "t", steps(F.col("filtered")[HALF]).alias("smooth"))
 
 
-@query("f05_single_fft_sg_suppliers")
+_SV_WINDOWS = f"{sql_windows()}, ewn AS (SELECT px, t AS blk, k + 7 AS k, v FROM win), {sql_fill('ewn', 'fl', keys='px, blk', time='k')}, {sql_low_pass('fl', 'lp', 15)}"
+
+
+@query(
+    "f05_single_fft_sg_suppliers",
+    f"""WITH {sql_series(W)}, {_SV_WINDOWS} SELECT px, CAST(blk AS INTEGER) AS t, CAST(coalesce(CASE WHEN round_even(z, 0) >= 0 AND round_even(z, 0) <= 9999 THEN round_even(z, 0) END, 32767) AS INTEGER) AS smooth
+        FROM (SELECT px, blk, k FROM ewn WHERE k = 7) LEFT JOIN lp USING (px, blk, k)""",
+)
 def f05_suppliers(spark, d):
     return pipelines.fft_window(tables.supplier_series(spark, d)).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("smooth"))
 
@@ -185,7 +196,12 @@ def f01(spark, d):
     return pipelines.poly_lin(tables.supplier_series(spark, d)).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("value"))
 
 
-@query("f01_poly_lin_refit_on_fit")
+@query(
+    "f01_poly_lin_refit_on_fit",
+    f"""WITH {sql_series(W)}, {sql_windows()}, {sql_fit('win', 'c1')}, {sql_reweight('win', 'c1', 'win2', 'fit')}, {sql_fit('win2', 'c2')},
+        r AS (SELECT px, t, round_even(a0, 0) AS fit FROM c2), {sql_fill('r', 'fl', 'fit')}
+        SELECT px, t, CAST(coalesce(CASE WHEN filled >= 0 AND filled <= 9999 THEN filled END, 32767) AS INTEGER) AS value FROM fl""",
+)
 def f01_fit(spark, d):
     return pipelines.poly_lin(tables.supplier_series(spark, d), second="fit").select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("value"))
 
@@ -204,17 +220,40 @@ def f02(spark, d):
     return pipelines.lin_poly(tables.supplier_series(spark, d)).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("value"))
 
 
-@query("f02_lin_poly_online")
+@query(
+    "f02_lin_poly_online",
+    f"""WITH {sql_series(LP)}, h AS (SELECT *, CASE WHEN t < 15 THEN v END AS hv FROM sv), {sql_fill('h', 'fl', 'hv')},
+        fv AS (SELECT px, t, w, CASE WHEN t < 15 THEN coalesce(v, filled) ELSE coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY px ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), filled) END AS v FROM fl),
+        {sql_windows('fv')}, {sql_fit('win', 'c1')}, {sql_reweight('win', 'c1', 'win2', 'fit')}, {sql_fit('win2', 'c2')}
+        SELECT px, t, CAST(coalesce(CASE WHEN s >= 0 AND s <= 9999 THEN s END, 32767) AS INTEGER) AS value FROM (
+            SELECT px, t, CASE WHEN coalesce(round_even(a0, 0), 0) < 1 THEN v ELSE round_even(a0, 0) END AS s FROM c2 JOIN fv USING (px, t))""",
+)
 def f02_online(spark, d):
     return pipelines.lin_poly(tables.supplier_series(spark, d), online=True).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("value"))
 
 
-@query("f03_sg_fft_poly")
+SG = WEIGHTS["sg_fft_poly"]
+
+
+@query(
+    "f03_sg_fft_poly",
+    f"""WITH {sql_series(SG)}, {_SV_WINDOWS}, fw AS (SELECT px, t, win.k, round_even(z, 0) AS v, w FROM win LEFT JOIN (SELECT px, blk AS t, k - 7 AS k, z FROM lp) USING (px, t, k)),
+        {sql_fit('fw', 'c1')}, {sql_reweight('fw', 'c1', 'win2')}, {sql_fit('win2', 'c2')}
+        SELECT px, t, CAST(coalesce(CASE WHEN round_even(a0, 0) >= 0 AND round_even(a0, 0) <= 9999 THEN round_even(a0, 0) END, 32767) AS INTEGER) AS value FROM c2""",
+)
 def f03(spark, d):
     return pipelines.sg_fft_poly(tables.supplier_series(spark, d)).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("value"))
 
 
-@query("f08_p03_poly")
+_F08 = f"""WITH {sql_series(WEIGHTS['poly'])}, {_STATS}, {sql_windows()}, {sql_fit('win', 'c1')}, {sql_reweight('win', 'c1', 'win2', 'fit')}, {sql_fit('win2', 'c2')},
+    {sql_reweight('win2', 'c2', 'win3', 'fit')}, {sql_fit('win3', 'c3')}, {sql_reweight('win3', 'c3', 'win4', 'fit')}, {sql_fit('win4', 'c4')},
+    lf AS (SELECT px, t, k, round_even(a0 + a1 * k + a2 * (k * k), 0) AS v, w FROM win4 JOIN c4 USING (px, t)), {sql_fit('lf', 'l1', 1)},
+    chosen AS (SELECT px, t, v_min, v_max, round_even(CASE WHEN {_LINEAR} THEN l1.a0 ELSE c4.a0 END, 0) AS fit FROM c4 JOIN l1 USING (px, t) JOIN st USING (px, t)),
+    held AS (SELECT px, t, CASE WHEN fit > v_max THEN v_max WHEN fit < v_min THEN v_min ELSE fit END AS s FROM chosen)
+    SELECT px, t, CAST(coalesce(CASE WHEN s >= 0 AND s <= 9999 THEN s END, 32767) AS INTEGER) AS value FROM held"""
+
+
+@query("f08_p03_poly", _F08)
 def f08(spark, d):
     return pipelines.poly(tables.supplier_series(spark, d)).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("value"))
 
