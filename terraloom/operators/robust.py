@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,12 +70,16 @@ def grubbs_interval(v: np.ndarray, n: np.ndarray, total: int, alpha: float = 0.0
     return math.nan, math.nan, math.nan, math.nan
 
 
-def grubbs_bounds(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05, ddof: int = 0) -> DataFrame:
+def _step(value: str, per_unit: int) -> Column:
+    return F.rint(F.col(value).cast("double") * per_unit) / per_unit
+
+
+def grubbs_bounds(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05, ddof: int = 0, per_unit: int = 1) -> DataFrame:
     """(keys, total, low, high, mean, sd): the interval that Grubbs' test leaves of each group, its mean and deviation.
 
-    Equal values are counted before the exchange, so one task sees a group's distinct values only: 10,000 at most for
-    16-bit reflectances, whatever the number of pixels."""
-    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    Values are rounded to ``per_unit`` steps a unit and equal ones counted before the exchange, so one task sees a group's
+    distinct steps only, whatever the number of pixels: 10,000 at most for reflectances, which are whole numbers."""
+    counts = df.groupBy(*keys, _step(value, per_unit).alias("_v")).agg(F.count("*").alias("_c"))
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "total long, low double, high double, mean double, sd double"])
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -89,18 +93,17 @@ def grubbs_bounds(df: DataFrame, keys: Sequence[str], value: str, alpha: float =
     return counts.groupBy(*keys).applyInArrow(run, schema)
 
 
-def grubbs(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05, ddof: int = 0) -> DataFrame:
+def grubbs(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05, ddof: int = 0, per_unit: int = 1) -> DataFrame:
     """Rows of ``df`` whose value Grubbs' test leaves in their group; missing values don't stay. Keys are not null."""
-    bounds = grubbs_bounds(df, keys, value, alpha, ddof).select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high"))
-    return df.join(bounds, list(keys)).where(F.col(value).between(F.col("_low"), F.col("_high"))).select(*df.columns)
+    bounds = grubbs_bounds(df, keys, value, alpha, ddof, per_unit).select(*keys, F.col("low").alias("_low"), F.col("high").alias("_high"))
+    return df.join(bounds, list(keys)).where(_step(value, per_unit).between(F.col("_low"), F.col("_high"))).select(*df.columns)
 
 
 def median_distance(df: DataFrame, keys: Sequence[str], value: str, limit: float = 2.0, out: str = "kept") -> DataFrame:
     """Adds ``out``, the value or NULL where its distance to the group's median is ``limit`` medians or more. With a median
     of 0 nothing changes."""
-    middle = F.median(value).over(Window.partitionBy(*keys))
-    v = F.col(value)
-    return df.withColumn("_m", middle).withColumn(out, F.when((F.col("_m") == 0) | (F.abs(v - F.col("_m")) / F.col("_m") < limit), v)).drop("_m")
+    middle, v = df.groupBy(*keys).agg(F.median(value).alias("_m")), F.col(value)
+    return df.join(middle, list(keys)).withColumn(out, F.when((F.col("_m") == 0) | (F.abs(v - F.col("_m")) / F.col("_m") < limit), v)).drop("_m")
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

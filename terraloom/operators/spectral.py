@@ -57,8 +57,8 @@ def harmonic_basis(length: int, harmonics: int) -> np.ndarray:
     return np.concatenate([np.ones((length, 1)), np.stack([np.cos(angle), np.sin(angle)], axis=2).reshape(length, -1)], axis=1)
 
 
-def harmonic_fit(m: np.ndarray, w: np.ndarray, harmonics: int) -> np.ndarray:
-    """Weighted least-squares harmonics of each row; a row whose system is singular comes back as it is."""
+def harmonic_solution(m: np.ndarray, w: np.ndarray, harmonics: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted least-squares harmonics of each row, and whether its system could be solved; where not, the row as it is."""
     a = harmonic_basis(m.shape[1], harmonics)
     aw = a[None] * w[:, :, None]
     normal, right = aw.transpose(0, 2, 1) @ a, aw.transpose(0, 2, 1) @ m[:, :, None]
@@ -66,7 +66,11 @@ def harmonic_fit(m: np.ndarray, w: np.ndarray, harmonics: int) -> np.ndarray:
     out = m.copy()
     if sound.any():
         out[sound] = (a[None] @ np.linalg.solve(normal[sound], right[sound]))[:, :, 0]
-    return out
+    return out, sound
+
+
+def harmonic_fit(m: np.ndarray, w: np.ndarray, harmonics: int) -> np.ndarray:
+    return harmonic_solution(m, w, harmonics)[0]
 
 
 def to_blocks(df: DataFrame, keys: Sequence[str], value: str = "v", weight: str | None = None, position: str = "k") -> DataFrame:
@@ -122,6 +126,11 @@ def dft_fit(blocks: DataFrame, harmonics: int, out: str = "fitted", rounded: boo
     return _kernel(blocks, out, run)
 
 
+def dft_solvable(blocks: DataFrame, harmonics: int, out: str = "solvable") -> DataFrame:
+    """Adds ``out``, an array with 1 where the weighted harmonic fit of a block could be solved, else 0."""
+    return _kernel(blocks, out, lambda vs, ws: harmonic_solution(fill_rows(vs), np.nan_to_num(ws), harmonics)[1][:, None].astype(float))
+
+
 def equal_weight_harmonics(value: Column, position: Column, length: int, harmonics: int) -> list[Column]:
     """Aggregates for the harmonics of a full block under equal weights: mean, and a cosine and sine each."""
     out = [F.avg(value).alias("c0")]

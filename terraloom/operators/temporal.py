@@ -20,26 +20,27 @@ def _bucket(day: Column) -> Column:
 def around(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str] = ()) -> DataFrame:
     """``left`` with the last ``right_time`` before its ``left_time`` (``before``) and the first one not before (``at_or_after``).
 
-    Both sides are dealt by key and time bucket and meet in one sorted pass (no pair of rows is tested); what lies
-    beyond a row's bucket comes from a summary of one row per bucket."""
-    rows = left.select("*", F.col(left_time).alias("_day"), F.lit(1).alias("_side"))
+    Only the distinct times of both sides are matched: they are dealt by key and time bucket and meet in one sorted pass (no
+    pair of rows is tested); what lies beyond a time's bucket comes from a summary of one row per bucket. Rows of
+    ``left`` then find their time by equality."""
+    rows = left.select(*by, F.col(left_time).alias("_day")).where(F.col(left_time).isNotNull()).distinct().withColumn("_side", F.lit(1))
     marks = right.select(*by, F.col(right_time).alias("_day")).where(F.col(right_time).isNotNull()).distinct()
     mixed = rows.unionByName(marks.select("*", F.lit(0).alias("_side")), allowMissingColumns=True).withColumn("_bucket", _bucket(F.col("_day")))
     mark = F.when(F.col("_side") == 0, F.col("_day"))
     w = Window.partitionBy(*by, "_bucket").orderBy(F.col("_day"))
     within = mixed.select(
-        "*",
+        *by, "_day", "_side", "_bucket",
         F.max(mark).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
         F.min(mark).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("_next"),
         F.max(F.when(F.col("_side") == 0, F.col("_day"))).over(Window.partitionBy(*by, "_bucket").orderBy(F.datediff("_day", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-    ).where("_side = 1")
+    ).where("_side = 1")
     summary = mixed.groupBy(*by, "_bucket").agg(F.min(mark).alias("_lo"), F.max(mark).alias("_hi"))
     wb = Window.partitionBy(*by).orderBy("_bucket")
     carried = summary.select(
         *by, "_bucket", F.max("_hi").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"), F.min("_lo").over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next")
     )
-    out = within.join(carried, [*by, "_bucket"], "left")
-    return out.select(*left.columns, F.coalesce("_prev", "_carry_prev").alias("before"), F.coalesce("_next", "_carry_next").alias("at_or_after"))
+    told = within.join(carried, [*by, "_bucket"], "left").select(*by, F.col("_day").alias(left_time), F.coalesce("_prev", "_carry_prev").alias("before"), F.coalesce("_next", "_carry_next").alias("at_or_after"))
+    return left.join(told, [*by, left_time], "left").select(*left.columns, "before", "at_or_after")
 
 
 def nearest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str] = (), difference: str = "days") -> DataFrame:

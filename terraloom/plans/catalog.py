@@ -71,9 +71,11 @@ pair AS (
     FROM lineitem
 )"""
 
-#: poi(fid, x, y): points. til(tile, x0, y0, res, n_rows, n_cols): grids. lin(fid, x1, y1, x2, y2): lines. bnd(px, epoch, band, value): bands.
+#: poi(fid, x, y): points. til(tile, x0, y0, res, n_rows, n_cols): grids.
+#: pl: points with the cells of grids that they are in. lin(fid, x1, y1, x2, y2): lines. bnd(px, epoch, band, value): bands.
 POINTS = "poi AS (SELECT c_custkey AS fid, c_acctbal AS x, CAST((c_custkey * 37) % 10000 AS DOUBLE) AS y FROM customer)"
 GRIDS = "til AS (SELECT n_name AS tile, CAST(n_nationkey % 5 * 2000 AS DOUBLE) AS x0, CAST(n_nationkey // 5 * 2000 + 2000 AS DOUBLE) AS y0, 50.0::DOUBLE AS res, 40 AS n_rows, 40 AS n_cols FROM nation)"
+PLACED = "pl AS (SELECT fid, x, y, tile, CAST(floor((y0 - y) / res) AS INTEGER) AS row, CAST(floor((x - x0) / res) AS INTEGER) AS col FROM poi JOIN til ON x >= x0 AND x < x0 + n_cols * res AND y > y0 - n_rows * res AND y <= y0)"
 LINES = """
 lin AS (
     SELECT fid, x1, y1, x1 + (fid % 7 - 3) * 41 AS x2, y1 + (fid % 5 - 2) * 63 AS y2
@@ -165,12 +167,14 @@ def sql_fill(source: str, out: str, value: str = "v", keys: str = "px", time: st
     )"""
 
 
-def sql_low_pass(source: str, out: str, length: int, keys: str = "px, blk", value: str = "filled") -> str:
-    """out(keys, k, z): complete blocks of ``source`` (keys, k = 0.., value) low-pass filtered."""
+def sql_low_pass(source: str, out: str, length: int, keys: str = "px, blk", value: str = "filled", limit: str | None = None) -> str:
+    """out(keys, k, z): complete blocks of ``source`` (keys, k = 0.., value) low-pass filtered; ``limit``: the least power, that of
+    the second strongest frequency halved if not given."""
+    limit = limit or f"coalesce(max(pw) FILTER (pw < top * (1 - 1e-12)) OVER (PARTITION BY {keys}), 0) / 2"
     return f"""
     {out}_b AS (SELECT {keys}, b, sum({value} * cos(2 * pi() * b * k / {length})) AS re, -sum({value} * sin(2 * pi() * b * k / {length})) AS im
         FROM {source}, (SELECT unnest(generate_series(0, {length - 1})) AS b) WHERE {value} IS NOT NULL GROUP BY {keys}, b),
     {out}_p AS (SELECT *, (re * re + im * im) / {length} AS pw, max((re * re + im * im) / {length}) OVER (PARTITION BY {keys}) AS top FROM {out}_b),
-    {out}_k AS (SELECT * FROM (SELECT *, coalesce(max(pw) FILTER (pw < top * (1 - 1e-12)) OVER (PARTITION BY {keys}), 0) / 2 AS lim FROM {out}_p) WHERE pw > lim),
+    {out}_k AS (SELECT * FROM (SELECT *, {limit} AS lim FROM {out}_p) WHERE pw > lim),
     {out} AS (SELECT {keys}, k, sum(re * cos(2 * pi() * b * k / {length}) - im * sin(2 * pi() * b * k / {length})) / {length} AS z
         FROM {out}_k, (SELECT unnest(generate_series(0, {length - 1})) AS k) GROUP BY {keys}, k)"""

@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terraloom.functions import dates
 from terraloom.functions.names import parts
 from terraloom.operators import temporal
-from terraloom.plans.catalog import BANDS, EPOCHS, EV, NAMES, PX, SCENES, query, sql_steps, steps
+from terraloom.plans.catalog import BANDS, EPOCHS, EV, GRIDS, NAMES, PLACED, POINTS, PX, SCENES, query, sql_steps, steps
 from terraloom.sources import tables
 
 
@@ -50,28 +51,28 @@ def j03b(spark, d):
     return near.select("scene", F.col("nearest").cast("string").alias("nearest"))
 
 
-@query(
-    "j04_neighbours",
-    f"""WITH {SCENES}, {EPOCHS}, p AS (SELECT scene, 'pre' AS side, row_number() OVER (PARTITION BY scene ORDER BY epoch_date DESC) AS rank, epoch_date AS day FROM scn, epo WHERE acq_date BETWEEN DATE '1995-06-01' AND DATE '2001-06-01' AND epoch_date < acq_date AND epoch_date > acq_date - 400),
-        q AS (SELECT scene, 'post' AS side, row_number() OVER (PARTITION BY scene ORDER BY epoch_date) AS rank, epoch_date AS day FROM scn, epo WHERE acq_date BETWEEN DATE '1995-06-01' AND DATE '2001-06-01' AND epoch_date >= acq_date AND epoch_date < acq_date + 400)
-        SELECT scene, side, CAST(rank AS INTEGER) AS rank, CAST(day AS VARCHAR) AS day FROM (FROM p UNION ALL FROM q) WHERE rank <= 3""",
-)
-def j04(spark, d):
-    n = temporal.neighbours(tables.scene_dates(spark, d).where("acq_date between date'1995-06-01' and date'2001-06-01'"), tables.epochs(spark, d), "acq_date", "epoch_date", 3, "scene")
+def _neighbours_sql(win: int) -> str:
+    return f"""WITH {SCENES}, {EPOCHS}, e AS (SELECT epoch_date AS day, row_number() OVER (ORDER BY epoch_date) AS no FROM epo),
+        b AS (SELECT acq_date, count(*) FILTER (epoch_date < acq_date) AS n FROM (SELECT DISTINCT acq_date FROM scn), epo GROUP BY acq_date),
+        r AS (SELECT scene, n, unnest(generate_series(1, {win})) AS rank FROM scn JOIN b USING (acq_date)),
+        s AS (SELECT scene, 'pre' AS side, rank, n - rank + 1 AS no FROM r UNION ALL SELECT scene, 'post', rank, n + rank FROM r)
+        SELECT scene, side, CAST(rank AS INTEGER) AS rank, CAST(day AS VARCHAR) AS day FROM s JOIN e USING (no)"""
+
+
+def _neighbours(spark, d, win):
+    n = temporal.neighbours(tables.scene_dates(spark, d), tables.epochs(spark, d), "acq_date", "epoch_date", win, "scene")
     return n.select("scene", "side", "rank", F.col("day").cast("string").alias("day"))
 
 
-@query(
-    "j04b_neighbours_of_all_scenes",
-    f"""WITH {SCENES}, {EPOCHS}, e AS (SELECT epoch_date AS day, row_number() OVER (ORDER BY epoch_date) AS no FROM epo),
-        b AS (SELECT acq_date, count(*) FILTER (epoch_date < acq_date) AS n FROM (SELECT DISTINCT acq_date FROM scn), epo GROUP BY acq_date),
-        r AS (SELECT scene, n, unnest([1, 2, 3]) AS rank FROM scn JOIN b USING (acq_date)),
-        s AS (SELECT scene, 'pre' AS side, rank, n - rank + 1 AS no FROM r UNION ALL SELECT scene, 'post', rank, n + rank FROM r)
-        SELECT scene, side, CAST(rank AS INTEGER) AS rank, CAST(day AS VARCHAR) AS day FROM s JOIN e USING (no)""",
-)
+@query("j04_neighbours", _neighbours_sql(3))
+def j04(spark, d):
+    return _neighbours(spark, d, 3)
+
+
+@query("j04b_neighbours_of_all_scenes", _neighbours_sql(1))
 def j04b(spark, d):
-    n = temporal.neighbours(tables.scene_dates(spark, d), tables.epochs(spark, d), "acq_date", "epoch_date", 3, "scene")
-    return n.select("scene", "side", "rank", F.col("day").cast("string").alias("day"))
+    """One neighbour on either side, as the calibration takes them."""
+    return _neighbours(spark, d, 1)
 
 
 _SPLIT = ", ".join(f"split_part(name, '.', {i}) AS {c}" for i, c in ((1, "product"), (2, "epoch"), (3, "tile"), (5, "version"), (6, "ext")))
@@ -187,7 +188,8 @@ def u02(spark, d):
 
 @query("u03_union_of_index_sets", f"WITH {PX} SELECT px, t FROM px WHERE qual = 255 UNION SELECT px, t FROM px WHERE value > 2000")
 def u03(spark, d):
-    return tables.supplier_series(spark, d).where("qual = 255 or value > 2000").select("px", "t")
+    cells = tables.supplier_series(spark, d)
+    return cells.where("qual = 255").select("px", "t").union(cells.where("value > 2000").select("px", "t")).distinct()
 
 
 @query("u05_joined_lists", f"WITH {BANDS}, r AS (SELECT px, epoch, list(value ORDER BY band) AS vs FROM bnd GROUP BY px, epoch) SELECT px, list_aggregate(flatten(list(vs ORDER BY epoch)), 'string_agg', ',') AS joined FROM r GROUP BY px")
@@ -208,13 +210,33 @@ def fn_calendar(spark, d):
 
 @query(
     "f13_products_at_points",
-    f"""WITH {PX}, w AS (SELECT px, t, max(value) FILTER (t % 3 = 0) AS a, max(value) FILTER (t % 3 = 1) AS b, max(CASE WHEN qual IN (4, 255) THEN 0 ELSE 1 END) AS m FROM px WHERE value <> 32767 GROUP BY px, t)
-        SELECT px, t, coalesce(a, 0) * m AS abs, coalesce(b, 0) * m AS rel FROM w WHERE t BETWEEN 20 AND 60""",
+    f"""WITH {PX}, {POINTS}, {GRIDS}, {PLACED}, w AS (SELECT px, t, max(value) FILTER (t % 3 = 0) AS a, max(value) FILTER (t % 3 = 1) AS b, max(CASE WHEN qual IN (4, 255) THEN 0 ELSE 1 END) AS m FROM px WHERE value <> 32767 GROUP BY px, t)
+        SELECT fid, t, coalesce(a, 0) * m AS abs, coalesce(b, 0) * m AS rel FROM pl JOIN w ON px = row * 40 + col""",
 )
 def f13(spark, d):
-    """Products of an epoch side by side, missing ones 0, all 0 under the mask."""
-    s = tables.supplier_series(spark, d).where("value <> 32767").where(F.col("t").between(20, 60))
+    """At each point the products of an epoch side by side, missing ones 0, all 0 under the mask."""
+    at = tables.points_with_pixels(spark, d)
+    s = tables.supplier_series(spark, d).where("value <> 32767").join(at.select("px").distinct(), "px", "left_semi")
     product = F.when(F.col("t") % 3 == 0, "abs").when(F.col("t") % 3 == 1, "rel").otherwise("other")
-    mask = s.select("px", "t", F.when(F.col("qual").isin(4, 255), 0).otherwise(1).alias("m"))
-    wide = s.withColumn("product", product).groupBy("px", "t").pivot("product", ["abs", "rel"]).agg(F.max("value"))
-    return wide.join(mask, ["px", "t"]).select("px", "t", *((F.coalesce(c, F.lit(0)) * F.col("m")).alias(c) for c in ("abs", "rel")))
+    sound = F.max(F.when(F.col("qual").isin(4, 255), 0).otherwise(1))
+    wide = s.groupBy("px", "t").agg(*(F.max(F.when(product == c, F.col("value"))).alias(c) for c in ("abs", "rel")), sound.alias("m"))
+    return at.join(wide, "px").select("fid", "t", *((F.coalesce(c, F.lit(0)) * F.col("m")).alias(c) for c in ("abs", "rel")))
+
+
+@query(
+    "k04_incomplete_stacks",
+    f"""WITH {BANDS}, h AS (SELECT px, epoch, unnest(generate_series(1, 7)) AS band FROM (SELECT DISTINCT px, epoch FROM bnd))
+        SELECT px, CAST(epoch AS VARCHAR) AS epoch, count(value) AS n_bands, string_agg(CAST(band AS VARCHAR), ',' ORDER BY band) FILTER (value IS NULL) AS missing
+        FROM h LEFT JOIN bnd USING (px, epoch, band) GROUP BY px, epoch HAVING count(value) < 7""",
+)
+def k04(spark, d):
+    """The epochs that j02 leaves out, and the bands that they miss."""
+    held = tables.bands(spark, d).groupBy("px", "epoch").agg(F.collect_set("band").alias("held"))
+    missing = F.array_except(F.array(*(F.lit(b) for b in range(1, 8))), F.transform("held", lambda b: b.cast("int")))
+    return held.where(F.size("held") < 7).select("px", F.col("epoch").cast("string").alias("epoch"), F.size("held").cast("long").alias("n_bands"), F.array_join(F.transform(missing, lambda b: b.cast("string")), ",").alias("missing"))
+
+
+@query("fn_date_range", "SELECT o_orderkey AS id, CAST(least(CAST(o_orderdate AS DATE), DATE '1998-01-01') AS VARCHAR) AS first, CAST(greatest(CAST(o_orderdate AS DATE), DATE '1998-01-01') AS VARCHAR) AS last FROM orders")
+def fn_date_range(spark, d):
+    first, last = dates.ordered(F.col("o_orderdate").cast("date"), F.lit("1998-01-01").cast("date"))
+    return tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), first.cast("string").alias("first"), last.cast("string").alias("last"))

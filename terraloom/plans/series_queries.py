@@ -99,6 +99,18 @@ def w09(spark, d):
     return pipelines.fft_year(tables.supplier_series(spark, d), rounded=False).select("px", "block", F.col("k").cast("int").alias("k"), steps(F.col("filtered")).alias("filtered"))
 
 
+@query(
+    "w09b_fft_half_largest",
+    f"""WITH {sql_series(W)}, {_BLOCKS}, {sql_fill('full_bl', 'fl', keys='px, blk', time='k')}, {sql_low_pass('fl', 'lp', 46, limit='trunc(top) / 2')}
+        SELECT px, CAST(blk AS INTEGER) AS block, CAST(k + 1 AS INTEGER) AS k, {sql_steps('z')} AS filtered FROM full_bl LEFT JOIN lp USING (px, blk, k)""",
+)
+def w09b(spark, d):
+    """The older threshold: half the whole part of the strongest frequency's power."""
+    years = spectral.to_blocks(series.tumbling(_series(spark, d), KEYS, 46), ["px", "block"])
+    out = spectral.from_blocks(spectral.fft_filter(years, threshold="half_largest", rounded=False), ["px", "block"], "filtered")
+    return out.select("px", "block", F.col("k").cast("int").alias("k"), steps(F.col("filtered")).alias("filtered"))
+
+
 _EVW = """ew AS (
     SELECT * FROM (SELECT a.px, a.t AS blk, b.t - a.t + 7 AS k, b.v, count(*) OVER (PARTITION BY a.px, a.t) AS n FROM ev a JOIN ev b ON b.px = a.px AND b.t BETWEEN a.t - 7 AND a.t + 7) WHERE n = 15
 )"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraloom.operators import masks, series, spatial
 from terraloom.plans import pipelines
-from terraloom.plans.catalog import GRID, GRIDS, LINES, POINTS, query, sql_fill, sql_series, sql_steps, steps
+from terraloom.plans.catalog import GRID, GRIDS, LINES, PLACED, POINTS, query, sql_fill, sql_series, sql_steps, steps
 from terraloom.schema import WEIGHTS
 from terraloom.sources import tables
 
@@ -47,10 +47,7 @@ def a21(spark, d):
     return spatial.block_mean(f, (), 15, value="focal").select("brow", "bcol", steps(F.col("mean")).alias("mean"))
 
 
-_PLACED = "pl AS (SELECT fid, x, y, tile, CAST(floor((y0 - y) / res) AS INTEGER) AS row, CAST(floor((x - x0) / res) AS INTEGER) AS col FROM poi JOIN til ON x >= x0 AND x < x0 + n_cols * res AND y > y0 - n_rows * res AND y <= y0)"
-
-
-@query("j05_p16_points_on_grid", f"WITH {POINTS}, {GRIDS}, {_PLACED} SELECT * FROM pl")
+@query("j05_p16_points_on_grid", f"WITH {POINTS}, {GRIDS}, {PLACED} SELECT * FROM pl")
 def j05(spark, d):
     return spatial.points_on_grid(tables.points(spark, d), tables.grids(spark, d), 2000.0)
 
@@ -64,12 +61,13 @@ def g04(spark, d):
 @query(
     "j06_g03_aligned_rasters",
     f"""WITH {GRIDS}, {GRID}, o AS (SELECT tile, CAST(round((10000.0 - y0) / res) AS INTEGER) AS drow, CAST(round((x0 - 0.0) / res) AS INTEGER) AS dcol FROM til)
-        SELECT tile, row AS scene_row, col AS scene_col, CAST(row + drow AS INTEGER) AS row, CAST(col + dcol AS INTEGER) AS col, value FROM grid, o WHERE row < 2""",
+        SELECT tile, row AS scene_row, col AS scene_col, CAST(row + drow AS INTEGER) AS row, CAST(col + dcol AS INTEGER) AS col, value FROM grid, o""",
 )
 def j06(spark, d):
     drow, dcol = spatial.aligned_offsets(F.col("x0"), F.col("y0"), F.lit(0.0), F.lit(10000.0), F.col("res"))
-    offsets = tables.grids(spark, d).select("tile", drow.alias("drow"), dcol.alias("dcol")).withColumn("scene_row", F.explode(F.array(F.lit(0), F.lit(1))))
     scene = tables.part_grid(spark, d).select(F.col("row").alias("scene_row"), F.col("col").alias("scene_col"), "value")
+    rows = scene.agg(F.min("scene_row").alias("lo"), F.max("scene_row").alias("hi"))  # one row
+    offsets = tables.grids(spark, d).select("tile", drow.alias("drow"), dcol.alias("dcol")).crossJoin(F.broadcast(rows)).select("tile", "drow", "dcol", F.explode(F.sequence("lo", "hi")).alias("scene_row"))
     return scene.join(offsets, "scene_row").select("tile", "scene_row", "scene_col", (F.col("scene_row") + F.col("drow")).alias("row"), (F.col("scene_col") + F.col("dcol")).alias("col"), "value")
 
 
@@ -90,7 +88,7 @@ def j06b(spark, d):
 
 @query(
     "g02_bounding_box",
-    f"WITH {POINTS}, {GRIDS}, {_PLACED} SELECT tile, min(x) AS x0, max(y) AS y0, CAST(ceil((max(x) - min(x)) / 50.0::DOUBLE) AS INTEGER) AS n_cols, CAST(ceil((max(y) - min(y)) / 50.0::DOUBLE) AS INTEGER) AS n_rows FROM pl GROUP BY tile",
+    f"WITH {POINTS}, {GRIDS}, {PLACED} SELECT tile, min(x) AS x0, max(y) AS y0, CAST(ceil((max(x) - min(x)) / 50.0::DOUBLE) AS INTEGER) AS n_cols, CAST(ceil((max(y) - min(y)) / 50.0::DOUBLE) AS INTEGER) AS n_rows FROM pl GROUP BY tile",
 )
 def g02(spark, d):
     return spatial.bounding_box(j05(spark, d), ("tile",), 50.0)
@@ -125,22 +123,26 @@ def f14(spark, d):
 
 @query(
     "j05b_poi_series",
-    f"WITH {sql_series(WEIGHTS['poly'])}, p AS (SELECT s_suppkey AS fid, s_suppkey % 7 + 1 AS px FROM supplier) SELECT fid, count(*) AS n, sum(v) AS total, list(t ORDER BY t)[1] AS first_t FROM p JOIN sv USING (px) WHERE v IS NOT NULL GROUP BY fid",
+    f"""WITH {sql_series(WEIGHTS['poly'])}, {POINTS}, {GRIDS}, {PLACED}, s AS (SELECT px, count(*) AS n, sum(v) AS total, min(t) AS first_t FROM sv WHERE v IS NOT NULL GROUP BY px)
+        SELECT fid, n, total, first_t FROM pl JOIN s ON px = row * 40 + col""",
 )
 def j05b(spark, d):
-    poi = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("fid"), (F.col("s_suppkey") % 7 + 1).alias("px"))
-    s = pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["poly"]).where("v is not null")
-    cells = F.array_sort(F.collect_list(F.struct("t", "v")))
-    found = poi.join(s, "px").groupBy("fid").agg(cells.alias("cells"))
-    return found.select("fid", F.size("cells").cast("long").alias("n"), F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["v"]).alias("total"), F.col("cells")[0]["t"].alias("first_t"))
+    """The series under each point: cells of the pixels that have points, as one array each."""
+    at = tables.points_with_pixels(spark, d)
+    s = pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["poly"]).where("v is not null").join(at.select("px").distinct(), "px", "left_semi")
+    held = s.groupBy("px").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("cells"))
+    told = held.select("px", F.size("cells").cast("long").alias("n"), F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["v"]).alias("total"), F.col("cells")[0]["t"].alias("first_t"))
+    return at.join(told, "px").select("fid", "n", "total", "first_t")
 
 
 @query(
     "f12_poi_comparison",
-    f"""WITH {sql_series(WEIGHTS['poly'])}, p AS (SELECT s_suppkey AS fid, s_suppkey % 7 + 1 AS px FROM supplier), {sql_fill('sv', 'fl')}
-        SELECT fid, t, coalesce(v, 0) AS raw, filled AS interpolated FROM p JOIN fl USING (px) WHERE t BETWEEN 46 AND 91""",
+    f"""WITH {sql_series(WEIGHTS['poly'])}, {POINTS}, {GRIDS}, {PLACED}, {sql_fill('sv', 'fl')}
+        SELECT fid, 1995 + t // 46 AS year, t % 46 AS place, coalesce(v, 0) AS raw, filled AS interpolated FROM pl JOIN fl ON px = row * 40 + col""",
 )
 def f12(spark, d):
-    poi = tables.read(spark, d, "supplier").select(F.col("s_suppkey").alias("fid"), (F.col("s_suppkey") % 7 + 1).alias("px"))
-    s = series.interpolate(pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["poly"]), ("px",))
-    return poi.join(s, "px").where(F.col("t").between(46, 91)).select("fid", "t", F.coalesce("v", F.lit(0.0)).alias("raw"), F.col("filled").alias("interpolated"))
+    """Points on grids, the series of the pixels that they are in, cut into years, raw and interpolated."""
+    at = tables.points_with_pixels(spark, d)
+    s = pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["poly"]).join(at.select("px").distinct(), "px", "left_semi")
+    whole = at.join(series.interpolate(s, ("px",)), "px")
+    return whole.select("fid", (F.floor(F.col("t") / 46) + 1995).cast("int").alias("year"), (F.col("t") % 46).alias("place"), F.coalesce("v", F.lit(0.0)).alias("raw"), F.col("filled").alias("interpolated"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import masks, regress, robust
+from terraloom.operators import masks, regress, robust, series, spectral
 from terraloom.plans import pipelines
-from terraloom.plans.catalog import EV, PAIR, PX, query, sql_steps, steps
-from terraloom.sources import tables
+from terraloom.plans.catalog import EV, PAIR, PX, query, sql_series, sql_steps, steps
+from terraloom.schema import WEIGHTS
+from terraloom.sources import stores, tables
 
 SCENE = ("scene",)
 
@@ -108,12 +109,16 @@ def a19(spark, d):
     return robust.histogram(tables.supplier_series(spark, d).where("value <> 32767"), "value")
 
 
-@query("a23_count_unsolvable", f"WITH {PX}, b AS (SELECT px, t // 46 AS block, count(*) AS n, count(*) FILTER (value <> 32767) AS seen FROM px GROUP BY 1, 2) SELECT count(*) FILTER (seen < 7) AS singular, count(*) AS blocks FROM b WHERE n = 46")
+@query(
+    "a23_count_unsolvable",
+    f"""WITH {sql_series(WEIGHTS['dft'], '0')}, b AS (SELECT px, t // 46 AS block, count(*) AS n, count(v) AS seen, count(*) FILTER (w > 0) AS weighted FROM sv GROUP BY 1, 2)
+        SELECT count(*) FILTER (seen = 0 OR weighted < 7) AS singular, count(*) AS blocks FROM b WHERE n = 46""",
+)
 def a23(spark, d):
-    from terraloom.operators import series
-
-    blocks = series.tumbling(tables.supplier_series(spark, d), ("px",), 46).groupBy("px", "block").agg(F.count_if(F.col("value") != 32767).alias("seen"))
-    return blocks.agg(F.count_if(F.col("seen") < 7).alias("singular"), F.count("*").alias("blocks"))
+    """Blocks of a year whose weighted harmonic fit the solver gave up: the ones without enough observations of any weight."""
+    years = series.tumbling(pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["dft"], missing=0.0), ("px",), 46)
+    told = spectral.dft_solvable(spectral.to_blocks(years, ["px", "block"], weight="w"), 3)
+    return told.agg(F.count_if(F.col("solvable")[0] == 0).alias("singular"), F.count("*").alias("blocks"))
 
 
 @query("a24_sums_of_squares", "SELECT n, n * (n + 1) * (2 * n + 1) // 6 AS total FROM (SELECT unnest([10, 1000, 100000])::BIGINT AS n)")
@@ -158,7 +163,40 @@ def f10_report(spark, d):
 
 @query("f15_point_cloud_statistics")
 def f15(spark, d):
-    """Distances per axis: the outlier test, moments and three-sigma bounds of what it leaves."""
-    s = tables.scene_pairs(spark, d).select(F.posexplode(F.array("x", "y")), "id").select(F.col("pos").alias("axis"), (F.col("col") / 100).alias("dist"))
-    b = robust.grubbs_bounds(s, ("axis",), "dist", alpha=0.003, ddof=1)
-    return b.select("axis", "total", "low", "high", steps(F.col("mean"), 10000).alias("mean"), steps(F.col("sd"), 10000).alias("sd"), steps(F.col("mean") - F.lit(3.0) * F.col("sd"), 10000).alias("left"), steps(F.col("mean") + F.lit(3.0) * F.col("sd"), 10000).alias("right"))
+    """Distances per axis from a separated list: the outlier test, moments of what it leaves, three-sigma bounds, density at the
+    bounds, and the counts of 45 equally wide bins."""
+    path = stores.scratch(spark)
+    axes = F.posexplode(F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("axis", "v")
+    listed = tables.scene_pairs(spark, d).select(axes, F.lit(None).cast("string").alias("_c2")).select("axis", (F.col("v") / 100).alias("dist"), "_c2")
+    listed.write.option("sep", ";").csv(path, header=True)
+    return pipelines.distance_statistics(stores.read_list(spark, path), ("axis",), "dist", per_unit=100).select(
+        "axis", "total", "n", "low", "high", "bins", *(steps(F.col(c), 10000).alias(c) for c in ("mean", "sd", "left", "right", "density_mean", "density_bound"))
+    )
+
+
+@query("f10_relative_calibration")
+def f10_whole(spark, d):
+    """Scenes of the parts' raster against the suppliers' series of the epoch nearest to their day: from fine cells to lines."""
+    return pipelines.calibration_lines(*_scenes_and_reference(spark, d), size=3).select("scene", "n", *(steps(F.col(c), 1000).alias(c) for c in ("odr_b0", "odr_b1", "r2", "res_std", "mae")))
+
+
+@query("f10_relative_calibration_rows")
+def f10_whole_rows(spark, d):
+    """The scenes' cells as calibrated by their lines."""
+    scenes, reference = _scenes_and_reference(spark, d)
+    lines = pipelines.calibration_lines(scenes, reference, size=3)
+    return pipelines.calibrated_scenes(scenes, lines).select("scene", "row", "col", "calibrated")
+
+
+def _scenes_and_reference(spark, d):
+    """scene, acq_date, row, col, value, mask: a scene per ship mode, its day that of its first shipment, on the parts'
+    raster. epoch_date, brow, bcol, value: the suppliers' series as a raster of 16 columns, a cell per block of a scene."""
+    days = tables.read(spark, d, "lineitem").groupBy(F.concat_ws("-", "l_returnflag", "l_linenumber").alias("scene")).agg((F.min(F.col("l_shipdate").cast("date")) + F.expr("interval 900 days")).cast("date").alias("acq_date"))
+    shade = F.pmod(F.crc32("scene"), F.lit(7)) + 4
+    # 21 scenes at most: flags and line numbers
+    scenes = tables.part_grid(spark, d).crossJoin(F.broadcast(days)).select("scene", "acq_date", "row", "col", (F.col("value") / 100 * shade / 8).alias("value"), "mask")
+    day = F.date_add(F.lit("1992-01-01").cast("date"), F.col("t") * 8)
+    reference = tables.supplier_series(spark, d).where("value <> 32767").select(
+        day.alias("epoch_date"), F.floor(F.col("px") / 16).cast("int").alias("brow"), (F.col("px") % 16).cast("int").alias("bcol"), F.col("value").cast("double").alias("value"), masks.weight(F.col("qual"), WEIGHTS["poly"]).alias("weight")
+    )
+    return scenes, reference

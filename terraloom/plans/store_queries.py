@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from terraloom.functions.names import fit_name
 from terraloom.plans import pipelines
-from terraloom.plans.catalog import NAMES, PX, query
-from terraloom.schema import DATA_FILL
+from terraloom.plans.catalog import NAMES, PX, query, sql_fit, sql_series, sql_steps, sql_windows, steps
+from terraloom.schema import DATA_FILL, WEIGHTS
 from terraloom.sources import stores, tables
 from terraloom.streaming import sliding
 
@@ -60,7 +60,7 @@ def s07(spark, d):
     return stores.read_list(spark, path)
 
 
-@query("s09_file_inventory")
+@query("s09_file_inventory", f"WITH {PX} SELECT DISTINCT CASE WHEN px % 2 = 0 THEN 'h18v04' ELSE 'h18v03' END AS tile, CAST(year(DATE '1995-01-01' + 8 * t) AS INTEGER) AS year FROM px")
 def s09(spark, d):
     path = stores.scratch(spark)
     stores.write_pixels(_pixels(spark, d), path)
@@ -81,31 +81,56 @@ def k13(spark, d):
     return tables.file_names(spark, d).select("name", fit_name(F.col("name"), "poly_lin_win15", (1.0, 0.5, 0.01, 0.01)).alias("fit_name"))
 
 
-@query("s16_random_cube")
+@query(
+    "s16_random_cube",
+    "SELECT px, CAST(t AS INTEGER) AS t, CAST((px * 15 + t) * 48271 % 2147483647 % 10000 AS INTEGER) AS value FROM (SELECT CAST(s_suppkey AS BIGINT) AS px, unnest(generate_series(0, 14)) AS t FROM supplier)",
+)
 def s16(spark, d):
-    """A cube of random reflectances: 15 epochs of 40 x 40 pixels, the same each time."""
-    cells = spark.range(15 * 1600, numPartitions=8).select((F.col("id") / 1600).cast("int").alias("t"), (F.col("id") % 1600).cast("int").alias("px"), F.hash("id").alias("h"))
-    return cells.select("px", "t", F.pmod("h", F.lit(10000)).alias("value"))
+    """A cube of random reflectances: 15 epochs of a pixel per supplier, the same each time."""
+    cells = tables.read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("px"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("t"))
+    return cells.select("px", "t", ((F.col("px") * 15 + F.col("t")) * 48271 % 2147483647 % 10000).cast("int").alias("value"))
 
 
-@query("s02_streamed_windows", f"""WITH {PX}, w AS (SELECT px, t, avg(CASE WHEN value <> 32767 THEN value END) OVER a AS mean, count(*) OVER a AS n FROM px WINDOW a AS (PARTITION BY px ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
-    SELECT px, t, CAST(floor(mean * 100 + 0.37129) AS BIGINT) AS mean FROM w WHERE n = 15 AND px <= 20""")
+def _streamed(spark, d, weights):
+    """The series as a stream of files: spans of epochs arrive one after the other, each in files dealt by series."""
+    staged, source = stores.scratch(spark), stores.scratch(spark)
+    pipelines.masked(tables.supplier_series(spark, d), weights).withColumn("span", F.floor(F.col("t") / SPAN)).write.partitionBy("span").parquet(staged)
+    rows = spark.read.parquet(staged)
+    for (span,) in rows.select("span").distinct().orderBy("span").collect():
+        rows.where(F.col("span") == span).drop("span").repartition("px").write.mode("append").parquet(source)
+    return sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark), files_per_batch=SPAN_FILES).where("not late")
+
+
+_MEANS = f"""WITH {PX}, w AS (SELECT px, t, avg(CASE WHEN value <> 32767 THEN value END) OVER a AS mean, count(*) OVER a AS n FROM px WINDOW a AS (PARTITION BY px ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
+    SELECT px, t, CAST(floor(mean * 100 + 0.37129) AS BIGINT) AS mean FROM w WHERE n = 15"""
+_STREAMED = WEIGHTS["poly_lin"]
+
+
+@query("s02_streamed_windows", _MEANS)
 def s02(spark, d):
     """The sliding window as a stream: epochs arrive as files, the state holds fifteen of them."""
-    source = stores.scratch(spark)
-    pipelines.masked(tables.supplier_series(spark, d).where("px <= 20"), (1.0, 0.5, 0.01, 0.01)).repartition(1).sortWithinPartitions("t").write.option("maxRecordsPerFile", 1500).parquet(source)
-    out = sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark))
-    return out.select("px", "t", F.floor(F.col("mean") * 100 + 0.37129).cast("long").alias("mean"))
+    return _streamed(spark, d, _STREAMED).select("px", "t", steps(F.col("mean")).alias("mean"))
 
 
-@query("s02c_streamed_windows_of_all_series", f"""WITH {PX}, w AS (SELECT px, t, avg(CASE WHEN value <> 32767 THEN value END) OVER a AS mean, count(*) OVER a AS n FROM px WINDOW a AS (PARTITION BY px ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
-    SELECT px, t, CAST(floor(mean * 100 + 0.37129) AS BIGINT) AS mean FROM w WHERE n = 15""")
+@query("s02c_streamed_windows_of_all_series", f"WITH {sql_series(_STREAMED)}, {sql_windows()}, {sql_fit('win', 'c1')} SELECT px, t, {sql_steps('a0', 10)} AS fit FROM c1")
 def s02c(spark, d):
-    """The same for every series; spans of epochs arrive one after the other, each in files dealt by series."""
-    staged, source = stores.scratch(spark), stores.scratch(spark)
-    pipelines.masked(tables.supplier_series(spark, d), (1.0, 0.5, 0.01, 0.01)).withColumn("span", F.floor(F.col("t") / SPAN)).write.partitionBy("span").parquet(staged)
-    rows = spark.read.parquet(staged)
-    for (span,) in rows.select("span").distinct().orderBy("span").collect():
-        rows.where(F.col("span") == span).drop("span").repartition("px").write.mode("append").parquet(source)
-    out = sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark), files_per_batch=SPAN_FILES)
-    return out.select("px", "t", F.floor(F.col("mean") * 100 + 0.37129).cast("long").alias("mean"))
+    """The weighted parabola at the centre of each streamed window."""
+    return _streamed(spark, d, _STREAMED).select("px", "t", steps(F.col("fit"), 10).alias("fit"))
+
+
+@query("k03_grid_metadata", "SELECT 463.3127::DOUBLE AS res, 2400 AS n_rows, 2400 AS n_cols, 32767 AS no_data, 'sinusoidal' AS projection, count(*) > 0 AS has_rows FROM supplier")
+def k03(spark, d):
+    """The grid that a store's pixels belong to is kept in the store's schema and comes back with it."""
+    path = stores.scratch(spark)
+    stores.write_pixels(_pixels(spark, d), path, grid={"projection": "sinusoidal", "res": 463.3127, "n_rows": 2400, "n_cols": 2400})
+    back = stores.read_pixels(spark, path)
+    g = stores.grid_of(back)
+    return back.agg((F.count("*") > 0).alias("has_rows")).select(*(F.lit(g[c]).alias(c) for c in ("res", "n_rows", "n_cols", "no_data", "projection")), "has_rows")
+
+
+@query(
+    "fn_fit_catalogue",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {', '.join(f'{x!r}::DOUBLE' for x in w)}, {15 if n in ('poly_lin', 'lin_poly', 'sg_fft_poly', 'poly') else 46})" for n, w in WEIGHTS.items()) + ") AS c(product, w0, w1, w2, w3, width)",
+)
+def fn_fit_catalogue(spark, d):
+    return pipelines.catalogue(spark).select("product", *(F.col("weights")[i].alias(f"w{i}") for i in range(4)), "width")

@@ -12,30 +12,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.operators.masks import floored, valid_or_fill
+from terraloom.schema import DATA_FILL
 
 #: Folders of a pixel store, coarse to fine.
 LAYOUT = ("fit_product", "tile", "band", "year")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a fresh local one."""
+    """A new folder below ``spark.checkpoint.dir``. Only a session on one machine (tests) may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
-def write_pixels(df: DataFrame, path: str, layout: Sequence[str] = LAYOUT, domain: str | None = "valid", mode: str = "overwrite") -> None:
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again, for what later steps read more than once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_pixels(df: DataFrame, path: str, layout: Sequence[str] = LAYOUT, domain: str | None = "valid", mode: str = "overwrite", grid: dict | None = None) -> None:
     """Write pixels in folders by ``layout``, rows of a folder sorted by block of the raster so that windowed reads skip
     row groups. ``domain``: 'valid' turns values outside 0..9999 into fill, 'floored' negative ones into 0. Folders are
-    dealt out by key and block of rows, so a folder as large as a tile spreads over tasks."""
+    dealt out by key and block of rows, so a folder as large as a tile spreads over tasks. ``grid``: projection, corner, size
+    of the raster, kept with the fill value in the schema of the column ``value``."""
     if domain:
         df = df.withColumn("value", (valid_or_fill if domain == "valid" else floored)(F.col("value")).cast("short"))
+    df = df.withColumn("value", F.col("value").alias("value", metadata={"no_data": DATA_FILL, **(grid or {})}))
     spread = F.floor(F.col("row") / 256)
     df.repartition(*layout, spread).sortWithinPartitions(*layout, "row", "col", "epoch_date").write.mode(mode).partitionBy(*layout).parquet(path)
 
 
+def grid_of(df: DataFrame) -> dict:
+    """What a store was told of the grid of its pixels, and their fill value."""
+    return dict(df.schema["value"].metadata)
+
+
 def read_pixels(spark: SparkSession, path: str, since: int | None = None, until: int | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Pixels of a store, cut to epochs since..until and to rows and columns (row0, row1, col0, col1), both ends included; all
     cuts reach the Parquet scan."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.operators import spatial
 from terraloom.schema import DATA_FILL, QUALITY_FILL
 
 
@@ -102,6 +103,12 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def points_with_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, tile, px: points with the pixel of the tile's 40 x 40 cells that they are in."""
+    placed = spatial.points_on_grid(points(spark, sf_dir), grids(spark, sf_dir), 2000.0)
+    return placed.select("fid", "tile", (F.col("row") * 40 + F.col("col")).alias("px"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fid, x1, y1, x2, y2: the suppliers as transects over the parts' raster, in all four directions."""
     k = F.col("s_suppkey")

@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from terraloom.schema import HALF
 
-OUT = "px long, t int, fit double, mean double"
-STATE = "t array<int>, v array<double>, w array<double>"
+OUT = "px long, t int, fit double, mean double, late boolean"
+STATE = "done int, t array<int>, v array<double>, w array<double>"
 
 
 def centre(t: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
@@ -25,36 +25,44 @@ def centre(t: np.ndarray, v: np.ndarray, w: np.ndarray) -> float:
     return float(np.linalg.solve(normal, a @ value)[0]) if abs(det) > 1e-9 * scale else float("nan")
 
 
-def windows(stream: DataFrame, half: int = HALF) -> DataFrame:
-    """px, t, fit, mean for every full window of a stream (px, t, v, w). Per key the state holds at most a window of rows: what
-    arrives is merged in order of t, rows not later than the newest emitted window's end are late and go, and each row
-    that completes a window emits it. Epochs of a key must arrive in order between batches, in any order within one."""
+def windows(stream: DataFrame, half: int = HALF, lag: int = 0) -> DataFrame:
+    """px, t, fit, mean, late for every full window of a stream (px, t, v, w).
+
+    Per key the state holds the rows that windows yet to come need: a window's length but one, and a reorder buffer of the rows
+    of the newest ``lag`` epochs, which are not final. A window is emitted once its last row is older than that; rows
+    not later than the newest window's end, or that repeat one, come too late and are emitted as such (``late``),
+    without fit and mean. So epochs may come in any order within a batch, and up to ``lag`` late between batches."""
     width = 2 * half + 1
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(dict(zip("tvw", state.get, strict=True))) if state.exists else pd.DataFrame({"t": [], "v": [], "w": []})
-        newest = held["t"].max() if len(held) else -np.inf
+        done, *held = state.get if state.exists else (-(2**31), [], [], [])
         come = pd.concat(list(parts))[["t", "v", "w"]]
-        rows = pd.concat([held, come[come["t"] > newest].drop_duplicates("t").sort_values("t")], ignore_index=True).astype({"t": "int64", "v": "float64", "w": "float64"})
+        old = (come["t"] <= done) | come["t"].isin(held[0]) | come["t"].duplicated()
+        out = [(key[0], int(x), np.nan, np.nan, True) for x in come["t"][old]]
+        rows = pd.concat([pd.DataFrame(dict(zip("tvw", held, strict=True))), come[~old]], ignore_index=True).astype({"t": "int64", "v": "float64", "w": "float64"}).sort_values("t")
         t, v, w = (rows[c].to_numpy() for c in "tvw")
-        out = []
-        for i in range(len(t) - width + 1):
-            if len(held) == width and i == 0:
-                continue  # emitted when it was completed
+        final = int((t <= (t[-1] if len(t) else 0) - lag).sum())
+        for i in range(final - width + 1):
             a = slice(i, i + width)
+            if t[i + width - 1] <= done:
+                continue
             seen = v[a][np.isfinite(v[a])]
-            out.append((key[0], int(t[i + half]), centre(t[a], v[a], w[a]), seen.mean() if len(seen) else np.nan))
-        state.update(([int(x) for x in t[-width:]], [float(x) for x in v[-width:]], [float(x) for x in w[-width:]]))
-        yield pd.DataFrame(out, columns=["px", "t", "fit", "mean"])
+            out.append((key[0], int(t[i + half]), centre(t[a], v[a], w[a]), seen.mean() if len(seen) else np.nan, False))
+        if final >= width:
+            done = max(done, int(t[final - 1]))
+            keep = slice(final - width + 1, None)
+            t, v, w = t[keep], v[keep], w[keep]
+        state.update((int(done), [int(x) for x in t], [float(x) for x in v], [float(x) for x in w]))
+        yield pd.DataFrame(out, columns=["px", "t", "fit", "mean", "late"])
 
     return stream.groupBy("px").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
+def run_once(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1, lag: int = 0) -> DataFrame:
     """All files of ``source`` so far through the sliding window into ``target``; a later call with the same checkpoint goes on
     where this one ended."""
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    done = windows(stream.select("px", "t", "v", "w")).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    done = windows(stream.select("px", "t", "v", "w"), lag=lag).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(OUT).parquet(target)
