@@ -20,17 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a fresh local one."""
+    """A new folder below ``spark.checkpoint.dir``. Only a session on one machine (tests) may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/terraloom-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of this session that are still there.
+_WRITTEN: set[str] = set()
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it again: lineage ends here, lost executors cost nothing."""
+    """Write ``df`` to the shared scratch folder and read it again: lineage ends here, lost executors cost nothing. What an
+    operator itself no longer needs it forgets; the rest is for ``clear`` once results are written."""
     path = scratch_dir(df.sparkSession)
+    _WRITTEN.add(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -42,11 +50,21 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def forget(spark: SparkSession, *written: DataFrame) -> None:
     """Delete scratch tables that nothing lazy reads any more, and let the driver notice which shuffles are over."""
+    _delete(spark, [df.scratch_path for df in written])
+    release(spark, 1)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this session. Results that are not written yet can't be read afterwards."""
+    _delete(spark, list(_WRITTEN))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
-    for df in written:
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark, 1)
+        _WRITTEN.discard(p)
 
 
 def release(spark: SparkSession, times: int = 2) -> None:

@@ -84,3 +84,43 @@ def test_planted_passages_go(outputs):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         for k in range(len(w) - 50):
             assert seen.setdefault(tuple(w[k : k + 51]), i) == i
+
+
+def chained(spark, docs, sf_dir):
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf_dir, odd, docs):
+    """Null, empty, very long and repeated texts with columns named like the operators' own: all stages but the last keep the
+    columns, and what comes out is in the last stage's input."""
+    from pyspark.sql import functions as F
+
+    extra = [c for c in odd.columns if c not in docs.columns]
+    wide = docs.select(*docs.columns, *(F.lit(None).cast(odd.schema[c].dataType).alias(c) for c in extra)).unionByName(odd)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stored(stage(spark, wide, sf_dir))
+        assert sorted(made.columns) == sorted(odd.columns)
+        wide = made
+    last = stored(corpus_pipeline.STAGES[-1][1](spark, wide, sf_dir))
+    assert Counter(r["doc_id"] for r in last.where("piece = 0").collect()) == Counter(r["doc_id"] for r in wide.select("doc_id").collect())
+
+
+def test_stages_take_an_empty_table(spark, sf_dir, empty):
+    assert chained(spark, empty, sf_dir).count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark, docs):
+    import os
+
+    from terraloom.llm import common
+
+    made = stored(docs.limit(3))
+    path = made.scratch_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    before = set(common._WRITTEN)
+    common._WRITTEN.intersection_update({made.scratch_path})
+    common.clear(spark)
+    assert not os.path.exists(path) and not common._WRITTEN
+    common._WRITTEN.update(before - {made.scratch_path})
