@@ -5,11 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from terraloom.schema import SPHERE_RADIUS
 
+#: Rows and columns of the squares in which neighbourhoods are computed.
+SIDE = 64
+
 
 def block_of(index: Column, size: int, offset: int = 0) -> Column:
     return F.floor((index - offset) / size).cast("int")
@@ -31,15 +37,32 @@ def block_cover(df: DataFrame, keys: Sequence[str], size: int, mask: str = "mask
 
 def focal_mean(df: DataFrame, keys: Sequence[str], value: str = "value", out: str = "focal", reach: int = 1, whole: bool = False) -> DataFrame:
     """(keys, row, col, out): mean of the values around each cell of the raster, itself included; what is missing or outside
-    doesn't count. ``whole`` cuts the means to whole numbers. Each cell sends its value to its neighbours, summed up
-    before the exchange."""
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)))
-    sent = df.select(*keys, "row", "col", value, F.explode(steps).alias("s")).select(
-        *keys, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), value, ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own")
-    )
-    mean = F.avg(value)
-    got = sent.groupBy(*keys, "row", "col").agg((mean if not whole else F.when(mean >= 0, F.floor(mean)).otherwise(F.ceil(mean)).cast("double")).alias(out), F.max("own").alias("_own"))
-    return got.where("_own").drop("_own")
+    doesn't count. ``whole`` cuts the means to whole numbers.
+
+    Cells are dealt to squares of ``SIDE`` cells, those near an edge to the neighbouring squares too; each square is one matrix."""
+    squares = lambda i: F.array_distinct(F.array(*(block_of(i + s, SIDE) for s in (-reach, 0, reach))))
+    cells = df.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("_v"), F.explode(squares(F.col("row"))).alias("_br"))
+    dealt = cells.select("*", F.explode(squares(F.col("col"))).alias("_bc"))
+    schema = StructType([*(df.schema[k] for k in keys), StructField("row", IntegerType()), StructField("col", IntegerType()), StructField(out, DoubleType())])
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        top, left = (key[len(keys) + i].as_py() * SIDE - reach for i in range(2))
+        row, col, v = (group.column(c).to_numpy() for c in ("row", "col", "_v"))
+        at, side = (row - top, col - left), SIDE + 2 * reach
+        total, n, there = np.zeros((side, side)), np.zeros((side, side)), np.zeros((side, side), bool)
+        known = np.isfinite(v)
+        there[at] = True
+        np.add.at(total, (at[0][known], at[1][known]), v[known])
+        np.add.at(n, (at[0][known], at[1][known]), 1)
+        shifts = [(slice(i, i + SIDE), slice(k, k + SIDE)) for i in range(2 * reach + 1) for k in range(2 * reach + 1)]
+        with np.errstate(invalid="ignore"):
+            mean = sum(total[s] for s in shifts) / sum(n[s] for s in shifts)
+        mean = np.trunc(mean) if whole else mean
+        r, c = np.nonzero(there[reach : reach + SIDE, reach : reach + SIDE])
+        made = [pa.array((r + top + reach).astype(np.int32)), pa.array((c + left + reach).astype(np.int32)), pa.array(mean[r, c], from_pandas=True)]
+        return pa.table([*(pa.array([k.as_py()] * len(r), k.type) for k in key[: len(keys)]), *made], names=schema.names)
+
+    return dealt.groupBy(*keys, "_br", "_bc").applyInArrow(run, schema)
 
 
 def cell_of(x: Column, y: Column, x0: Column, y0: Column, res: Column) -> tuple[Column, Column]:

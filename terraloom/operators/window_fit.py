@@ -31,6 +31,14 @@ def around(m: np.ndarray, half: int = HALF) -> Window:
     return [m[:, k : k + n] for k in range(2 * half + 1)]
 
 
+def filled_online(m: np.ndarray, head: int) -> np.ndarray:
+    """Rows of ``m`` with gaps interpolated in their first ``head`` epochs, and the last value carried forward from there, as
+    a cube does that is filled once and then shifted."""
+    last = np.maximum.accumulate(np.where(np.isfinite(m), np.arange(m.shape[1]), -1), axis=1)
+    carried = np.where(last >= 0, m[np.arange(len(m))[:, None], np.maximum(last, 0)], np.nan)
+    return np.concatenate([fill_rows(m[:, :head]), carried[:, head:]], axis=1)
+
+
 def coefficients(v: Window, w: Window, degree: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a0, a1, a2) of the weighted least-squares polynomial of each window; NaN if it is not determined. A weight without a
     value counts on the left-hand side only."""

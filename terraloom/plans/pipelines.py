@@ -41,12 +41,12 @@ def poly_lin(df: DataFrame, keys: Sequence[str] = KEYS, second: str = "raw") ->
 
 def lin_poly(df: DataFrame, keys: Sequence[str] = KEYS, online: bool = False) -> DataFrame:
     """interpolation first, two passes (the second on the fit), and the interpolated value where the fit is below 1."""
-    filled = series.interpolate(masked(df, WEIGHTS["lin_poly"], keys), keys, online_after=15 if online else None)
 
     def run(v, w):
+        v = window_fit.filled_online(v, 2 * HALF + 1) if online else spectral.fill_rows(v)
         return {"filled": v[:, HALF:-HALF], "fit": window_fit.refit(window_fit.around(v), window_fit.around(w), second="fit")[0][0]}
 
-    fit = window_fit.over_series(filled, keys, run, ["filled", "fit"], value="filled")
+    fit = window_fit.over_series(masked(df, WEIGHTS["lin_poly"], keys), keys, run, ["filled", "fit"])
     return fit.select(*keys, "t", "filled", "fit", masks.fit_or_interpolation(F.rint("fit"), F.col("filled")).alias("smooth"))
 
 
