@@ -107,6 +107,12 @@ def test_lines(mixed):
     assert Counter(map(tuple, line_dedup.digests(mixed).collect())) == brute_lines(rows)
 
 
+def test_lines_in_several_filter_shards(mixed, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    rows = [(r["doc_id"], r["text"]) for r in mixed.collect()]
+    assert Counter(map(tuple, line_dedup.digests(mixed).collect())) == brute_lines(rows)
+
+
 def test_line_index_is_reversible(mixed, docs):
     """Inserting documents and deleting them again gives the drops of the rest alone."""
     distinct = docs.dropDuplicates(["doc_id"])
