@@ -159,6 +159,16 @@ def test_chat_cases(spark):
     check_chat(spark, rows, budget=100, history=40)
 
 
+def test_chat_takes_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(c, i, ("user", "assistant")[i % 2], f"turn {i} of {c}") for c in (1, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, TURNS)
+    wide = df.select("*", *(F.lit(7).alias(c) for c in ("idx", "block", "tokens", "sys", "same", "window", "before", "entry", "loss")))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(chat.windows(wide)).collect()}
+    assert got == brute_chat(rows)
+
+
 def test_chat_windows_keep_budget_and_system_turn(spark):
     rows = [(1, 0, "system", "be brief"), *((1, i, ("user", "assistant")[i % 2], f"turn {i} " * 10) for i in range(1, 200))]
     made = chat.windows(spark.createDataFrame(rows, TURNS), budget=400, history=80).orderBy("block", "window").collect()
