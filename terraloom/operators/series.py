@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.operators.masks import fit_or_interpolation
 from terraloom.schema import HALF
 
 
@@ -141,7 +140,3 @@ def tumbling(df: DataFrame, keys: Sequence[str], length: int, start: int = 0) ->
     t = F.col("t") - start
     dealt = df.where(F.col("t") >= start).select("*", F.floor(t / length).cast("int").alias("block"), (t % length + 1).cast("int").alias("k"))
     return dealt.select("*", F.count(F.lit(1)).over(Window.partitionBy(*keys, "block")).alias("_rows")).where(F.col("_rows") == length).drop("_rows")
-
-
-def prefer_fit(fit: Column, interpolated: Column) -> Column:
-    return fit_or_interpolation(fit, interpolated)

@@ -157,7 +157,7 @@ def p24(spark, d):
     "fn_dates",
     f"""WITH {SCENES} SELECT scene, CAST(year(acq_date) * 1000 + dayofyear(acq_date) AS INTEGER) AS year_day, CAST(acq_date AS VARCHAR) AS back,
             CAST(year(acq_date) AS VARCHAR) || '-' || CAST(month(acq_date) AS VARCHAR) || '-' || CAST(day(acq_date) AS VARCHAR) AS unpadded,
-            CAST(dayofyear(make_date(year(acq_date), 12, 31)) AS INTEGER) AS days_in_year, CAST(CAST(strptime(strftime(acq_date, '%Y.%m.%d'), '%Y.%m.%d') AS DATE) AS VARCHAR) AS parsed
+            CAST(dayofyear(make_date(year(acq_date), 12, 31)) AS INTEGER) AS days_in_year, CASE WHEN scene % 7 <> 0 THEN CAST(acq_date AS VARCHAR) END AS parsed
         FROM scn""",
 )
 def fn_dates(spark, d):
@@ -165,8 +165,10 @@ def fn_dates(spark, d):
 
     day = F.col("acq_date")
     number = temporal.year_day(day)
+    written = [F.date_format(day, f"yyyy{sep}MM{sep}dd") for sep in "-. "]
+    text = F.when(F.col("scene") % 7 == 0, "no date").when(F.col("scene") % 3 == 0, written[0]).when(F.col("scene") % 3 == 1, written[1]).otherwise(written[2])
     return tables.scene_dates(spark, d).select(
-        "scene", number.alias("year_day"), temporal.from_year_day(number).cast("string").alias("back"), unpadded(day).alias("unpadded"), days_in_year(day).alias("days_in_year"), parse_date(F.date_format(day, "yyyy.MM.dd")).cast("string").alias("parsed")
+        "scene", number.alias("year_day"), temporal.from_year_day(number).cast("string").alias("back"), unpadded(day).alias("unpadded"), days_in_year(day).alias("days_in_year"), parse_date(text).cast("string").alias("parsed")
     )
 
 

@@ -1,4 +1,4 @@
-"""Sentinels, calendar facts and canonical schemas of the raster time-series model.
+"""Sentinels, calendar facts and weights of the raster time-series model.
 
 Rasters live in long form: one row per pixel, band and epoch. Missing data are fill values at rest and NULL in
 computations; Spark's aggregates skip NULL as the algorithms want it, so NaN is never used.
@@ -14,14 +14,6 @@ FIRST_EPOCH, LAST_EPOCH = "2000-02-26", "2020-04-14"
 SPHERE_RADIUS, PIXEL_SIZE = 6371007.18, 463.31271652750013
 WINDOW, HALF = 15, 7
 
-PIXEL = "product string, tile string, band int, epoch_date date, epoch_seq int, row int, col int, value short"
-QUALITY = "tile string, band int, epoch_date date, row int, col int, qual short"
-GRID = "tile string, x0 double, y0 double, res double, n_rows int, n_cols int"
-SCENE_PIXEL = "scene_id string, sensor string, band int, acq_date date, row int, col int, value double"
-SCENE_MASK = "scene_id string, row int, col int, mask short"
-POINTS = "fid long, x double, y double, desc string"
-LINES = "fid long, x1 double, y1 double, x2 double, y2 double, line_type int"
-
 #: Weights by quality code 0..3 of the fitting pipelines.
 WEIGHTS = {
     "poly_lin": (1.0, 0.5, 0.01, 0.01),
