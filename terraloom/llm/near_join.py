@@ -386,7 +386,8 @@ def _links(parts: DataFrame, threshold: float) -> DataFrame:
     known = first.select("sid", "label", "links", "bins").join(names, "sid")
     while True:
         apart = known.groupBy("label").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-        again = parts.join(apart.select("label"), "label", "left_semi").select(parts.columns)
+        blocks = parts.where("blocks > 1").select("label", "band", "block").distinct().join(apart.select("label"), "label")
+        again = parts.join(blocks, ["label", "band", "block"], "left_semi").select(parts.columns)  # dealt by block: a family may be large
         if again.isEmpty():
             break
         more = stored(_by_blocks(again, known.select("sid", c("class").alias("name")), threshold).where("outer is not null"))
