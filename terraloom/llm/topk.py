@@ -31,7 +31,7 @@ from terraloom.llm.common import stored
 
 K, SCALE, QUERY_EVERY = 20, 64, 20
 #: Pivots at most, entries per shard on average, entries per page, children per node.
-PIVOTS, SHARD, PAGE, FANOUT = 4096, 8192, 128, 16
+PIVOTS, SHARD, PAGE, FANOUT = 4096, 8192, 512, 16
 #: Slack for the rounding of float bounds; scores themselves are exact integers.
 EPS = 1e-6
 
