@@ -13,9 +13,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to its least neighbour, if that is smaller, and on to where that points. Both ends
     of all edges are replaced by what they point to; loops and repeated edges go, so that the graph shrinks from
-    round to round and is empty after about log d of them, d the largest diameter, if the order of nodes is random. Pointers are minima pre-aggregated
-    in the map tasks, so a hub is harmless. Every round is a written table. Without edges the result is empty.
-    Nodes should be hashes: along a path in the order of its nodes each round goes two steps only."""
+    round to round and is empty after about log d of them, d the largest diameter, if the order of nodes is random.
+    Nodes should be hashes therefore: along a path in the order of its nodes each round goes two steps only. Pointers
+    are minima pre-aggregated in the map tasks, so a hub is harmless. Every round is a written table. Without edges
+    the result is empty."""
     spark = edges.sparkSession
     left = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     known = table = None
