@@ -69,10 +69,10 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 def release(spark: SparkSession, times: int = 2) -> None:
     """Let the driver notice which shuffles are over: their files stay on the executors' disks until it has collected its
-    garbage. The first time may come while listeners still hold the last query, so large shuffles are worth a second."""
+    garbage. The first time may come while listeners still hold the last query, so large shuffles are worth some seconds."""
     for k in range(times):
         if k:
-            time.sleep(1)
+            time.sleep(k)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 

@@ -253,11 +253,6 @@ def edges(docs: DataFrame, buckets: int, k: int = K, seed: int = 0, bits: int =
     return docs.select("did", "rid", "text").mapInArrow(run, _ROWS)
 
 
-def _tasks(buckets: int) -> int:
-    """Partitions that buckets are dealt to: their number grows with the text, so that of a task's buckets does not."""
-    return 2 * buckets
-
-
 def _occurrences(rows: DataFrame, buckets: int) -> DataFrame:
     """What buckets of edges find and what slices had found, dealt by document: (bucket, spans)."""
 
@@ -280,7 +275,7 @@ def _occurrences(rows: DataFrame, buckets: int) -> DataFrame:
                 out += _dealt(did[later], rid[later], _spans(pos[later], did[lead][later], rid[lead][later], pos[lead][later]), buckets)
         return pa.Table.from_batches([_table(out, _FOUND)])
 
-    return rows.repartition(_tasks(buckets), "bucket").groupBy("bucket").applyInArrow(run, _FOUND)
+    return rows.groupBy("bucket").applyInArrow(run, _FOUND)
 
 
 def paths(docs: DataFrame, k: int = K, seed: int = 0, bits: int = 64) -> DataFrame:
@@ -302,8 +297,7 @@ def paths(docs: DataFrame, k: int = K, seed: int = 0, bits: int = 64) -> DataFra
         columns = [did[first][row], rid[first][row], *(np.ascontiguousarray(spans[c]).astype(t) for c, t in (("start", np.int32), ("len", np.int32), ("src", np.int64), ("srid", np.int64), ("at", np.int32)))]
         return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
 
-    found = _occurrences(edges(docs, buckets, k, seed, bits), buckets)
-    straight = stored(found.repartition(_tasks(buckets), "bucket").groupBy("bucket").applyInArrow(run, _SPANS))
+    straight = stored(_occurrences(edges(docs, buckets, k, seed, bits), buckets).groupBy("bucket").applyInArrow(run, _SPANS))
     release(docs.sparkSession)
     return straight
 
@@ -456,7 +450,7 @@ def verified(docs: DataFrame, spans: DataFrame, whole_text: bool, k: int = K, bi
     that the words at their source coordinates have confirmed. ``kept``: the text with its own white space if
     ``whole_text``, else the digest of the kept words."""
     spark = docs.sparkSession
-    release(spark)  # texts travel next
+    release(spark, 3)  # texts travel next
     first = stored(_told(docs, _by_document(spans), whole_text, k, "left", True))
     wrong = _unfounded(first)
     result = first.drop("own", "told")
