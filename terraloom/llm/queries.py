@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, substring_dedup, token_counts, topk
+from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, substring_dedup, token_counts, topk, vector_codes
 from terraloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_de_bruijn_dedup": op2_de_bruijn_dedup,
@@ -62,8 +66,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_media": op8_mpeg_media,
     "op9_mtree_top_k": op9_mtree_top_k,
     "op10_token_counts": op10_token_counts,
+    "op12_filtering_lloyd_codes": op12_filtering_lloyd_codes,
 }
 
+
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds spelled out, each with all distances."""
+
+    def nearest(k: int) -> str:
+        return f"""n{k} AS MATERIALIZED (
+            SELECT x.id, x.p, min(CAST(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {entries} + b.e) AS de
+            FROM x JOIN b{k} b USING (p) GROUP BY ALL
+        )"""
+
+    def means(k: int) -> str:
+        return f"""b{k + 1} AS MATERIALIZED (
+            SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+                SELECT p, e, list(v ORDER BY j) AS v FROM (
+                    SELECT p, de % {entries} AS e, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS v
+                    FROM n{k} JOIN x USING (id, p), LATERAL (SELECT unnest(generate_series(1, len(v))) AS j) GROUP BY ALL
+                ) GROUP BY ALL
+            ) m USING (p, e)
+        )"""
+
+    ctes = [f"""k AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda c: CAST(floor({vector_codes.SCALE} * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), x AS MATERIALIZED (
+            SELECT id, vec_id, p, v[len(v) // {parts} * p + 1:len(v) // {parts} * (p + 1)] AS v FROM k, (SELECT unnest(generate_series(0, {parts - 1})) AS p)
+        ), b0 AS MATERIALIZED (
+            SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS BIGINT) AS e, v
+            FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})
+        )"""]
+    ctes += [f"{nearest(k)}, {means(k)}" for k in range(rounds)] + [nearest(rounds)]
+    return f"""
+        WITH {", ".join(ctes)}, h AS (
+            SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}
+        ), c AS (
+            SELECT id, string_agg(format('{{:02x}}', de % {entries}), '' ORDER BY p) AS code, CAST(sum(de // {entries}) AS BIGINT) AS error FROM n{rounds} GROUP BY id
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (id), h
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_de_bruijn_dedup": """
         WITH w AS (
@@ -111,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op12_filtering_lloyd_codes": _lloyd_sql(),
 }
