@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, substring_dedup, token_counts, topk, vector_codes
+from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, spelling, substring_dedup, token_counts, topk, vector_codes
 from terraloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_aho_corasick_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_media": op8_mpeg_media,
     "op9_mtree_top_k": op9_mtree_top_k,
     "op10_token_counts": op10_token_counts,
+    "op11_aho_corasick_halves": op11_aho_corasick_halves,
     "op12_filtering_lloyd_codes": op12_filtering_lloyd_codes,
 }
 
@@ -157,5 +162,38 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_aho_corasick_halves": """
+        WITH RECURSIVE crc AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t
+        ), run AS MATERIALIZED (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL
+        ), bytes AS (
+            SELECT run, n, hex(encode(concat(doc_id, ':', run))) AS x FROM run WHERE length(run) >= 7
+        ), sums AS (
+            SELECT run, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT)),
+                lambda c, b: xor(t[CAST(xor(c, b) % 256 + 1 AS BIGINT)], c // 256), 4294967295), 4294967295) AS h
+            FROM bytes, crc
+        ), words AS MATERIALIZED (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+                SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums
+            ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+        ), without AS MATERIALIZED (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, LATERAL (SELECT unnest(generate_series(1, length(word))) AS i)
+        ), near AS MATERIALIZED (
+            SELECT a.word, b.word AS other FROM without a JOIN without b USING (i, rest) WHERE a.word <> b.word
+            UNION SELECT w.word, rest FROM without w JOIN words o ON o.word = rest
+            UNION SELECT rest, w.word FROM without w JOIN words o ON o.word = rest
+        ), best AS (
+            SELECT near.word, count(*) AS n_near, min({'minus': -o.n, 'other': other}) AS best FROM near JOIN words o ON o.word = other GROUP BY near.word
+        ), forms AS MATERIALIZED (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.minus >= 10 * n THEN best.other END AS form, CASE WHEN -best.minus >= 10 * n THEN -best.minus END AS form_n
+            FROM words LEFT JOIN best USING (word)
+        ), chain AS (
+            SELECT word, word AS root, form FROM forms
+            UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.form
+        )
+        SELECT word, forms.form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE form IS NULL) USING (word)
+    """,
     "op12_filtering_lloyd_codes": _lloyd_sql(),
 }
