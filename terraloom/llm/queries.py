@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, spelling, substring_dedup, token_counts, topk, vector_codes
+from terraloom.llm import bpe, chat, language, line_dedup, mpeg, near_join, packing, secret_scan, spelling, substring_dedup, token_counts, topk, vector_codes
 from terraloom.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_de_bruijn_dedup": op2_de_bruijn_dedup,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_aho_corasick_halves": op11_aho_corasick_halves,
     "op12_filtering_lloyd_codes": op12_filtering_lloyd_codes,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 
