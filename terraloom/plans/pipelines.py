@@ -135,10 +135,10 @@ def calibrated_scenes(scenes: DataFrame, lines: DataFrame) -> DataFrame:
     return known.withColumn("calibrated", masks.calibrated_range(F.col("odr_b0") + F.col("odr_b1") * masks.mask_out(F.col("value"), F.col("mask")))).drop("odr_b0", "odr_b1")
 
 
-def distance_statistics(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.003, per_unit: int = 1, bins: int = 45) -> DataFrame:
+def distance_statistics(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.003, bins: int = 45) -> DataFrame:
     """what Grubbs' test leaves of each group: its interval, number, mean, deviation, three-sigma bounds, the normal density at
     the mean and at the bounds, and ``bins`` counts of equally wide bins from ``low`` to ``high``."""
-    bounds = robust.grubbs_bounds(df, keys, value, alpha, 1, per_unit)
+    bounds = robust.grubbs_bounds(df, keys, value, alpha, 1)
     kept = df.join(bounds, list(keys)).where(F.col(value).between(F.col("low"), F.col("high")))
     spot = F.least(F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)).cast("int")
     counted = kept.groupBy(*keys, F.coalesce(spot, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))

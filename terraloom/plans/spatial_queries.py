@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from terraloom.operators import masks, series, spatial
 from terraloom.plans import pipelines
 from terraloom.plans.catalog import GRID, GRIDS, LINES, PLACED, POINTS, query, sql_fill, sql_series, sql_steps, steps
-from terraloom.schema import WEIGHTS
+from terraloom.plans.scene_queries import sql_to_utm
+from terraloom.schema import SPHERE_RADIUS, WEIGHTS
 from terraloom.sources import tables
 
 RES, TOP = 10.0, 400.0
@@ -94,7 +95,12 @@ def g02(spark, d):
     return spatial.bounding_box(j05(spark, d), ("tile",), 50.0)
 
 
-@query("g01_reproject_nearest")
+@query(
+    "g01_reproject_nearest",
+    f"""WITH {GRID}, tg AS (SELECT p_partkey AS id, CAST(669750 + p_partkey % 60 * 30 AS DOUBLE) AS x, CAST(5337600 - p_partkey // 60 * 30 AS DOUBLE) AS y, 32 AS zone, 0 AS south FROM part),
+        tl AS (SELECT *, y / {SPHERE_RADIUS}::DOUBLE AS lat FROM tg), tm AS (SELECT *, x / ({SPHERE_RADIUS}::DOUBLE * cos(lat)) AS lon FROM tl), {sql_to_utm('lon', 'lat', 'tm', 'u', 'id, x, y')}
+        SELECT id, x, y, value FROM u LEFT JOIN grid ON row = CAST(floor((5316700.0::DOUBLE - north) / 30.0::DOUBLE) AS INTEGER) AND col = CAST(floor((east - 500000.0::DOUBLE) / 30.0::DOUBLE) AS INTEGER)""",
+)
 def g01(spark, d):
     """Sinusoidal cells around 9 degrees east, 48 north, each with the UTM cell that it falls into; the parts' raster is the scene."""
     scene = tables.part_grid(spark, d).select("row", "col", "value")

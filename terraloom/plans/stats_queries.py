@@ -77,12 +77,32 @@ def a16(spark, d):
     return robust.median_distance(tables.event_series(spark, d), ("px",), "v", 0.5).select("px", "t", "kept")
 
 
-@query("a17_o05_grubbs")
+#: Days in a series of events.
+_DAYS = 30
+
+
+def sql_grubbs(source: str, out: str, alpha: float, ddof: int, most: int = _DAYS) -> str:
+    """out(px, total, low, high): Grubbs' test of the values v of ``source`` by px, an extreme a step; groups of ``most`` values at most."""
+    critical = ", ".join(f"({n}, {robust.grubbs_critical(n, alpha)!r}::DOUBLE)" for n in range(3, most + 1))
+    step = f"""SELECT s.px, s.total, s.critical, s.step + 1 AS step,
+            min(e.v) FILTER (NOT (s.mean - e.v >= s.far)) AS low, max(e.v) FILTER (NOT (e.v - s.mean >= s.far)) AS high
+        FROM {out}_s s JOIN {source} e ON e.px = s.px AND e.v BETWEEN s.low AND s.high GROUP BY ALL"""
+    measured = lambda rows: f"""SELECT g.px, g.total, g.critical, g.step, g.low, g.high, avg(e.v) AS mean, CASE WHEN count(*) > {ddof} THEN sqrt(var_pop(e.v) * count(*) / (count(*) - {ddof})) END AS sd, greatest(avg(e.v) - min(e.v), max(e.v) - avg(e.v)) AS far
+        FROM ({rows}) g JOIN {source} e ON e.px = g.px AND e.v BETWEEN g.low AND g.high GROUP BY ALL"""
+    return f"""{out}_c(n, critical) AS (VALUES {critical}),
+    {out}_s AS (
+        {measured(f"SELECT px, count(v) AS total, critical, 0 AS step, min(v) AS low, max(v) AS high FROM {source} LEFT JOIN {out}_c ON n = (SELECT count(v) FROM {source} x WHERE x.px = {source}.px) GROUP BY px, critical")}
+        UNION ALL
+        {measured(step.replace(f"FROM {out}_s s", f"FROM (SELECT * FROM {out}_s WHERE sd > 0 AND far / sd > critical) s"))}
+    ), {out} AS (SELECT px, total, low, high, mean, sd FROM {out}_s QUALIFY row_number() OVER (PARTITION BY px ORDER BY step DESC) = 1)"""
+
+
+@query("a17_o05_grubbs", f"WITH RECURSIVE {EV}, {sql_grubbs('ev', 'gb', 0.05, 0)} SELECT ev.px, t, v FROM ev JOIN gb ON gb.px = ev.px AND v BETWEEN low AND high")
 def a17(spark, d):
     return robust.grubbs(tables.event_series(spark, d), ("px",), "v").select("px", "t", "v")
 
 
-@query("a17b_grubbs_bounds")
+@query("a17b_grubbs_bounds", f"WITH RECURSIVE {EV}, {sql_grubbs('ev', 'gb', 0.003, 1)} SELECT px, total, low, high, {sql_steps('mean')} AS mean, {sql_steps('sd')} AS sd FROM gb")
 def a17b(spark, d):
     b = robust.grubbs_bounds(tables.event_series(spark, d), ("px",), "v", alpha=0.003, ddof=1)
     return b.select("px", "total", "low", "high", steps(F.col("mean")).alias("mean"), steps(F.col("sd")).alias("sd"))
@@ -169,7 +189,7 @@ def f15(spark, d):
     axes = F.posexplode(F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("axis", "v")
     listed = tables.scene_pairs(spark, d).select(axes, F.lit(None).cast("string").alias("_c2")).select("axis", (F.col("v") / 100).alias("dist"), "_c2")
     listed.write.option("sep", ";").csv(path, header=True)
-    return pipelines.distance_statistics(stores.read_list(spark, path), ("axis",), "dist", per_unit=100).select(
+    return pipelines.distance_statistics(stores.read_list(spark, path), ("axis",), "dist").select(
         "axis", "total", "n", "low", "high", "bins", *(steps(F.col(c), 10000).alias(c) for c in ("mean", "sd", "left", "right", "density_mean", "density_bound"))
     )
 
