@@ -98,7 +98,7 @@ def _streamed(spark, d, weights):
     rows = spark.read.parquet(staged)
     for (span,) in rows.select("span").distinct().orderBy("span").collect():
         rows.where(F.col("span") == span).drop("span").repartition("px").write.mode("append").parquet(source)
-    return sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark), files_per_batch=SPAN_FILES).where("not late")
+    return sliding.run_once(spark, source, stores.scratch(spark), stores.scratch(spark), files_per_batch=SPAN_FILES, lag=SPAN).where("not late")
 
 
 _MEANS = f"""WITH {PX}, w AS (SELECT px, t, avg(CASE WHEN value <> 32767 THEN value END) OVER a AS mean, count(*) OVER a AS n FROM px WINDOW a AS (PARTITION BY px ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))

@@ -235,15 +235,25 @@ def test_kernels_equal_expressions(spark):
     assert got == want and len(got) == 26 + 26 + 8 + 1
 
 
-def test_late_and_reordered_rows_of_a_stream(spark):
-    """Rows within the lag are put in order, those behind it come out as late."""
-    t = list(range(20))
-    batches = [[0, 1, 2, 3, 5, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16], [15, 17, 2, 18], [19, 18, 16]]
-    source, target, check = (stores.scratch(spark) for _ in range(3))
-    for b in batches:
-        spark.createDataFrame([(1, x, float(x * x), 1.0) for x in b], "px long, t int, v double, w double").coalesce(1).write.mode("append").parquet(source)
-        out = sliding.run_once(spark, source, target, check, lag=2)
+def test_reordered_repeated_and_late_rows_of_a_stream(spark):
+    """Rows within the lag complete windows in any order, repeated ones come out as late, those behind the watermark leave; state ends."""
+    batches = [[0, 1, 2, 3, 5, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16], [15, 17, 14, 18], [19, 18, 16, 21, 22, 23, 24, 25, 26], [20, 27, 28, 29, 30, 31, 32, 33, 35, 36, 37, 38, 39, 40, 41], [34], [90], [91]]
+    source, target, check, told = *(stores.scratch(spark) for _ in range(3)), []
+    for i, b in enumerate(batches):
+        series = (1, 2, 70, 200) if i == 0 else (1, 2, 70)  # the last one ends, and so does its block
+        spark.createDataFrame([(p, x, float(x * x + p), 1.0) for x in b for p in series if (p, x) != (70, 3)], "px long, t int, v double, w double").coalesce(1).write.mode("append").parquet(source)
+        out = sliding.run_once(spark, source, target, check, lag=7, progress=told)
     rows = out.collect()
-    assert sorted(r["t"] for r in rows if not r["late"]) == [7, 8, 9, 10]
-    assert sorted(r["t"] for r in rows if r["late"]) == [2, 16, 18]
-    assert all(abs(r["fit"] - r["t"] ** 2) < 1e-6 for r in rows if not r["late"])
+    for p in (1, 2, 70):
+        assert sorted(r["t"] for r in rows if r["px"] == p and not r["late"]) == list(range(11 if p == 70 else 7, 27))
+        assert sorted(r["t"] for r in rows if r["px"] == p and r["late"]) == [14, 16, 18]
+    assert all(abs(r["fit"] - r["t"] ** 2 - r["px"]) < 1e-6 for r in rows if not r["late"])
+    operators = [p.stateOperators[0] for p in told if p.stateOperators]
+    assert sum(o.numRowsDroppedByWatermark for o in operators) == 3  # epoch 34, of each series
+    assert max(o.numRowsTotal for o in operators) == 3 and operators[-1].numRowsTotal == 2  # blocks with state: one has been closed
+
+
+def test_a_missing_epoch_makes_no_wider_window():
+    px, t = np.zeros(19, int), np.array([x for x in range(20) if x != 16])
+    out = sliding.completed(px, t, t * 1.0, np.ones(19), np.ones(19, bool))
+    assert out["t"].tolist() == [7, 8]
