@@ -11,8 +11,9 @@ sets have a Jaccard similarity of at least 0.8.
    from their first and last rows. Components of these stars are families.
 3. Matched prefixes are ``DEPTH`` minima long at first. Their length is adapted to the links found: at length d a link of
    similarity s is found with probability 1 - (1 - s^d)^trees, and the longest prefixes are taken that reach the target
-   recall at every similarity (in steps of 0.01) that links were found with. Prefixes then go on being shortened until
-   a shortening brings no links of lower similarity than before, or until even links at the threshold meet the target.
+   recall at every similarity (in steps of 0.01) that links were found with. Links that no length so far could show say nothing
+   about links closer to the threshold, so the last pass is always at the length where links at the threshold meet the
+   target; where a shortening brings no links of lower similarity than before, that pass is the next one.
 4. Families that a shorter prefix has changed are verified on the exact sets. A family of at most ``BLOCK_SETS`` sets
    is verified in one go. Of a larger one, sets of like size form packed blocks of bounded size; each block meets,
    one after another, the blocks whose sets are large and small enough to be similar. Every set comes out as one row:
@@ -21,7 +22,7 @@ sets have a Jaccard similarity of at least 0.8.
 5. Links to smallest sets give classes by components. Where a family of several blocks comes out as several classes,
    the blocks meet again with these as names of their sets, until no link leads from one to another.
 
-Only texts of sets in changed families travel.
+In each pass the texts are dealt out once by document, and those of sets in changed families go on to their blocks.
 
 Cases: a null or wordless text has no grams, links with none and is a class of its own; equal sets have
 similarity 1; repeated rows are linked documents like any copies; null ids are one id that precedes all others and
@@ -405,7 +406,7 @@ def _shorter(bins: dict[int, int], depth: int, low: int, tried: int, recall: flo
     wanted = min(depth, max([d for d in range(low, depth + 1) if all(chance(s / 100, d) >= recall for s in bins)], default=low))
     if wanted < depth:
         return wanted
-    return depth if depth == low or now >= tried and now < 101 else max(low, depth - PROBE)
+    return depth if depth == low else low if now >= tried and now < 101 else max(low, depth - PROBE)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_families_of_several_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("texts, most", [("alike", 8), ("apart", 7)])
 def test_prefixes_are_shortened_until_the_target_recall(spark, texts, most):
-    """Links of high similarity leave prefixes long; those close to the threshold need short ones."""
+    """Links of high similarity leave prefixes long until the last pass; those close to the threshold need short ones at once."""
     base = [f"w{i}" for i in range(400)]
     rows = []
     for i in range(30):
@@ -78,7 +78,29 @@ def test_prefixes_are_shortened_until_the_target_recall(spark, texts, most):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     near_join.joined(df, lengths=lengths)
     assert lengths[0] == near_join.DEPTH and len(lengths) > 1 and sorted(lengths, reverse=True) == lengths
-    assert lengths[-1] > near_join.least_depth(0.8, near_join.RECALL) if texts == "alike" else lengths[-1] <= most
+    assert lengths[-1] == near_join.least_depth(0.8, near_join.RECALL) and (lengths[-2] > most if texts == "alike" else lengths[1] <= most)
+
+
+def test_a_lone_link_at_the_threshold_is_not_lost_beside_close_ones(spark):
+    """Its two sets share no prefix of the lengths that the close links are content with."""
+    rng, base = np.random.default_rng(8), [f"w{i}" for i in range(300)]
+    close = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"]))]
+    minima = lambda text: np.frombuffer(near_join.signature(near_join.grams([text.encode()])[0]), np.uint16).reshape(near_join.TREES, near_join.DEPTH)
+    for trial in range(400):
+        words = [f"t{trial}_{i}" for i in range(200)]
+        other = list(words)
+        for at in rng.choice(np.arange(3, 197), 4, replace=False):
+            other[at] = f"u{trial}_{at}"
+        a, b = " ".join(words), " ".join(other)
+        x, y = (near_join.grams([t.encode()])[0] for t in (a, b))
+        alike = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        shared = (np.cumprod(minima(a) == minima(b), axis=1)).sum(axis=1).max()
+        if 0.8 <= alike < 0.83 and near_join.least_depth(0.8, near_join.RECALL) <= shared < 10:
+            break
+    else:
+        raise AssertionError("no such pair")
+    rows = spark.createDataFrame([*close, (3, a), (4, b)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_join.classes(rows).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1)}
 
 
 def test_choice_of_prefixes():
@@ -87,7 +109,7 @@ def test_choice_of_prefixes():
     shorter = lambda bins, depth, tried: near_join._shorter(bins, depth, low, tried, 0.999)
     assert shorter({80: 1, 99: 1000}, 12, 101) == 6  # the target has to hold at each similarity
     assert shorter({99: 1000}, 12, 101) == 10  # a first look below
-    assert shorter({99: 1000}, 10, 99) == 10  # nothing lower came up
+    assert shorter({99: 1000}, 10, 99) == 6  # nothing lower came up: the pass that holds for links at the threshold
     assert shorter({84: 1, 99: 1000}, 10, 99) == max(d for d in range(6, 11) if near_join.chance(0.84, d) >= 0.999)
     assert shorter({}, 12, 101) == 10 and shorter({}, 6, 101) == 6
 
