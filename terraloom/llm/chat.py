@@ -4,9 +4,11 @@ Turns are ordered by (turn, role, text) within a conversation. A turn becomes ``
 control strings inside roles and texts are escaped by a backslash that reading takes out again. Long
 conversations are cut into windows of whole turns: from the prefix sums of the turns' token counts, a window
 ends before the turn whose prefix sum passes the window's start by more than the budget that the system turn
-and the repeated history leave. Each window repeats the conversation's first system turn and as many of the last
-turns as ``history`` tokens hold; what is repeated is masked, so each assistant text is under the loss once.
-Tokens are those of the formatted turns. A turn too long for the budget gets a window of its own, without history.
+and the repeated history leave. Each window repeats the conversation's first system turn, once that has been said, and as many of
+the last turns as ``history`` tokens hold; what is repeated is masked, so each assistant text is under the loss once.
+Tokens are those of the formatted turns. A turn too long for the budget gets a window of its own, without history; so does
+one that only fits without the system turn, which still comes first: such a window passes the budget by less than the
+system turn's tokens.
 
 Scale: token counts are one map. Turns are numbered by the carried sizes of blocks of turn numbers and dealt by
 (conversation, block of about ``BLOCK_TURNS`` turns), so that a conversation of a third of all rows is spread over many
@@ -92,15 +94,16 @@ def _numbered(turns: DataFrame, folder: str | None, name: str) -> DataFrame:
 class _Block:
     """The turns that a block's windows may reach, as prefix sums: where a window ends and what it repeats."""
 
-    def __init__(self, first: int, tokens: list[int], same: list[bool], system: int | None, budget: int, history: int):
-        self.first, self.tokens, self.system, self.budget, self.history = first, tokens, system, budget, history
+    def __init__(self, first: int, tokens: list[int], same: list[bool], system: int | None, system_idx: int | None, budget: int, history: int):
+        self.first, self.tokens, self.system, self.system_idx, self.budget, self.history = first, tokens, system, system_idx, budget, history
         self.sums, self.same = [0, *accumulate(tokens)], [0, *accumulate(same)]
 
     def window(self, idx: int) -> tuple[int, int, bool]:
         """First turn repeated, end, and whether the system turn comes first, of a window whose own turns begin at ``idx``."""
-        i, n, system = idx - self.first, self.tokens[idx - self.first], self.system or 0
+        i, n, said = idx - self.first, self.tokens[idx - self.first], self.system is not None and self.system_idx <= idx
+        system = self.system if said else 0
         lo = bisect_left(self.sums, self.sums[i] - max(0, min(self.history, self.budget - system - n)), 0, i + 1)
-        put = self.system is not None and self.same[lo] == self.same[i + 1]
+        put = said and self.same[lo] == self.same[i + 1]
         room = max(self.budget - (self.sums[i] - self.sums[lo]) - (system if put else 0), n)
         return self.first + lo, self.first + bisect_right(self.sums, self.sums[i] + room, i + 1) - 1, put
 
@@ -116,7 +119,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, fold
     reached = F.array_compact(F.array(own, F.when((place < ahead) & (own > 0), own - 1), F.when(place >= size - behind, own + 1)))
     same = (F.col("role") == "system") & (F.col("text") == F.col("sys.text"))
     known = rows.join(systems, F.col("conv_id").eqNullSafe(F.col("sys_conv")), "left").withColumn("same", F.coalesce(same, F.lit(False)))
-    dealt = known.select("conv_id", F.explode(reached).alias("block"), "idx", "tokens", "same", F.col("sys.tokens").alias("sys_tokens"), "role", "text", F.col("sys.text").alias("sys"))
+    dealt = known.select("conv_id", F.explode(reached).alias("block"), "idx", "tokens", "same", F.col("sys.tokens").alias("sys_tokens"), F.col("sys.idx").alias("sys_idx"), "role", "text", F.col("sys.text").alias("sys"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """(conversation, block, its rows as columns) of sorted rows."""
@@ -132,7 +135,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, fold
             yield (*group, list(zip(*held, strict=True)))
 
     def block_of(columns: list) -> _Block:
-        return _Block(columns[0][0], columns[1], columns[2], columns[3][0], budget, history)
+        return _Block(columns[0][0], columns[1], columns[2], columns[3][0], columns[4][0], budget, history)
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, block, columns in blocks(batches):
@@ -159,7 +162,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, fold
     entered = left.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(entries, "entry_conv long, entry_block long, entry long")
     whole = (
         dealt.join(entered, F.col("conv_id").eqNullSafe(F.col("entry_conv")) & (F.col("block") == F.col("entry_block")), "left")
-        .select("conv_id", "block", "idx", "tokens", "same", "sys_tokens", F.coalesce("entry", F.lit(0)).alias("entry"), "role", "text", "sys")
+        .select("conv_id", "block", "idx", "tokens", "same", "sys_tokens", "sys_idx", F.coalesce("entry", F.lit(0)).alias("entry"), "role", "text", "sys")
         .repartition("conv_id", "block")
         .sortWithinPartitions("conv_id", "block", "idx")
     )
@@ -174,8 +177,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, fold
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "block", "window", "text", "repeated", "loss"])
 
         for conv, block, columns in blocks(batches):
-            b, at, n = block_of(columns), columns[4][0], 0
-            roles, texts, system = columns[5], columns[6], columns[7][0]
+            b, at, n = block_of(columns), columns[5][0], 0
+            roles, texts, system = columns[6], columns[7], columns[8][0]
             last = min((block + 1) * size, columns[0][-1] + 1)
             while block * size <= at < last:
                 lo, end, put = b.window(at)

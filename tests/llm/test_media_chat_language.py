@@ -187,12 +187,13 @@ def brute_windows(rows, budget, history):
     size = lambda r, t: len(coder.encode(chat.format_turn(r, t)[0], add_special_tokens=False).ids)
     turns = [(r, t) for _, _, r, t in sorted(rows, key=lambda x: x[1:])]
     n, system = [size(*x) for x in turns], next((x for x in turns if x[0] == "system"), None)
-    s, at, out = size(*system) if system else 0, 0, []
+    at, out, said_at = 0, [], turns.index(system) if system else None
     while at < len(turns):
-        lo = at
+        lo, said = at, system is not None and said_at <= at
+        s = size(*system) if said else 0
         while lo and sum(n[lo - 1 : at]) <= min(history, budget - s - n[at]):
             lo -= 1
-        lead = [system] if system and system not in turns[lo : at + 1] else []
+        lead = [system] if said and system not in turns[lo : at + 1] else []
         end = at + 1
         while end < len(turns) and sum(n[lo : end + 1]) + (s if lead else 0) <= budget:
             end += 1
@@ -201,6 +202,31 @@ def brute_windows(rows, budget, history):
     return out
 
 
+def test_a_system_turn_heads_no_earlier_turn_and_passes_the_budget_by_itself_at_most(spark):
+    from terraloom.llm.vocab import BYTE_BPE, tokenizer
+
+    count = lambda text: len(tokenizer(BYTE_BPE).encode(text, add_special_tokens=False).ids)
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " * 9) for i in range(60)] + [(1, 60, "system", "rule " * 90), (1, 61, "user", "word " * 150), *((1, i, ("assistant", "user")[i % 2], f"turn {i} " * 9) for i in range(62, 120))]
+    made = chat.windows(spark.createDataFrame(rows, TURNS), budget=300, history=40).orderBy("block", "window").collect()
+    assert [(chat.parse(w["text"]), w["repeated"]) for w in made] == brute_windows(rows, 300, 40)
+    seen = 0
+    for w in made:
+        turns = chat.parse(w["text"])
+        assert (turns[0][0] == "system") <= (seen >= 60)
+        seen += len(turns) - w["repeated"]
+        assert count(w["text"]) <= 300 + count(chat.format_turn("system", "rule " * 90)[0])
+
+
+def test_chat_of_an_empty_table(spark):
+    assert chat.digests(chat.windows(spark.createDataFrame([], TURNS))).count() == 0
+
+
+def test_every_formatted_turn_has_the_least_tokens_that_blocks_reckon_with():
+    from terraloom.llm.vocab import BYTE_BPE, tokenizer
+
+    assert len(tokenizer(BYTE_BPE).encode(chat.format_turn("", "")[0], add_special_tokens=False).ids) >= chat.LEAST_TOKENS
+
+
 @pytest.mark.parametrize(("budget", "history"), [(2048, 256), (300, 80), (64, 32)])
 def test_chat_windows_are_those_of_one_pass(spark, budget, history):
     from terraloom.llm.vocab import BYTE_BPE, tokenizer
