@@ -53,6 +53,18 @@ def k09(spark, d):
     return spark.read.parquet(target).select("px", "epoch_seq")
 
 
+@query("k01b_k02_resumed_store", f"WITH {PX} SELECT CAST(px AS INTEGER) AS px, t AS epoch_seq, CASE WHEN value <= 9999 THEN value ELSE {DATA_FILL} END AS value FROM px")
+def k01b(spark, d):
+    """A store that grows by years: some are there, writing others was broken off with wrong values, one has to be redone."""
+    path, whole = stores.scratch(spark), _pixels(spark, d)
+    years, wrong = ("fit_product", "tile", "band", "year"), whole.withColumn("value", F.lit(1))
+    stores.add_pieces(whole.where("year <= 1996").unionByName(wrong.where("year = 1997")), path, years)
+    stores.add_pieces(wrong.where("year BETWEEN 1998 AND 1999"), path, years, announce=False)
+    stores.add_pieces(whole, path, years)
+    stores.add_pieces(whole.where("year = 1997"), path, years, redo=True)
+    return stores.read_pieces(spark, path, years).select("px", "epoch_seq", F.col("value").cast("int").alias("value"))
+
+
 @query("s07_k06_separated_lists", "SELECT r_regionkey AS key, r_name AS name FROM region")
 def s07(spark, d):
     path = stores.scratch(spark)

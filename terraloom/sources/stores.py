@@ -36,16 +36,118 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_pixels(df: DataFrame, path: str, layout: Sequence[str] = LAYOUT, domain: str | None = "valid", mode: str = "overwrite", grid: dict | None = None) -> None:
-    """Write pixels in folders by ``layout``, rows of a folder sorted by block of the raster so that windowed reads skip
-    row groups. ``domain``: 'valid' turns values outside 0..9999 into fill, 'floored' negative ones into 0. Folders are
-    dealt out by key and block of rows, so a folder as large as a tile spreads over tasks. ``grid``: projection, corner, size
-    of the raster, kept with the fill value in the schema of the column ``value``."""
+def _spread(n: Column) -> Column:
+    """The lower 16 bits of a number with a zero between each two."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return n
+
+
+def morton(row: Column, col: Column) -> Column:
+    """Place of a cell on the Z-shaped curve, along which cells that are close by are close in both directions. Rasters of up to 65,536
+    rows and columns."""
+    return F.shiftleft(_spread(row.cast("long")), 1).bitwiseOR(_spread(col.cast("long")))
+
+
+def box_intervals(box: tuple[int, int, int, int], most: int = 64) -> list[tuple[int, int]]:
+    """Intervals of the curve, ``most`` at most, that hold all cells of a box (row0, row1, col0, col1; both ends included): squares in the
+    box are whole intervals, squares on its edge are quartered, the largest first, as long as there may be more intervals."""
+    row0, row1, col0, col1 = box
+
+    def place(r: int, c: int) -> int:
+        return sum(((r >> i & 1) << (2 * i + 1)) | ((c >> i & 1) << (2 * i)) for i in range(16))
+
+    def inside(r: int, c: int, side: int) -> int:
+        """2: wholly, 1: partly, 0: not."""
+        if r > row1 or r + side <= row0 or c > col1 or c + side <= col0:
+            return 0
+        return 2 if row0 <= r and r + side - 1 <= row1 and col0 <= c and c + side - 1 <= col1 else 1
+
+    whole, partly = [], [(0, 0, 1 << 16)] if inside(0, 0, 1 << 16) else []
+    while partly and len(whole) + len(partly) < most:
+        r, c, side = partly.pop(0)
+        half = side // 2
+        if inside(r, c, side) == 2 or not half:
+            whole.append((r, c, side))
+            continue
+        partly += [q for q in ((r, c, half), (r, c + half, half), (r + half, c, half), (r + half, c + half, half)) if inside(*q)]
+    spans = sorted((place(r, c), place(r, c) + side * side - 1) for r, c, side in [*whole, *partly])
+    out: list[tuple[int, int]] = []
+    for lo, hi in spans:
+        if out and lo == out[-1][1] + 1:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+#: Places on the curve that one task writes at most: a square of 256 x 256 cells.
+SQUARE = 1 << 16
+
+
+def _laid_out(df: DataFrame, layout: Sequence[str], domain: str | None, grid: dict | None) -> DataFrame:
+    """``df`` in its domain, with ``z``, dealt out by folder and square, sorted along the curve."""
     if domain:
         df = df.withColumn("value", (valid_or_fill if domain == "valid" else floored)(F.col("value")).cast("short"))
-    df = df.withColumn("value", F.col("value").alias("value", metadata={"no_data": DATA_FILL, **(grid or {})}))
-    spread = F.floor(F.col("row") / 256)
-    df.repartition(*layout, spread).sortWithinPartitions(*layout, "row", "col", "epoch_date").write.mode(mode).partitionBy(*layout).parquet(path)
+    df = df.withColumn("value", F.col("value").alias("value", metadata={"no_data": DATA_FILL, **(grid or {})})).withColumn("z", morton(F.col("row"), F.col("col")))
+    return df.repartition(*layout, F.floor(F.col("z") / SQUARE)).sortWithinPartitions(*layout, "z", "epoch_date")
+
+
+def write_pixels(df: DataFrame, path: str, layout: Sequence[str] = LAYOUT, domain: str | None = "valid", mode: str = "overwrite", grid: dict | None = None, row_group: int | None = None) -> None:
+    """Write pixels in folders by ``layout``, rows of a folder sorted along a Z-shaped curve over the raster so that windowed reads skip
+    row groups in both directions. ``domain``: 'valid' turns values outside 0..9999 into fill, 'floored' negative ones into 0.
+    Folders are dealt out by key and square of the raster, so a folder as large as a tile spreads over tasks. ``grid``:
+    projection, corner, size of the raster, kept with the fill value in the schema of the column ``value``. ``row_group``: bytes."""
+    writer = _laid_out(df, layout, domain, grid).write.mode(mode).partitionBy(*layout)
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
+
+
+#: Columns that name a piece of a store that grows; what is written, redone or resumed is a whole piece.
+PIECES = ("fit_product", "tile", "band", "year", "epoch_seq")
+
+
+def add_pieces(df: DataFrame, path: str, pieces: Sequence[str] = PIECES, domain: str | None = "valid", redo: bool = False, announce: bool = True) -> None:
+    """Write the pieces of ``df`` (epochs of a product, tile and band) that the store at ``path`` doesn't have yet, or with ``redo`` all.
+
+    Pieces replace folders of their own; those of other pieces stay. When they are there, a manifest is told of each with the name of
+    this run, which its rows have too. A piece that is in the folders but not in the manifest, or with another run's name, was
+    interrupted: readers pass over it, and the next call writes it again. So calls may be repeated or broken off at any point.
+    ``announce`` False breaks off there."""
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    rows = df.drop("run")
+    if not redo:
+        known = manifest(spark, path, pieces)
+        rows = rows if known is None else rows.join(known.join(_held(spark, path, pieces), [*pieces, "run"]).select(*pieces), list(pieces), "left_anti").select(rows.columns)
+    out = _laid_out(rows.withColumn("run", F.lit(run)), pieces, domain, None).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*pieces)
+    out.parquet(f"{path}/pixels")
+    if announce:
+        told = _held(spark, path, pieces).where(F.col("run") == run)
+        told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*pieces).parquet(f"{path}/manifest")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")))
+
+
+def _held(spark: SparkSession, path: str, pieces: Sequence[str]) -> DataFrame:
+    """The pieces in the folders: run and number of rows."""
+    return spark.read.parquet(f"{path}/pixels").groupBy(*pieces, "run").agg(F.count("*").alias("n"))
+
+
+def manifest(spark: SparkSession, path: str, pieces: Sequence[str] = PIECES) -> DataFrame | None:
+    """(pieces, run, n) of the pieces that are complete; None before the first."""
+    if not _there(spark, f"{path}/manifest"):
+        return None
+    return spark.read.parquet(f"{path}/manifest").select(*pieces, "run", "n")
+
+
+def read_pieces(spark: SparkSession, path: str, pieces: Sequence[str] = PIECES) -> DataFrame:
+    """The rows of complete pieces."""
+    known = manifest(spark, path, pieces)
+    if known is None:
+        raise ValueError(f"{path} holds no complete piece")
+    return spark.read.parquet(f"{path}/pixels").join(known.select(*pieces, "run"), [*pieces, "run"]).drop("run", "z")
 
 
 def grid_of(df: DataFrame) -> dict:
@@ -55,7 +157,7 @@ def grid_of(df: DataFrame) -> dict:
 
 def read_pixels(spark: SparkSession, path: str, since: int | None = None, until: int | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Pixels of a store, cut to epochs since..until and to rows and columns (row0, row1, col0, col1), both ends included; all
-    cuts reach the Parquet scan."""
+    cuts reach the Parquet scan. A box is also told as intervals of the curve that rows are sorted along."""
     df = spark.read.parquet(path)
     if since is not None:
         df = df.where(F.col("epoch_seq") >= since)
@@ -63,6 +165,11 @@ def read_pixels(spark: SparkSession, path: str, since: int | None = None, until:
         df = df.where(F.col("epoch_seq") <= until)
     if box:
         df = df.where(F.col("row").between(box[0], box[1]) & F.col("col").between(box[2], box[3]))
+        if "z" in df.columns:
+            spans = F.lit(False)
+            for lo, hi in box_intervals(box):
+                spans = spans | F.col("z").between(lo, hi)
+            df = df.where(spans)
     return df
 
 
