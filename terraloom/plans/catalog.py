@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.operators.robust import grubbs_critical
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -178,3 +180,23 @@ def sql_low_pass(source: str, out: str, length: int, keys: str = "px, blk", valu
     {out}_k AS (SELECT * FROM (SELECT *, {limit} AS lim FROM {out}_p) WHERE pw > lim),
     {out} AS (SELECT {keys}, k, sum(re * cos(2 * pi() * b * k / {length}) - im * sin(2 * pi() * b * k / {length})) / {length} AS z
         FROM {out}_k, (SELECT unnest(generate_series(0, {length - 1})) AS k) GROUP BY {keys}, k)"""
+
+
+#: Days in a series of events.
+_DAYS = 30
+
+
+def sql_grubbs(source: str, out: str, alpha: float, ddof: int, most: int = _DAYS) -> str:
+    """out(px, total, low, high): Grubbs' test of the values v of ``source`` by px, an extreme a step; groups of ``most`` values at most."""
+    critical = ", ".join(f"({n}, {grubbs_critical(n, alpha)!r}::DOUBLE)" for n in range(3, most + 1))
+    step = f"""SELECT s.px, s.total, s.critical, s.step + 1 AS step,
+            min(e.v) FILTER (NOT (s.mean - e.v >= s.far)) AS low, max(e.v) FILTER (NOT (e.v - s.mean >= s.far)) AS high
+        FROM {out}_s s JOIN {source} e ON e.px = s.px AND e.v BETWEEN s.low AND s.high GROUP BY ALL"""
+    measured = lambda rows: f"""SELECT g.px, g.total, g.critical, g.step, g.low, g.high, avg(e.v) AS mean, CASE WHEN count(*) > {ddof} THEN sqrt(var_pop(e.v) * count(*) / (count(*) - {ddof})) END AS sd, greatest(avg(e.v) - min(e.v), max(e.v) - avg(e.v)) AS far
+        FROM ({rows}) g JOIN {source} e ON e.px = g.px AND e.v BETWEEN g.low AND g.high GROUP BY ALL"""
+    return f"""{out}_c(n, critical) AS (VALUES {critical}),
+    {out}_s AS (
+        {measured(f"SELECT px, count(v) AS total, critical, 0 AS step, min(v) AS low, max(v) AS high FROM {source} LEFT JOIN {out}_c ON n = (SELECT count(v) FROM {source} x WHERE x.px = {source}.px) GROUP BY px, critical")}
+        UNION ALL
+        {measured(step.replace(f"FROM {out}_s s", f"FROM (SELECT * FROM {out}_s WHERE sd > 0 AND far / sd > critical) s"))}
+    ), {out} AS (SELECT px, total, low, high, mean, sd FROM {out}_s QUALIFY row_number() OVER (PARTITION BY px ORDER BY step DESC) = 1)"""

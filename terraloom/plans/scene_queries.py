@@ -1,13 +1,15 @@
-"""Queries of scenes in UTM that are brought to the reference grid."""
+"""Queries of scenes in UTM that are brought to the reference grid (G01, G02) and calibrated there."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from terraloom.operators import projections as pr
-from terraloom.plans.catalog import GRID, query, sql_steps, steps
+from terraloom.plans import calibration
+from terraloom.plans.catalog import GRID, PX, query, sql_grubbs, sql_steps, steps
+from terraloom.plans.mask_queries import band_map
 from terraloom.schema import PIXEL_SIZE, SPHERE_RADIUS
-from terraloom.sources import tables
+from terraloom.sources import stores, tables
 
 #: Cells of a target grid: a fifteenth of a pixel, to five decimals.
 FINE = round(PIXEL_SIZE / 15, 5)
@@ -96,3 +98,91 @@ def g01c(spark, d):
     """Both bands and the mask of every scene at the centres of its target grid's cells."""
     scenes = scenes_of(spark, d)
     return pr.on_grids(scenes, pr.target_grids(scenes, FINE), scene_cells(spark, d), ("b1", "b2", "mask"), FINE).withColumn("mask", F.col("mask").cast("int"))
+
+
+#: Corner of the global sinusoidal grid.
+REF_X0, REF_Y0 = -20_015_109.354, 10_007_554.677
+#: Cells of the reference, and target cells along one of them: few, as the scenes are small.
+REF_RES, SIZE = PIXEL_SIZE / 5, 3
+BANDS = {1: "b1", 2: "b2"}
+
+
+def _calibrated_scenes(spark, d):
+    """The scenes with sensor and day, the first one older than the series, and the suppliers' series under them as the reference."""
+    k = F.col("k")
+    names = tables.read(spark, d, "region").select(F.col("r_name").alias("scene"), F.col("r_regionkey").alias("k"))
+    day = F.when(k == 0, F.lit("1991-12-01").cast("date")).otherwise(F.date_add(F.lit("1992-06-05").cast("date"), (k * 300).cast("int")))
+    scenes = scenes_of(spark, d).join(names, "scene").withColumn("sensor", F.when(k % 3 == 0, "LE7").when(k % 3 == 1, "LT5").otherwise("LC8")).withColumn("acq_date", day).drop("k")
+    grids = pr.target_grids(scenes, FINE)
+    first, last = ((F.col(c) - F.lit(o)) * s / REF_RES for c, o, s in (("t_y0", REF_Y0, -1), ("t_x0", REF_X0, 1))), ("t_rows", "t_cols")
+    spans = [F.explode(F.sequence(F.floor(f).cast("int"), (F.floor(f) + F.ceil(F.col(n) / SIZE) + 1).cast("int"))) for f, n in zip(first, last, strict=True)]
+    cells = grids.select("*", spans[0].alias("row")).select("row", spans[1].alias("col")).distinct()
+    series = tables.supplier_series(spark, d).where("value <> 32767")
+    n = series.agg(F.count_distinct("px").alias("n"))  # one row
+    under = cells.crossJoin(F.broadcast(n)).select("row", "col", F.explode(F.array(F.lit(3), F.lit(4))).alias("band"), (F.pmod(F.col("row") * 31 + F.col("col") * 7, F.col("n")) + 1).alias("px"))
+    values = under.join(series, "px").select(F.date_add(F.lit("1992-01-01").cast("date"), F.col("t") * 8).alias("epoch_date"), "band", "row", "col", (F.col("value") + F.col("band") * 10).cast("double").alias("value"))
+    return scenes, scene_cells(spark, d), calibration.Reference(values, REF_X0, REF_Y0, REF_RES)
+
+
+def _offset(gap: str) -> str:
+    return f"CAST(round_even(({REF_RES!r} - ({gap} - floor({gap} / {REF_RES!r}) * {REF_RES!r})) / {REF_RES / SIZE!r}, 0) AS INTEGER) % {SIZE}"
+
+
+_PAIRS = f"""{NEAREST_SQL}, {PX},
+    day AS (SELECT r_name AS scene, r_regionkey AS k, CASE r_regionkey % 3 WHEN 0 THEN 'LE7' WHEN 1 THEN 'LT5' ELSE 'LC8' END AS sensor,
+        CASE WHEN r_regionkey = 0 THEN DATE '1991-12-01' ELSE DATE '1992-06-05' + CAST(r_regionkey * 300 AS INTEGER) END AS acq_date FROM region),
+    rc AS (SELECT DISTINCT row, unnest(generate_series(c0, c0 + CAST(ceil(t_cols / {SIZE}) AS BIGINT) + 1)) AS col FROM (
+        SELECT *, unnest(generate_series(r0, r0 + CAST(ceil(t_rows / {SIZE}) AS BIGINT) + 1)) AS row FROM (
+            SELECT t_rows, t_cols, CAST(floor(({REF_Y0!r} - t_y0) / {REF_RES!r}) AS BIGINT) AS r0, CAST(floor((t_x0 - {REF_X0!r}) / {REF_RES!r}) AS BIGINT) AS c0 FROM g))),
+    ref AS (SELECT DATE '1992-01-01' + 8 * t AS epoch_date, band, row, col, CAST(value + band * 10 AS DOUBLE) AS value
+        FROM (SELECT row, col, (row * 31 + col * 7) % (SELECT count(DISTINCT px) FROM px WHERE value <> 32767) + 1 AS px, unnest([3, 4]) AS band FROM rc) JOIN px USING (px) WHERE value <> 32767),
+    nearest AS (SELECT scene, k, sensor, epoch_date FROM day, (SELECT DISTINCT epoch_date FROM ref) WHERE acq_date >= (SELECT min(epoch_date) FROM ref)
+        QUALIFY row_number() OVER (PARTITION BY scene ORDER BY abs(date_diff('day', epoch_date, acq_date)), epoch_date DESC) = 1),
+    off AS (SELECT *, {_offset(f'({REF_Y0!r} - t_y0)')} AS down, {_offset(f'(t_x0 - {REF_X0!r})')} AS righ FROM g),
+    ofs AS (SELECT *, CAST(round_even(({REF_Y0!r} - t_y0 + down * {FINE}) / {REF_RES!r}, 0) AS INTEGER) AS r0, CAST(round_even((t_x0 + righ * {FINE} - {REF_X0!r}) / {REF_RES!r}, 0) AS INTEGER) AS c0 FROM off),
+    bl AS (SELECT scene, r0 + (row - down) // {SIZE} AS row, c0 + (col - righ) // {SIZE} AS col, least({SIZE}, any_value(t_rows - down) - (row - down) // {SIZE} * {SIZE}) * least({SIZE}, any_value(t_cols - righ) - (col - righ) // {SIZE} * {SIZE}) AS n,
+        avg(CASE WHEN mask = 1 AND b1 <> 0 THEN b1 END) AS x1, avg(CASE WHEN mask = 1 AND b2 <> 0 THEN b2 END) AS x2, count(*) FILTER (mask = 2) AS cloud, count(*) FILTER (mask <> 0) AS seen
+        FROM near JOIN ofs USING (scene) WHERE row >= down AND col >= righ GROUP BY scene, r0, c0, (row - down) // {SIZE}, (col - righ) // {SIZE}),
+    bb AS (SELECT scene, row, col, unnest([1, 2]) AS scene_band, unnest([x1, x2]) AS x FROM bl WHERE CASE WHEN cloud / n >= 1e-5 THEN 0 ELSE abs(cloud / n - seen / n) END >= 1),
+    m(sensor, scene_band, band) AS (VALUES ('LE7', 1, 3), ('LE7', 2, 4), ('LT5', 1, 3), ('LT5', 2, 4), ('LC8', 2, 3)),
+    need AS (SELECT * FROM ref SEMI JOIN nearest USING (epoch_date)),
+    foc AS (SELECT a.epoch_date, a.band, a.row, a.col, avg(b.value) AS y FROM need a JOIN need b ON a.epoch_date = b.epoch_date AND a.band = b.band AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL),
+    prs AS (SELECT scene, scene_band, band AS ref_band, row, col, x, y FROM bb JOIN nearest USING (scene) JOIN m USING (sensor, scene_band) JOIN foc USING (epoch_date, band, row, col) WHERE x > 0 AND y > 0)"""
+_FITTED = f"""{_PAIRS}, gx AS (SELECT scene || '/' || scene_band AS px, x AS v FROM prs), {sql_grubbs('gx', 'gb', 0.05, 0, 400)},
+    lf AS (SELECT prs.* FROM prs JOIN gb ON gb.px = scene || '/' || scene_band AND x BETWEEN low AND high),
+    sm AS (SELECT scene, scene_band, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS sxx, var_pop(y) AS syy, covar_pop(y, x) AS sxy FROM lf GROUP BY ALL),
+    lb AS (SELECT scene, scene_band, n, my, 'ols' AS method, sxy / nullif(sxx, 0) AS b1, mx, sxy * sxy / nullif(sxx * syy, 0) AS r2 FROM sm
+        UNION ALL SELECT scene, scene_band, n, my, 'odr', (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / nullif(2 * sxy, 0), mx, sxy * sxy / nullif(sxx * syy, 0) FROM sm),
+    fit AS (SELECT scene, scene_band, method, n, my - b1 * mx AS b0, b1, r2 FROM lb WHERE b1 IS NOT NULL),
+    rep AS (SELECT scene, scene_band, method, fit.n, b0, b1, r2, sqrt(sum((f - y) * (f - y)) / CASE WHEN count(*) > 2 THEN count(*) - 2 END) AS res_std, avg(abs(f - y)) AS mae
+        FROM (SELECT *, round_even(b0 + b1 * x, 0) AS f FROM lf JOIN fit USING (scene, scene_band)) fit GROUP BY ALL)"""
+_TOLD = ("b0", "b1", "r2", "res_std", "mae")
+
+
+@query("f10c_block_pairs", f"WITH {_PAIRS} SELECT scene, CAST(scene_band AS INTEGER) AS scene_band, CAST(ref_band AS INTEGER) AS ref_band, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, {sql_steps('x')} AS x, {sql_steps('y')} AS y FROM prs")
+def f10c_pairs(spark, d):
+    """Blocks of the scenes beside the reference: guard, grids, nearest values, masks, block means and cover, nearest epoch, focal means."""
+    scenes, cells, reference = _calibrated_scenes(spark, d)
+    return calibration.pairs(scenes, cells, BANDS, band_map(spark), reference, SIZE).select("scene", "scene_band", "ref_band", "row", "col", steps(F.col("x")).alias("x"), steps(F.col("y")).alias("y"))
+
+
+@query("f10c_k06_scene_report", f"WITH RECURSIVE {_FITTED} SELECT scene, CAST(scene_band AS INTEGER) AS scene_band, method, n, {', '.join(f'{sql_steps(c, 1000)} AS {c}' for c in _TOLD)} FROM rep")
+def f10c_report(spark, d):
+    """Both regressions of every scene and band with their residuals, written as separated lists and read again."""
+    scenes, cells, reference = _calibrated_scenes(spark, d)
+    fitted = calibration.lines(calibration.pairs(scenes, cells, BANDS, band_map(spark), reference, SIZE))
+    path = stores.scratch(spark)
+    calibration.write_report(fitted.select("scene", "scene_band", "method", "n", *(steps(F.col(c), 1000).alias(c) for c in _TOLD)), path)
+    told = spark.read.schema("scene_band int, method string, n long, b0 long, b1 long, r2 long, res_std long, mae long, scene string").option("sep", ";").csv(path, header=True)
+    return told.select("scene", "scene_band", "method", "n", *_TOLD)
+
+
+@query(
+    "f10c_calibrated_scenes",
+    f"""WITH RECURSIVE {_FITTED}, oc AS (SELECT k, scene, grid.row, grid.col, unnest([1, 2]) AS scene_band, unnest([value + k, CAST(grid.row * 100 + grid.col + 1 AS DOUBLE)]) AS v FROM grid, (SELECT r_name AS scene, r_regionkey AS k FROM region))
+        SELECT scene, CAST(scene_band AS INTEGER) AS scene_band, row, col, CAST(coalesce(least(greatest(round_even(b0 + b1 * v, 0), 0), 10000), 0) AS INTEGER) AS calibrated FROM oc JOIN fit USING (scene, scene_band) WHERE method = 'odr'""",
+)
+def f10c_scenes(spark, d):
+    """The original cells of all scenes and bands on the reference's scale."""
+    scenes, cells, reference = _calibrated_scenes(spark, d)
+    return calibration.calibrated(cells, BANDS, calibration.lines(calibration.pairs(scenes, cells, BANDS, band_map(spark), reference, SIZE)))
