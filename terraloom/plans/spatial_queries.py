@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import masks, series, spatial
+from terraloom.operators import masks, rasterise, series, spatial
 from terraloom.plans import pipelines
 from terraloom.plans.catalog import GRID, GRIDS, LINES, PLACED, POINTS, query, sql_fill, sql_series, sql_steps, steps
 from terraloom.plans.scene_queries import sql_to_utm
 from terraloom.schema import SPHERE_RADIUS, WEIGHTS
-from terraloom.sources import tables
+from terraloom.sources import shapes, stores, tables
 
 RES, TOP = 10.0, 400.0
 
@@ -114,6 +114,44 @@ def j12(spark, d):
     return spatial.line_cells(tables.lines(spark, d), RES, 0.0, TOP).select("fid", "step", "row", "col")
 
 
+@query(
+    "j12b_rasterised_lines",
+    f"""WITH {LINES}, i AS (SELECT fid, CAST(x1 AS BIGINT) AS u, CAST({TOP} - y1 AS BIGINT) AS v, CAST(x2 - x1 AS BIGINT) AS du, CAST(y1 - y2 AS BIGINT) AS dv FROM lin),
+        c AS (SELECT *, unnest(generate_series(least(u, u + du) // 10 - 1, greatest(u, u + du) // 10 + 1)) AS col FROM (SELECT *, unnest(generate_series(least(v, v + dv) // 10 - 1, greatest(v, v + dv) // 10 + 1)) AS row FROM i)),
+        s AS (SELECT *, greatest(abs(du), 1) AS lu, greatest(abs(dv), 1) AS lv FROM c WHERE (du <> 0 OR u BETWEEN 10 * col AND 10 * col + 9) AND (dv <> 0 OR v BETWEEN 10 * row AND 10 * row + 9)),
+        t AS (SELECT fid, row, col, list_sort([struct_pack(t := CAST(0 AS BIGINT), o := 0)] || CASE WHEN du > 0 THEN [struct_pack(t := (10 * col - u) * lv, o := 0)] WHEN du < 0 THEN [struct_pack(t := (u - 10 * col - 10) * lv, o := 1)] ELSE [] END
+                || CASE WHEN dv > 0 THEN [struct_pack(t := (10 * row - v) * lu, o := 0)] WHEN dv < 0 THEN [struct_pack(t := (v - 10 * row - 10) * lu, o := 1)] ELSE [] END)[-1] AS lo,
+            list_sort([struct_pack(t := lu * lv, o := 1)] || CASE WHEN du > 0 THEN [struct_pack(t := (10 * col + 10 - u) * lv, o := 0)] WHEN du < 0 THEN [struct_pack(t := (u - 10 * col) * lv, o := 1)] ELSE [] END
+                || CASE WHEN dv > 0 THEN [struct_pack(t := (10 * row + 10 - v) * lu, o := 0)] WHEN dv < 0 THEN [struct_pack(t := (v - 10 * row) * lu, o := 1)] ELSE [] END)[1] AS hi FROM s)
+        SELECT fid, CAST(row_number() OVER (PARTITION BY fid ORDER BY lo.t, hi.t) - 1 AS INTEGER) AS step, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col FROM t WHERE lo.t < hi.t OR lo.t = hi.t AND lo.o = 0 AND hi.o = 1""",
+)
+def j12b(spark, d):
+    """Every cell that a line has a point in, those that it only cuts at a corner too."""
+    return rasterise.line_cells(tables.lines(spark, d), RES, 0.0, TOP)
+
+
+#: A box over the points of interest.
+_BOX = (-500.0, 1000.0, 4500.0, 7000.0)
+
+
+@query("s06_shape_points", f"WITH {POINTS} SELECT fid, x, y FROM poi WHERE x BETWEEN {_BOX[0]} AND {_BOX[2]} AND y BETWEEN {_BOX[1]} AND {_BOX[3]}")
+def s06(spark, d):
+    """The points of interest as shape files, those in a box read back in parts of 500 records."""
+    path = stores.scratch(spark)
+    shapes.write(tables.points(spark, d).select(F.col("fid").alias("id"), F.array(F.struct("x", "y")).alias("points")), path)
+    return shapes.read(spark, path, _BOX, records=500).select(F.col("id").alias("fid"), F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
+
+
+@query("s06b_shape_lines", f"WITH {LINES} SELECT fid, x1, y1, x2, y2 FROM lin")
+def s06b(spark, d):
+    """The transects as shape files, read back by their end points."""
+    path = stores.scratch(spark)
+    end = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    shapes.write(tables.lines(spark, d).select(F.col("fid").alias("id"), F.array(end(1), end(2)).alias("points")), path)
+    a, b = F.col("points")[0], F.element_at("points", -1)
+    return shapes.read(spark, path, records=7).select(F.col("id").alias("fid"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+
+
 @query(
     "f14_s14_transect_profile",
     f"""WITH {LINES}, {GRID} SELECT fid, CAST(row_number() OVER (PARTITION BY fid ORDER BY step) AS INTEGER) AS place, CASE WHEN value > 0 AND mask = 1 THEN value ELSE 0 END AS value
