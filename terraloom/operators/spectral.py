@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from terraloom.sources.stores import kept
+
 #: Spectral powers within this relative distance of the largest count as equal to it.
 SAME = 1e-12
 
@@ -144,3 +146,88 @@ def from_blocks(df: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
     """One row per block and position ``k`` (1..) with the elements of array ``columns``."""
     zipped = F.arrays_zip(*columns)
     return df.select(*keys, F.posexplode(zipped).alias("k", "c")).select(*keys, (F.col("k") + 1).alias("k"), *(F.col(f"c.{c}").alias(c) for c in columns))
+
+
+def with_neighbours(blocks: DataFrame, harmonics: int, pixel: str = "px", period: str = "block", side: int = 150, reach: int = 3) -> DataFrame:
+    """``blocks`` (pixel, period, vs, ws) with ``fitted``, the weighted harmonic fit, and ``solvable``. What can't be solved becomes, epoch
+    by epoch, the mean of the interpolated series of the pixels up to ``reach`` before and after it in its square of ``side`` x
+    ``side`` pixels, itself included; the last pixel of a square but one looks 2 pixels far, the last one 1. Neighbours without any
+    value don't count; where none has one the fit is NULL. Only the neighbours of unsolved pixels are looked up."""
+    filled = _kernel(blocks, "_filled", lambda vs, ws: fill_rows(vs))
+    told = kept(dft_solvable(dft_fit(filled, harmonics, rounded=False), harmonics).withColumn("solvable", F.col("solvable")[0] == 1))
+    n = side * side
+    i = F.pmod(F.col(pixel), F.lit(n))
+    far = F.when(i == n - 1, F.lit(min(1, reach))).when(i == n - 2, F.lit(min(2, reach))).otherwise(reach)
+    asked = told.where(~F.col("solvable")).select(pixel, period, F.explode(F.sequence(F.greatest(F.col(pixel) - far, F.col(pixel) - i), F.least(F.col(pixel) + far, F.col(pixel) - i + n - 1))).alias("_other"))
+    others = told.select(F.col(pixel).alias("_other"), period, "_filled")
+    means = asked.join(others, ["_other", period]).select(pixel, period, F.posexplode("_filled").alias("_k", "_v")).groupBy(pixel, period, "_k").agg(F.avg("_v").alias("_v"))
+    lists = means.groupBy(pixel, period).agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_near")).select(pixel, period, F.col("_near._v").alias("_near"))
+    joined = told.join(lists, [pixel, period], "left")
+    return joined.withColumn("fitted", F.when(F.col("solvable"), F.col("fitted")).otherwise(F.col("_near"))).drop("_near", "_filled")
+
+
+def spline_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of ``m`` with gaps between known values filled by the cubic spline through these that has no knot next to its ends; what is
+    before the first or after the last known value stays NaN. Three known values give a parabola, two a line, one itself.
+
+    All rows' tridiagonal systems are solved at once: known values are moved to the left, and each step of the elimination
+    takes one column of all rows."""
+    rows, length = m.shape
+    known = np.isfinite(m)
+    n = known.sum(axis=1)
+    order = np.argsort(~known, axis=1, kind="stable")
+    x, y = order.astype(float), np.take_along_axis(m, order, axis=1)
+    out = np.where(known, m, np.nan)
+    most = int(n.max(initial=0))
+    if most < 2:
+        return out
+    x, y = x[:, :most], np.where(np.arange(most) < n[:, None], y[:, :most], 0.0)
+    h = np.where(np.arange(most - 1) < (n - 1)[:, None], np.diff(x, axis=1), 1.0)
+    d = np.diff(y, axis=1) / h
+    second = np.zeros((rows, most))
+    if most > 2:
+        lower, middle, upper = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy()
+        right = 6 * np.diff(d, axis=1)
+        last = np.clip(n - 3, 0, most - 3)
+        at = np.arange(rows)
+        many = n > 3
+        first_h, next_h = h[:, 0], h[:, 1]
+        middle[many, 0] += (first_h * (1 + first_h / next_h))[many]
+        upper[many, 0] -= (first_h**2 / next_h)[many]
+        end_h, prior_h = h[at, np.clip(n - 2, 0, most - 2)], h[at, np.clip(n - 3, 0, most - 2)]
+        middle[at[many], last[many]] += (end_h * (1 + end_h / prior_h))[many]
+        lower[at[many], last[many]] -= (end_h**2 / prior_h)[many]
+        three = n == 3
+        middle[three, 0], right[three, 0] = 1.0, (2 * (d[:, 1] - d[:, 0]) / (first_h + next_h))[three]
+        used = np.arange(most - 2) <= last[:, None]
+        lower[:, 0] = 0
+        for j in range(1, most - 2):
+            f = np.where(used[:, j], lower[:, j] / middle[:, j - 1], 0)
+            middle[:, j] -= f * upper[:, j - 1]
+            right[:, j] -= f * right[:, j - 1]
+        inner = np.zeros((rows, most - 2))
+        for j in range(most - 3, -1, -1):
+            after = inner[:, j + 1] * upper[:, j] if j < most - 3 else 0
+            after = np.where(last == j, 0, after)
+            inner[:, j] = np.where(used[:, j] & (n > 2), (right[:, j] - after) / middle[:, j], 0)
+        second[:, 1:-1] = inner
+        second[three, 0] = second[three, 2] = second[three, 1]
+        second[many, 0] = ((1 + first_h / next_h) * second[:, 1] - first_h / next_h * second[:, 2])[many]
+        k = np.clip(n - 1, 0, most - 1)
+        ratio = end_h / prior_h
+        tail = (1 + ratio) * second[at, np.clip(k - 1, 0, None)] - ratio * second[at, np.clip(k - 2, 0, None)]
+        second[at[many], k[many]] = tail[many]
+    before = np.cumsum(known, axis=1) - 1  # number of the last known value
+    gap = ~known & (before >= 0) & (before < (n - 1)[:, None])
+    r, c = np.nonzero(gap)
+    j = before[r, c]
+    step, t = h[r, j], c - x[r, j]
+    a, b = second[r, j], second[r, j + 1]
+    slope = d[r, j] - step * (2 * a + b) / 6
+    out[r, c] = y[r, j] + t * (slope + t * (a / 2 + t * (b - a) / (6 * step)))
+    return out
+
+
+def spline(blocks: DataFrame, out: str = "curve") -> DataFrame:
+    """Adds ``out``, the cubic spline through each block's values at every position between its first and last one."""
+    return _kernel(blocks, out, lambda vs, _: spline_rows(vs))

@@ -192,6 +192,34 @@ def f09(spark, d):
     return pipelines.dft_year(tables.supplier_series(spark, d), harmonics=7, weights=WEIGHTS["fourier7"], missing=0.0001).select("px", "block", "k", masks.floored(F.col("fitted")).alias("fitted"))
 
 
+def _sparse_weights(spark, d):
+    """Years of the series whose weights are lost for every seventh pixel in odd years."""
+    lost = (F.col("px") % 7 == 0) & (F.col("block") % 2 == 1)
+    years = series.tumbling(pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["fourier7"], missing=0.0001), KEYS, 46)
+    return spectral.to_blocks(years.withColumn("w", F.when(lost, 0.0).otherwise(F.col("w"))), ["px", "block"], weight="w")
+
+
+@query(
+    "w12b_neighbour_fallback",
+    f"""WITH {sql_series(WEIGHTS["fourier7"], "0.0001")}, {_BLOCKS}, {sql_fill('full_bl', 'fl', keys='px, blk', time='k')},
+        un AS (SELECT DISTINCT px, blk, CASE px % 16 WHEN 15 THEN 1 WHEN 14 THEN 2 ELSE 3 END AS reach FROM fl f WHERE px % 7 = 0 AND blk % 2 = 1 OR NOT EXISTS (SELECT 1 FROM fl g WHERE g.px = f.px AND g.blk = f.blk AND filled IS NOT NULL))
+        SELECT un.px, CAST(un.blk AS INTEGER) AS block, CAST(k + 1 AS INTEGER) AS k, {sql_steps('avg(filled)')} AS fitted
+        FROM un JOIN fl ON fl.blk = un.blk AND fl.px BETWEEN un.px - reach AND un.px + reach AND fl.px // 16 = un.px // 16 GROUP BY ALL""",
+)
+def w12b(spark, d):
+    """Years that the harmonic solver gave up, as the means of their neighbours in squares of 4 x 4 pixels."""
+    told = spectral.with_neighbours(_sparse_weights(spark, d), 7, side=4).where(~F.col("solvable"))
+    return spectral.from_blocks(told, ["px", "block"], "fitted").select("px", "block", "k", steps(F.col("fitted")).alias("fitted"))
+
+
+@query("w14_cubic_curves")
+def w14(spark, d):
+    """Cubic curves through the known values of each year."""
+    years = series.tumbling(pipelines.masked(tables.supplier_series(spark, d), WEIGHTS["poly_lin"]), KEYS, 46)
+    curves = spectral.spline(spectral.to_blocks(years, ["px", "block"]))
+    return spectral.from_blocks(curves, ["px", "block"], "curve").select("px", "block", "k", steps(F.col("curve")).alias("curve"))
+
+
 @query("w15_w16_positional_years", f"WITH {PX}, y AS (SELECT px, t, value, 1995 + t // 46 AS year FROM px) SELECT px, CAST(year AS INTEGER) AS year, CAST(t - (year - 1995) * 46 AS INTEGER) AS k, value FROM y WHERE year BETWEEN 1996 AND 1998")
 def w15(spark, d):
     year = (F.floor(F.col("t") / 46) + 1995).cast("int")

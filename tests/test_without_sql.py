@@ -12,7 +12,7 @@ from terraloom.schema import WEIGHTS
 from terraloom.sources import tables
 
 NAMES = (
-    "w11_w12_f07_dft", "w13_f09_fourier7", "f10_calibrated_rows", "f10_k06_calibration_report",
+    "w11_w12_f07_dft", "w13_f09_fourier7", "w14_cubic_curves", "f10_calibrated_rows", "f10_k06_calibration_report",
     "f15_point_cloud_statistics", "f10_relative_calibration", "f10_relative_calibration_rows",
 )
 
@@ -136,6 +136,67 @@ def test_weighted_harmonics(spark, sf_dir, name, harmonics, weights, missing):
     assert n > 20
 
 
+def cubic(at, values, where):
+    """The spline with no knot next to its ends, by one dense system over the coefficients of all its pieces."""
+    n = len(at)
+    if n < 4:
+        return np.polyval(np.polyfit(at, values, n - 1), where) if n > 1 else np.full(len(where), values[0])
+    rows, right, pieces = [], [], n - 1
+    power = lambda x, d: np.array([math.perm(p, d) * x ** (p - d) if p >= d else 0.0 for p in range(4)])
+
+    def put(right_value, *terms):
+        row = np.zeros(4 * pieces)
+        for i, c in terms:
+            row[4 * i : 4 * i + 4] += c
+        rows.append(row)
+        right.append(right_value)
+
+    for i in range(pieces):
+        h = float(at[i + 1] - at[i])
+        put(values[i], (i, power(0.0, 0)))
+        put(values[i + 1], (i, power(h, 0)))
+        if i + 1 < pieces:
+            for d in (1, 2):
+                put(0.0, (i, power(h, d)), (i + 1, -power(0.0, d)))
+    for i in (0, pieces - 2):
+        put(0.0, (i, power(0.0, 3)), (i + 1, -power(0.0, 3)))
+    c = np.linalg.solve(np.array(rows), np.array(right)).reshape(pieces, 4)
+    piece = np.clip(np.searchsorted(at, where, side="right") - 1, 0, pieces - 1)
+    return np.array([np.polyval(c[i][::-1], x - at[i]) for i, x in zip(piece, where, strict=True)])
+
+
+def test_cubic_curves(spark, sf_dir):
+    series = groups(tables.supplier_series(spark, sf_dir), "px", "t", "value")
+    got = {(r["px"], r["block"], r["k"]): r["curve"] for r in rows(spark, sf_dir, "w14_cubic_curves")}
+    for px, cells in series.items():
+        cells = sorted(cells)
+        for block in range(len(cells) // 46):
+            year = [None if v == 32767 else float(v) for _, v in cells[46 * block : 46 * block + 46]]
+            at = [i for i, v in enumerate(year) if v is not None]
+            for k in range(46):
+                if not at or not at[0] <= k <= at[-1]:
+                    assert got[px, block, k + 1] is None
+            if at:
+                where = np.arange(at[0], at[-1] + 1)
+                want = cubic(np.array(at), [year[i] for i in at], where)
+                assert all(abs(got[px, block, k + 1] - (w * 100 + 0.37129)) <= 1.001 for k, w in zip(where, want, strict=True))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9])
+def test_splines_of_few_values(n):
+    from terraloom.operators.spectral import spline_rows
+
+    rng, m = np.random.default_rng(n), np.full((20, 30), np.nan)
+    for row in m:
+        row[rng.choice(30, n, replace=False)] = rng.normal(0, 10, n)
+    got = spline_rows(np.vstack([m, np.full((1, 30), np.nan)]))
+    assert np.isnan(got[-1]).all()
+    for row, told in zip(m, got, strict=False):
+        at = np.flatnonzero(np.isfinite(row))
+        where = np.arange(at[0], at[-1] + 1)
+        assert np.allclose(told[where], cubic(at, row[at], where), rtol=1e-7, atol=1e-7) and np.isfinite(told).sum() == len(where)
+
+
 def to_utm(lon, lat, zone):
     """Easting and northing by the series in powers of the longitude's distance from the meridian."""
     a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
