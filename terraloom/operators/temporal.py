@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from terraloom.schema import EPOCH_DAYS, FIRST_EPOCH, LAST_EPOCH
 
@@ -22,7 +23,10 @@ def around(left: DataFrame, right: DataFrame, left_time: str, right_time: str, b
 
     Only the distinct times of both sides are matched: they are dealt by key and time bucket and meet in one sorted pass (no
     pair of rows is tested); what lies beyond a time's bucket comes from a summary of one row per bucket. Rows of
-    ``left`` then find their time by equality."""
+    ``left`` then find their time by equality. Times are dates; others are refused, as buckets and ``before`` go by days."""
+    for side, time in ((left, left_time), (right, right_time)):
+        if not isinstance(side.schema[time].dataType, DateType):
+            raise TypeError(f"{time} has to be a date, not {side.schema[time].dataType.simpleString()}")
     rows = left.select(*by, F.col(left_time).alias("_day")).where(F.col(left_time).isNotNull()).distinct().withColumn("_side", F.lit(1))
     marks = right.select(*by, F.col(right_time).alias("_day")).where(F.col(right_time).isNotNull()).distinct()
     mixed = rows.unionByName(marks.select("*", F.lit(0).alias("_side")), allowMissingColumns=True).withColumn("_bucket", _bucket(F.col("_day")))

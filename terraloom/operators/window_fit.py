@@ -110,7 +110,8 @@ def statistics(v: Window, w: Window) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def over_series(df: DataFrame, keys: Sequence[str], run: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: Sequence[str], half: int = HALF, value: str = "v", weight: str = "w") -> DataFrame:
     """(keys, t, outputs) of every row with a full window around it: what ``run`` makes of matrices of values and weights
-    (series, epochs), a matrix (series, centres) per output. A series without gaps in ``t``; shorter ones than a window go."""
+    (series, epochs), a matrix (series, centres) per output. Series shorter than a window go, and so do rows whose window
+    lacks an epoch: there are as many rows in it, but not as many consecutive ``t``."""
     cell = F.struct("t", F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
     rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("c")).where(F.size("c") > 2 * half)
     rows = rows.select(*keys, F.col("c.t").alias("t"), F.col("c.v").alias("v"), F.col("c.w").alias("w"))
@@ -131,9 +132,11 @@ def over_series(df: DataFrame, keys: Sequence[str], run: Callable[[np.ndarray, n
                     centres = length - 2 * half
                     made = run(matrix(part.column(n + 1), length), matrix(part.column(n + 2), length))
                     owner = pa.array(np.repeat(np.arange(part.num_rows), centres))
-                    t = part.column(n).flatten().to_numpy().reshape(-1, length)[:, half : half + centres]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(i).take(owner) for i in range(n)), pa.array(t.ravel()), *(pa.array(np.ascontiguousarray(made[o], np.float64).ravel(), from_pandas=True) for o in outputs)], names=schema.names
+                    t = part.column(n).flatten().to_numpy().reshape(-1, length)
+                    whole = (t[:, 2 * half :] - t[:, :centres] == 2 * half).ravel()
+                    out = pa.RecordBatch.from_arrays(
+                        [*(part.column(i).take(owner) for i in range(n)), pa.array(t[:, half : half + centres].ravel()), *(pa.array(np.ascontiguousarray(made[o], np.float64).ravel(), from_pandas=True) for o in outputs)], names=schema.names
                     )
+                    yield out if whole.all() else out.filter(pa.array(whole))
 
     return rows.mapInArrow(mapped, schema)

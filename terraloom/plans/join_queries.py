@@ -11,7 +11,7 @@ from terraloom.functions import dates
 from terraloom.functions.names import parts
 from terraloom.operators import temporal
 from terraloom.plans.catalog import BANDS, EPOCHS, EV, GRIDS, NAMES, PLACED, POINTS, PX, SCENES, query, sql_steps, steps
-from terraloom.sources import tables
+from terraloom.sources import bucketed, tables
 
 
 @query("j01_data_with_quality", f"WITH {PX} SELECT px, t, a.value, b.qual FROM (SELECT px, t, value FROM px WHERE value <> 32767) a LEFT JOIN (SELECT px, t, qual FROM px WHERE qual < 4) b USING (px, t)")
@@ -20,6 +20,19 @@ def j01(spark, d):
     return s.where("value <> 32767").select("px", "t", "value").join(s.where("qual < 4").select("px", "t", "qual"), ["px", "t"], "left")
 
 
+#: Buckets of the tables that are joined in place.
+BUCKETS = 16
+
+
+@query("j01b_data_with_quality_in_place", f"WITH {PX} SELECT px, t, a.value, b.qual FROM (SELECT px, t, value FROM px WHERE value <> 32767) a LEFT JOIN (SELECT px, t, qual FROM px WHERE qual < 4) b USING (px, t)")
+def j01b(spark, d):
+    """Data and quality as tables of the same buckets by pixel, joined without an exchange."""
+    s = tables.supplier_series(spark, d)
+    data = bucketed.write(s.where("value <> 32767").select("px", "t", "value"), BUCKETS, order=("t",))
+    quality = bucketed.write(s.where("qual < 4").select("px", "t", "qual"), BUCKETS, order=("t",))
+    return bucketed.read(spark, data).join(bucketed.read(spark, quality).hint("merge"), ["px", "t"], "left")
+
+
 _STACK = ", ".join(f"sum(value) FILTER (band = {b}) AS b{b}" for b in range(1, 8))
 
 
@@ -30,6 +43,17 @@ def j02(spark, d):
     return named.na.drop(subset=[f"b{b}" for b in range(1, 8)])
 
 
+@query("j02b_stack_in_place", f"WITH {BANDS} SELECT px, CAST(epoch AS VARCHAR) AS epoch, {_STACK} FROM bnd GROUP BY px, epoch HAVING count(DISTINCT band) = 7")
+def j02b(spark, d):
+    """Seven bands as tables of the same buckets by pixel, joined one to the other without an exchange; complete stacks only."""
+    bands = tables.bands(spark, d).select("px", F.col("epoch").cast("string").alias("epoch"), "band", "value")
+    whole = None
+    for b in range(1, 8):
+        one = bucketed.read(spark, bucketed.write(bands.where(F.col("band") == b).select("px", "epoch", F.col("value").alias(f"b{b}")), BUCKETS, order=("epoch",)))
+        whole = one if whole is None else whole.join(one.hint("merge"), ["px", "epoch"])
+    return whole
+
+
 _NEAREST = """SELECT scene, CAST(acq_date AS VARCHAR) AS acq_date, CAST(epoch_date AS VARCHAR) AS nearest FROM (
     SELECT *, row_number() OVER (PARTITION BY scene ORDER BY abs(date_diff('day', acq_date, epoch_date)), epoch_date DESC) AS r FROM scn, epo) WHERE r = 1"""
 

@@ -26,7 +26,21 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+#: Scratch folders of this session that are still there.
+_MADE: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch folders of this session. Results that are not written yet can't be read afterwards."""
+    for path in list(_MADE):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.discard(path)
 
 
 def kept(df: DataFrame) -> DataFrame:
