@@ -225,11 +225,19 @@ def u05(spark, d):
 
 @query(
     "fn_calendar",
-    """WITH c AS (SELECT CAST(unnest(generate_series(DATE '2000-02-26', DATE '2020-04-14', INTERVAL 1 DAY)) AS DATE) AS d)
-        SELECT CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS epoch_seq, CAST(d AS VARCHAR) AS epoch_date, CAST(year(d) AS INTEGER) AS year, CAST(dayofyear(d) AS INTEGER) AS doy FROM c WHERE (dayofyear(d) - 1) % 8 = 0""",
+    f"""WITH {SCENES}, c AS (SELECT CAST(unnest(generate_series(min(acq_date), max(acq_date), INTERVAL 1 DAY)) AS DATE) AS d FROM scn),
+        e AS (SELECT CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS epoch_seq, d AS epoch_date FROM c WHERE (dayofyear(d) - 1) % 8 = 0),
+        n AS (SELECT acq_date - CAST((dayofyear(acq_date) - 1) % 8 AS INTEGER) AS epoch_date, count(*) AS n FROM scn GROUP BY 1)
+        SELECT epoch_seq, CAST(epoch_date AS VARCHAR) AS epoch_date, CAST(year(epoch_date) AS INTEGER) AS year, CAST(dayofyear(epoch_date) AS INTEGER) AS doy, coalesce(n, 0) AS n_scenes FROM e LEFT JOIN n USING (epoch_date)""",
 )
 def fn_calendar(spark, d):
-    return temporal.calendar(spark).withColumn("epoch_date", F.col("epoch_date").cast("string"))
+    """The calendar of epochs over the scenes' days, with the number of scenes in each epoch."""
+    scenes = tables.scene_dates(spark, d)
+    first, last = scenes.agg(F.min("acq_date"), F.max("acq_date")).first()
+    start = F.date_sub("acq_date", ((F.dayofyear("acq_date") - 1) % 8).cast("int"))
+    n = scenes.groupBy(start.alias("epoch_date")).agg(F.count("*").alias("n"))
+    told = temporal.calendar(spark, str(first), str(last)).join(n, "epoch_date", "left")
+    return told.select("epoch_seq", F.col("epoch_date").cast("string").alias("epoch_date"), "year", "doy", F.coalesce("n", F.lit(0).cast("long")).alias("n_scenes"))
 
 
 @query(

@@ -121,10 +121,11 @@ def a23(spark, d):
     return told.agg(F.count_if(F.col("solvable")[0] == 0).alias("singular"), F.count("*").alias("blocks"))
 
 
-@query("a24_sums_of_squares", "SELECT n, n * (n + 1) * (2 * n + 1) // 6 AS total FROM (SELECT unnest([10, 1000, 100000])::BIGINT AS n)")
+@query("a24_sums_of_squares", "SELECT p_partkey AS id, CAST(p_size AS BIGINT) * (p_size + 1) * (2 * p_size + 1) // 6 AS total FROM part")
 def a24(spark, d):
-    ns = spark.range(100_001).select(F.col("id"), F.explode(F.array(*(F.lit(n).cast("long") for n in (10, 1000, 100_000)))).alias("n")).where("id <= n")
-    return ns.groupBy("n").agg(F.sum(F.col("id") * F.col("id")).alias("total"))
+    """The sum of the squares up to each part's size."""
+    squares = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("p_size").cast("long")), F.lit(0).cast("long"), lambda total, i: total + i * i)
+    return tables.read(spark, d, "part").select(F.col("p_partkey").alias("id"), squares.alias("total"))
 
 
 _PAIR_W = f"""WITH {PAIR}, {_LINES} SELECT scene, id, x, CAST(coalesce(least(greatest(round_even(odr_b0 + odr_b1 * x, 0), 0), 10000), 0) AS INTEGER) AS calibrated FROM pair JOIN ln USING (scene)"""

@@ -130,19 +130,31 @@ def s02c(spark, d):
     return _streamed(spark, d, _STREAMED).select("px", "t", steps(F.col("fit"), 10).alias("fit"))
 
 
-@query("k03_grid_metadata", "SELECT 463.3127::DOUBLE AS res, 2400 AS n_rows, 2400 AS n_cols, 32767 AS no_data, 'sinusoidal' AS projection, count(*) > 0 AS has_rows FROM supplier")
+@query(
+    "k03_grid_metadata",
+    f"WITH {PX} SELECT 463.3127::DOUBLE AS res, CAST(max(px // 40) + 1 AS INTEGER) AS n_rows, CAST(max(px % 40) + 1 AS INTEGER) AS n_cols, 32767 AS no_data, 'sinusoidal' AS projection, count(*) AS n FROM px",
+)
 def k03(spark, d):
-    """The grid that a store's pixels belong to is kept in the store's schema and comes back with it."""
-    path = stores.scratch(spark)
-    stores.write_pixels(_pixels(spark, d), path, grid={"projection": "sinusoidal", "res": 463.3127, "n_rows": 2400, "n_cols": 2400})
+    """The grid that a store's pixels belong to, as large as these ask for, is kept in the store's schema and comes back with it."""
+    path, pixels = stores.scratch(spark), _pixels(spark, d)
+    size = pixels.agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols")).first()
+    stores.write_pixels(pixels, path, grid={"projection": "sinusoidal", "res": 463.3127, **size.asDict()})
     back = stores.read_pixels(spark, path)
     g = stores.grid_of(back)
-    return back.agg((F.count("*") > 0).alias("has_rows")).select(*(F.lit(g[c]).alias(c) for c in ("res", "n_rows", "n_cols", "no_data", "projection")), "has_rows")
+    return back.agg(F.count("*").alias("n")).select(*(F.lit(g[c]).alias(c) for c in ("res", "n_rows", "n_cols", "no_data", "projection")), "n")
+
+
+_CATALOGUE = ", ".join(f"('{n}', {', '.join(f'{x!r}::DOUBLE' for x in w)}, {15 if n in ('poly_lin', 'lin_poly', 'sg_fft_poly', 'poly') else 46})" for n, w in WEIGHTS.items())
 
 
 @query(
     "fn_fit_catalogue",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {', '.join(f'{x!r}::DOUBLE' for x in w)}, {15 if n in ('poly_lin', 'lin_poly', 'sg_fft_poly', 'poly') else 46})" for n, w in WEIGHTS.items()) + ") AS c(product, w0, w1, w2, w3, width)",
+    f"""WITH {PX}, c(product, w0, w1, w2, w3, width) AS (VALUES {_CATALOGUE}), s AS (SELECT px, count(*) AS n FROM px GROUP BY px)
+        SELECT px, product, w0, w1, w2, w3, width, CAST(CASE WHEN width = 15 THEN greatest(n - 14, 0) ELSE n // 46 * 46 END AS BIGINT) AS fitted FROM s, c""",
 )
 def fn_fit_catalogue(spark, d):
-    return pipelines.catalogue(spark).select("product", *(F.col("weights")[i].alias(f"w{i}") for i in range(4)), "width")
+    """What each product of the catalogue makes of each series: its weights, its width, and the number of epochs that it fits."""
+    known = pipelines.catalogue(spark).select("product", *(F.col("weights")[i].alias(f"w{i}") for i in range(4)), "width")  # six rows
+    series = tables.supplier_series(spark, d).groupBy("px").agg(F.count("*").alias("n"))
+    fitted = F.when(F.col("width") == 15, F.greatest(F.col("n") - 14, F.lit(0).cast("long"))).otherwise(F.floor(F.col("n") / 46) * 46)
+    return series.crossJoin(F.broadcast(known)).select("px", "product", "w0", "w1", "w2", "w3", "width", fitted.cast("long").alias("fitted"))
