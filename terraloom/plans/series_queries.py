@@ -182,12 +182,32 @@ def w11(spark, d):
     return sums.select("px", "block", *(steps(F.col(c)).alias(c) for c in sums.columns[2:]))
 
 
-@query("w11_w12_f07_dft")
+def sql_harmonics(harmonics: int, weights: tuple[float, ...], missing: str) -> str:
+    """The weighted harmonics of whole years: normal equations, and their elimination a column a step; too few weights: interpolated."""
+    m = 2 * harmonics + 1
+    basis = ", ".join(["1.0::DOUBLE", *(f"{f}(2 * pi() * {h} * (k + 1) / 46)" for h in range(1, harmonics + 1) for f in ("cos", "sin"))])
+    sums = ", ".join(f"sum(w * a[r] * {x})" for x in [*(f"a[{c}]" for c in range(1, m + 1)), "filled"])
+    steps_ = ", ".join(
+        f"""g{p} AS MATERIALIZED (SELECT x.px, x.blk, x.r, CASE WHEN x.r = {p} THEN list_transform(x.s, lambda v: v / x.s[{p}]) ELSE list_transform(list_zip(x.s, y.s), lambda z: z[1] - z[2] * (x.s[{p}] / y.s[{p}])) END AS s
+            FROM g{p - 1} x JOIN g{p - 1} y ON x.px = y.px AND x.blk = y.blk AND y.r = {p})"""
+        for p in range(1, m + 1)
+    )
+    weighted = _BLOCKS.replace("t % 46 AS k, v,", "t % 46 AS k, v, w,").replace("SELECT px, blk, k, v FROM bl", "SELECT px, blk, k, v, w FROM bl")
+    return f"""WITH {sql_series(weights, missing)}, {weighted}, {sql_fill('full_bl', 'fl', keys='px, blk', time='k')},
+        bs AS MATERIALIZED (SELECT k, [{basis}] AS a FROM (SELECT unnest(generate_series(0, 45)) AS k)),
+        ok AS (SELECT px, blk FROM fl GROUP BY ALL HAVING count(*) FILTER (w > 0) >= {m} AND count(filled) > 0),
+        g0 AS MATERIALIZED (SELECT px, blk, r, [{sums}] AS s FROM fl SEMI JOIN ok USING (px, blk) JOIN bs USING (k), (SELECT unnest(generate_series(1, {m})) AS r) GROUP BY px, blk, r), {steps_},
+        co AS (SELECT px, blk, list(s[{m + 1}] ORDER BY r) AS c FROM g{m} GROUP BY px, blk),
+        ft AS (SELECT px, blk, k, CASE WHEN c IS NULL THEN filled ELSE list_inner_product(c, a) END AS f FROM fl JOIN bs USING (k) LEFT JOIN co USING (px, blk))
+        SELECT px, CAST(blk AS INTEGER) AS block, CAST(k + 1 AS INTEGER) AS k, CAST(coalesce(round_even(greatest(round_even(f, 0), 0), 0), 32767) AS INTEGER) AS fitted FROM ft"""
+
+
+@query("w11_w12_f07_dft", sql_harmonics(3, WEIGHTS["dft"], "0.0"))
 def f07(spark, d):
     return pipelines.dft_year(tables.supplier_series(spark, d)).select("px", "block", "k", masks.floored(F.col("fitted")).alias("fitted"))
 
 
-@query("w13_f09_fourier7")
+@query("w13_f09_fourier7", sql_harmonics(7, WEIGHTS["fourier7"], "0.0001"))
 def f09(spark, d):
     return pipelines.dft_year(tables.supplier_series(spark, d), harmonics=7, weights=WEIGHTS["fourier7"], missing=0.0001).select("px", "block", "k", masks.floored(F.col("fitted")).alias("fitted"))
 

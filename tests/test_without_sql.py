@@ -12,7 +12,7 @@ from terraloom.schema import WEIGHTS
 from terraloom.sources import tables
 
 NAMES = (
-    "w11_w12_f07_dft", "w13_f09_fourier7", "w14_cubic_curves", "f10_calibrated_rows", "f10_k06_calibration_report",
+    "w14_cubic_curves", "f10_calibrated_rows", "f10_k06_calibration_report",
     "f15_point_cloud_statistics", "f10_relative_calibration", "f10_relative_calibration_rows",
 )
 
