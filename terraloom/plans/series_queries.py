@@ -143,8 +143,9 @@ _SV_WINDOWS = f"{sql_windows()}, ewn AS (SELECT px, t AS blk, k + 7 AS k, v FROM
 
 @query(
     "f05_single_fft_sg_suppliers",
-    f"""WITH {sql_series(W)}, {_SV_WINDOWS} SELECT px, CAST(blk AS INTEGER) AS t, CAST(coalesce(CASE WHEN round_even(z, 0) >= 0 AND round_even(z, 0) <= 9999 THEN round_even(z, 0) END, 32767) AS INTEGER) AS smooth
-        FROM (SELECT px, blk, k FROM ewn WHERE k = 7) LEFT JOIN lp USING (px, blk, k)""",
+    f"""WITH {sql_series(W)}, {_SV_WINDOWS}, mid AS (SELECT px, blk, sum(re * cos(2 * pi() * b * 7 / 15) - im * sin(2 * pi() * b * 7 / 15)) / 15 AS z FROM lp_k GROUP BY px, blk)
+        SELECT px, CAST(blk AS INTEGER) AS t, CAST(coalesce(CASE WHEN round_even(z, 0) >= 0 AND round_even(z, 0) <= 9999 THEN round_even(z, 0) END, 32767) AS INTEGER) AS smooth
+        FROM (SELECT px, blk FROM ewn WHERE k = 7) LEFT JOIN mid USING (px, blk)""",
 )
 def f05_suppliers(spark, d):
     return pipelines.fft_window(tables.supplier_series(spark, d)).select("px", "t", masks.valid_or_fill(F.col("smooth")).alias("smooth"))
