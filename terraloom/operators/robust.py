@@ -208,9 +208,13 @@ def median_distance(df: DataFrame, keys: Sequence[str], value: str, limit: float
     return df.join(middle, list(keys)).withColumn(out, F.when((F.col("_m") == 0) | (F.abs(v - F.col("_m")) / F.col("_m") < limit), v)).drop("_m")
 
 
+def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, mean, sd, low, high) of the values of each group."""
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
-    return moments.join(quantiles.medians(df, keys, value), list(keys)).select(*keys, "n", "mean", "sd", "low", "high", "middle")
+    return moments(df, keys, value).join(quantiles.medians(df, keys, value), list(keys)).select(*keys, "n", "mean", "sd", "low", "high", "middle")
 
 
 def normal_pdf(x: Column, mean: Column, sd: Column) -> Column:

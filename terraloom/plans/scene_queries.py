@@ -186,3 +186,15 @@ def f10c_scenes(spark, d):
     """The original cells of all scenes and bands on the reference's scale."""
     scenes, cells, reference = _calibrated_scenes(spark, d)
     return calibration.calibrated(cells, BANDS, calibration.lines(calibration.pairs(scenes, cells, BANDS, band_map(spark), reference, SIZE)))
+
+
+@query(
+    "f10c_g05_differences",
+    f"""WITH RECURSIVE {_FITTED} SELECT scene, CAST(scene_band AS INTEGER) AS scene_band, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, {sql_steps('y - least(round_even(greatest(b0 + b1 * x, 0), 0), 32767)')} AS difference
+        FROM prs JOIN fit USING (scene, scene_band) WHERE method = 'odr'""",
+)
+def f10c_differences(spark, d):
+    """What the reference's means have more than the calibrated blocks."""
+    scenes, cells, reference = _calibrated_scenes(spark, d)
+    found = stores.kept(calibration.pairs(scenes, cells, BANDS, band_map(spark), reference, SIZE))
+    return calibration.difference(found, calibration.lines(found)).select("scene", "scene_band", "row", "col", steps(F.col("difference")).alias("difference"))

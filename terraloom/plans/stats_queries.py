@@ -96,7 +96,7 @@ def a17b(spark, d):
 )
 def a18(spark, d):
     s = tables.event_series(spark, d)
-    about = robust.describe(s, ("px",), "v").select("px", "mean", "sd").where("sd > 0")
+    about = robust.moments(s, ("px",), "v").select("px", "mean", "sd").where("sd > 0")
     v, m, sd = F.col("v"), F.col("mean"), F.col("sd")
     return s.where(v.isNotNull()).join(about, "px").select("px", "t", v.between(m - F.lit(3.0) * sd, m + F.lit(3.0) * sd).cast("int").alias("inside"), steps(robust.normal_pdf(v, m, sd), 1000000).alias("density"))
 
