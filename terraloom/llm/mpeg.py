@@ -6,10 +6,13 @@ payload, and an ID3v1 trailer. All frames take the highest bitrate but the last,
 holds the rest. Every frame carries the CRC-16 of its header and side information.
 
 Reading works on any MPEG-1/2/2.5 audio stream: it skips junk until two frame headers follow one another (or
-the stream ends with the frame), parses ID3v2 (2.2 to 2.4, extended headers, footers), ID3v1 and Xing/Info/VBRI tables,
-verifies checksums of layers I and III (those of layer II need its allocation tables and are not verified), and gives
-the exact duration (samples over rate, summed over all rates) and the byte offset of each frame for seeking. Any
-bytes can be read: what is cut short counts as far as it goes.
+the stream ends with the frame), parses ID3v2 (2.2 to 2.4, extended headers, footers, unsynchronised tags and frames),
+ID3v1 and Xing/Info/VBRI tables, verifies checksums of layers I and III (those of layer II need its allocation tables
+and are not verified), and gives the exact duration (samples over rate, summed over all rates), the duration without
+the encoder's delay and padding where the table tells them, and the byte offset of each frame for seeking. Tags may
+follow one another or stand between frames; of a frame that is in several, the last counts. Frames of free format have
+the distance of the next two headers of their kind as their size. Any bytes can be read: what is cut short counts as
+far as it goes. Compressed or encrypted frames of tags are kept as stored.
 
 Documents are independent: one map over the scan, no shuffle.
 
@@ -42,6 +45,7 @@ KBPS = {
     (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
+ENCODERS = (b"LAME", b"Lavc", b"Lavf")
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
 BLOCK = 64
@@ -85,18 +89,21 @@ class Header:
 
 
 @lru_cache(maxsize=4096)
-def header(b: bytes) -> Header | None:
-    """What four bytes say if they are a frame header."""
+def header(b: bytes, free: int = 0) -> Header | None:
+    """What four bytes say if they are a frame header; ``free`` is the size of unpadded frames of free format, if known."""
     if len(b) < 4 or b[0] != 0xFF or b[1] & 0xE0 != 0xE0:
         return None
     version, layer, index, rate = b[1] >> 3 & 3, 4 - (b[1] >> 1 & 3), b[2] >> 4, b[2] >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3:
+    if version == 1 or layer == 4 or index == 15 or rate == 3 or (index == 0 and not free):
         return None
     first = version == 3
     kbps, hz = KBPS[1 if first else 2, layer][index], RATES[version][rate]
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     pad = b[2] >> 1 & 1
-    size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
+    if index == 0:
+        size, kbps = free + pad * (4 if layer == 1 else 1), round(free * 8 * hz / samples / 1000)
+    else:
+        size = (12 * kbps * 1000 // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
     mono = b[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if first else 9 if mono else 17
     apart = 32 if b[3] >> 6 != 1 else 4 * ((b[3] >> 4 & 3) + 1)  # subbands that two channels allocate apart (layer I)
@@ -154,24 +161,64 @@ class Stream:
     skipped: int = 0
     bad_checksums: int = 0
     duration: Fraction = Fraction(0)
+    heard: Fraction = Fraction(0)  # the duration without the encoder's delay and padding
     ancillary: bytes = b""
 
 
-def _read_id3(data: bytes, tags: dict[str, bytes]) -> int:
-    """Frames of an ID3v2 tag at the start; the offset behind it and its footer."""
-    if data[:3] != b"ID3" or len(data) < 10:
+def _free_size(data: bytes, at: int, end: int) -> int:
+    """The size of unpadded frames of free format, if two headers of one kind follow that at ``at``; 0 otherwise.
+
+    A frame is no longer than one of the highest bitrate of its layer.
+    """
+    highest = header(bytes((*data[at : at + 2], data[at + 2] | 0xE0, data[at + 3]))) if data[at + 2] >> 4 == 0 else None
+    if highest is None:
         return 0
-    unsafe = lambda b: int.from_bytes(b, "big") if data[3] < 4 else sum((x & 127) << 7 * k for k, x in enumerate(reversed(b)))
-    body = sum((x & 127) << 7 * k for k, x in enumerate(reversed(data[6:10])))
-    end, at = 10 + body, 10
-    if data[3] >= 3 and data[5] & 0x40:  # extended header; version 2.3 does not count its own size
-        at += unsafe(data[10:14]) + (4 if data[3] == 3 else 0)
-    name, head = (3, 6) if data[3] == 2 else (4, 10)
-    while at + head <= min(end, len(data)) and data[at] != 0:
-        n = unsafe(data[at + name : at + name + 4]) if name == 4 else int.from_bytes(data[at + 3 : at + 6], "big")
-        tags[data[at : at + name].decode("latin-1")] = data[at + head : min(end, at + head + n)]
+    slot = 4 if highest.layer == 1 else 1
+    same = lambda p: data[p : p + 2] == data[at : at + 2] and p + 4 <= end and not (data[p + 2] ^ data[at + 2]) & 0xFC
+    to = at
+    while (to := data.find(data[at : at + 2], to + 4 if to == at else to + 1, min(end, at + highest.size + 4))) > 0:
+        size = to - at - (data[at + 2] >> 1 & 1) * slot
+        if same(to) and size > 4 + highest.side:
+            after = to + size + (data[to + 2] >> 1 & 1) * slot
+            if after == end or same(after):
+                return size
+    return 0
+
+
+def _synchronised(b: bytes) -> bytes:
+    return b.replace(b"\xff\0", b"\xff")
+
+
+def _read_id3(data: bytes, tags: dict[str, bytes], start: int = 0) -> int:
+    """Frames of an ID3v2 tag at ``start``; the offset behind it and its footer, ``start`` if there is no tag.
+
+    Up to version 2.3 a tag is unsynchronised as a whole and frames have their sizes before that; in version 2.4 each
+    frame is by itself and has its size after that.
+    """
+    lead = data[start : start + 10]
+    if lead[:3] != b"ID3" or len(lead) < 10 or 0xFF in lead[3:5] or max(lead[6:10]) > 127:
+        return start
+    version, flags = lead[3], lead[5]
+    unsafe = lambda b: int.from_bytes(b, "big") if version < 4 else sum((x & 127) << 7 * k for k, x in enumerate(reversed(b)))
+    size = sum(x << 7 * k for k, x in enumerate(reversed(lead[6:10])))
+    body = data[start + 10 : start + 10 + size]
+    if flags & 0x80 and version < 4:
+        body = _synchronised(body)
+    at = 0
+    if version >= 3 and flags & 0x40:  # extended header; version 2.3 does not count its own size
+        at = unsafe(body[:4]) + (4 if version == 3 else 0)
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at] != 0:
+        n = unsafe(body[at + name : at + name + 4]) if name == 4 else int.from_bytes(body[at + 3 : at + 6], "big")
+        value = body[at + head : at + head + n]
+        if version >= 4:
+            form = body[at + 9]
+            if not form & 0x0C:  # neither compressed nor encrypted: without group and length, and synchronised
+                value = value[bool(form & 0x40) + 4 * (form & 1) :]
+                value = _synchronised(value) if form & 2 else value
+        tags[body[at : at + name].decode("latin-1")] = value
         at += head + n
-    return end + (10 if data[3] >= 4 and data[5] & 0x10 else 0)
+    return start + 10 + size + (10 if version >= 4 and flags & 0x10 else 0)
 
 
 def _read_table(frame: bytes, h: Header) -> dict[str, object]:
@@ -185,7 +232,13 @@ def _read_table(frame: bytes, h: Header) -> dict[str, object]:
                 out[name], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
         if flags & 4:
             out["seek"], at = frame[at : at + 100], at + 100
-        return out if at <= len(frame) else {}
+        if at > len(frame):
+            return {}
+        at += 4 * (flags >> 3 & 1)
+        if frame[at : at + 4] in ENCODERS and len(frame) >= at + 24:
+            trim = int.from_bytes(frame[at + 21 : at + 24], "big")
+            out |= {"encoder": frame[at : at + 9].rstrip(b"\0 ").decode("latin-1"), "delay": trim >> 12, "padding": trim & 0xFFF}
+        return out
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         n_bytes, n_frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
         if 62 + width * entries > len(frame):
@@ -201,11 +254,19 @@ def read_stream(data: bytes) -> Stream:
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         s.tags["ID3v1"] = data[end : end + 128]
-    synced, samples = False, {}
+    synced, samples, free = False, {}, {}
+    kind = lambda b: b[:2] + bytes((b[2] & 0xFC,))
     while at + 4 <= end:
-        h = header(data[at : at + 4])
+        b = data[at : at + 4]
+        h = header(b)
+        if h is None and b[:3] == b"ID3" and (behind := _read_id3(data, s.tags, at)) > at:
+            at = behind
+            continue
+        if h is None and b[0] == 0xFF and b[1] >= 0xE0 and b[2] < 16:
+            free[kind(b)] = (free.get(kind(b)) if synced else None) or _free_size(data, at, end)
+            h = header(b, free[kind(b)])
         after = at + h.size if h else 0
-        if h is None or after > end or not (synced or after == end or header(data[after : after + 4])):
+        if h is None or after > end or not (synced or after == end or b[2] < 16 or header(data[after : after + 4]) or data[after : after + 3] == b"ID3"):
             synced, to = False, data.find(b"\xff", at + 1, end)
             to = end if to < 0 else to
             s.skipped, at = s.skipped + to - at, to
@@ -226,6 +287,8 @@ def read_stream(data: bytes) -> Stream:
     s.skipped += max(0, end - at)
     s.samples = sum(samples.values())
     s.duration = sum((Fraction(n, rate) for rate, n in samples.items()), Fraction(0))
+    trim = s.table.get("delay", 0) + s.table.get("padding", 0)
+    s.heard = max(Fraction(0), s.duration - Fraction(trim, s.rate)) if s.rate else s.duration
     s.ancillary = b"".join(parts)
     return s
 
@@ -260,8 +323,8 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read(media: DataFrame) -> DataFrame:
-    """What streams contain: duration in seconds, rate, frames, seek offsets, checks and ancillary bytes."""
-    schema = "doc_id long, duration double, rate int, samples long, table_kind string, table_frames long, offsets array<long>, skipped long, bad_checksums long, ancillary binary"
+    """What streams contain: durations in seconds, rate, frames, seek offsets, checks and ancillary bytes."""
+    schema = "doc_id long, duration double, heard double, rate int, samples long, table_kind string, table_frames long, offsets array<long>, skipped long, bad_checksums long, ancillary binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,8 +333,8 @@ def read(media: DataFrame) -> DataFrame:
                 rows = []
                 for i, m in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     s = read_stream(m.as_py() or b"")
-                    rows.append((i, float(s.duration), s.rate, s.samples, s.table.get("kind"), s.table.get("frames"), s.offsets, s.skipped, s.bad_checksums, s.ancillary))
-                kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((i, float(s.duration), float(s.heard), s.rate, s.samples, s.table.get("kind"), s.table.get("frames"), s.offsets, s.skipped, s.bad_checksums, s.ancillary))
+                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
                 names = [c.split()[0] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
