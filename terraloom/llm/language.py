@@ -14,8 +14,9 @@ most frequent labels. Prediction is one map over the
 scan with a model of fixed size (``BUCKETS`` x machines).
 
 Cases: a text that is null or has no letter is ``und`` with score 0; if there is no labelled row, all are
-``und``; a language whose code is in no family is one of its own; with one language only, every text with
-letters is that; repeated rows repeat; a null doc_id stays null, is not held out and not learned from; extra
+``und``; a label counts for the family of its primary subtag, in either case and with two or three letters (``pt-BR``, ``EN``,
+``eng``), and stays a label of its own; labels whose primary subtag is in no family make one with those that share it;
+with one language only, every text with letters is that; repeated rows repeat; a null doc_id stays null, is not held out and not learned from; extra
 columns are dropped or kept as they are; an empty table gives an empty result.
 """
 
@@ -49,9 +50,39 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "sl", "hr", "sr", "bs", "bg", "mk"),
     "uralic": ("fi", "et", "hu"),
     "turkic": ("tr", "az", "kk", "uz", "ky", "tk"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("ga", "gd", "cy", "br"),
+    "indo-aryan": ("hi", "mr", "ne", "bn", "as", "gu", "pa", "ur"),
+    "iranian": ("fa", "ps", "ku", "tg"),
+    "semitic": ("ar", "he", "mt", "am"),
+    "dravidian": ("ta", "te", "kn", "ml"),
+    "malayo-polynesian": ("id", "ms", "jv", "su", "tl", "mg"),
+    "sinitic": ("zh", "yue", "wuu"),
+    "bantu": ("sw", "zu", "xh", "rw", "sn"),
+}
+#: ISO 639-2 and 639-3 codes of these languages, other than the two letters.
+THREE = {
+    "eng": "en", "deu": "de", "ger": "de", "nld": "nl", "dut": "nl", "swe": "sv", "dan": "da", "nor": "no", "nob": "nb", "nno": "nn",
+    "isl": "is", "ice": "is", "afr": "af", "fry": "fy", "ltz": "lb", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt",
+    "ron": "ro", "rum": "ro", "cat": "ca", "glg": "gl", "oci": "oc", "rus": "ru", "ukr": "uk", "bel": "be", "pol": "pl", "ces": "cs",
+    "cze": "cs", "slk": "sk", "slo": "sk", "slv": "sl", "hrv": "hr", "srp": "sr", "bos": "bs", "bul": "bg", "mkd": "mk", "mac": "mk",
+    "fin": "fi", "est": "et", "hun": "hu", "tur": "tr", "aze": "az", "kaz": "kk", "uzb": "uz", "kir": "ky", "tuk": "tk", "lit": "lt",
+    "lav": "lv", "gle": "ga", "gla": "gd", "cym": "cy", "wel": "cy", "bre": "br", "hin": "hi", "mar": "mr", "nep": "ne", "ben": "bn",
+    "asm": "as", "guj": "gu", "pan": "pa", "urd": "ur", "fas": "fa", "per": "fa", "pus": "ps", "kur": "ku", "tgk": "tg", "ara": "ar",
+    "heb": "he", "mlt": "mt", "amh": "am", "tam": "ta", "tel": "te", "kan": "kn", "mal": "ml", "ind": "id", "msa": "ms", "may": "ms",
+    "jav": "jv", "sun": "su", "tgl": "tl", "mlg": "mg", "zho": "zh", "chi": "zh", "cmn": "zh", "swa": "sw", "zul": "zu", "xho": "xh",
+    "kin": "rw", "sna": "sn",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
+
+def family_of(label: str) -> str:
+    """The family of a label; that of its primary subtag's name where no family has it."""
+    primary = label.strip().lower().replace("_", "-").split("-")[0]
+    code = THREE.get(primary, primary)
+    return FAMILY_OF.get(code, code)
+
+
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Buckets of n-grams of blanks only, which tell nothing.
 _SHIFT = 32 - (BUCKETS.bit_length() - 1)
@@ -200,10 +231,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int
     x, langs, sizes = [x[i] for i in order], np.array(langs, object)[order], sizes[order]
     by_family: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
-        by_family.setdefault(FAMILY_OF.get(lang, lang), []).append(lang)
+        by_family.setdefault(family_of(lang), []).append(lang)
     families = tuple(tuple(v) for _, v in sorted(by_family.items()))
-    family_of = {lang: f for f, members in enumerate(families) for lang in members}
-    of = np.array([family_of[lang] for lang in langs])
+    number = {lang: f for f, members in enumerate(families) for lang in members}
+    of = np.array([number[lang] for lang in langs])
     machines = [fit_svm(x, np.where(of == f, 1.0, -1.0)) for f in range(len(families))]
     duels = []
     for f, members in enumerate(families):

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from terraloom.llm import chat, language, mpeg, topk
 
@@ -479,6 +480,24 @@ def test_predictions_are_votes_within_the_family(docs):
     assert tried >= 20
 
 
+def test_families_of_labels():
+    for labels in (("en", "EN", "eng", "en-US", "en_GB", "de-AT", "ger"), ("hi", "mr-IN", "urd"), ("id", "msa"), ("lt", "lv-LV"), ("xx-A", "XX", "xx_B")):
+        assert len({language.family_of(x) for x in labels}) == 1
+    assert len({language.family_of(x) for x in ("en", "pt-BR", "RU", "fin", "tr", "lt", "hin", "fa", "ar", "xx", "")}) == 11
+    assert all(language.family_of(three) == language.FAMILY_OF[two] for three, two in language.THREE.items())
+
+
+def test_labels_with_regions_meet_in_duels(spark, docs):
+    tagged = docs.withColumn("lang", F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 2 == 0, "en-US").otherwise("EN")).otherwise(F.col("lang")))
+    model = language.train(tagged)
+    family = next(i for i, members in enumerate(model.families) if "en-US" in members)
+    assert "EN" in model.families[family]
+    assert any(f == family and {model.families[f][a], model.families[f][b]} == {"EN", "en-US"} for f, a, b in model.duels)
+    known = {language.family_of(x) for x in ("en", "EN")}
+    told = [r for r in language.predict(tagged.where("lang in ('EN', 'en-US')"), model, "lang").collect() if r["lang_pred"] != "und"]
+    assert sum(language.family_of(r["lang_pred"]) in known for r in told) >= 0.9 * len(told) > 0
+
+
 def test_only_the_most_frequent_labels_are_learned(docs):
     most = [r["lang"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy("count", ascending=False).limit(2).collect()]
     model = language.train(docs, languages=2)
