@@ -3,16 +3,17 @@
 The formulas are written once for two kinds of numbers: Spark columns and numpy arrays.
 
 A scene's outline is mapped to the reference projection and gives the target grid. Target cells are never rows on their own
-before they have a value: the grid is exploded into blocks of ``SIDE`` x ``SIDE`` cells, each of which is mapped back as one
-array and names the few source blocks that it needs; source cells are packed into blocks of ``SOURCE_SIDE`` x
-``SOURCE_SIDE``. Blocks meet by equality of scene and block, so what is exchanged is a row per pair of blocks that touch,
-whatever a scene's size, and no scene is in one task. Each pair gives the target cells whose nearest source cell it holds.
+before they have a value: source cells are packed into blocks of ``SOURCE_SIDE`` x ``SOURCE_SIDE``, the outline of each is mapped
+to the target grid, and the cells of the box around it are mapped back as arrays of ``SIDE`` x ``SIDE`` at most. So the work is that of
+the source cells and not of the target grid, most of which a long scene leaves empty; what is exchanged is a row per source
+block, and no scene is in one task. Each block gives the target cells whose nearest source cell it holds.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import product
 from types import SimpleNamespace
 
 import numpy as np
@@ -23,9 +24,10 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from terraloom.operators.spatial import block_of
 from terraloom.schema import SPHERE_RADIUS
+from terraloom.sources.stores import kept
 
-#: Rows and columns of a target block and of a source block.
-SIDE, SOURCE_SIDE = 64, 128
+#: Rows and columns of the target cells that are mapped at once, at most, and of a source block.
+SIDE, SOURCE_SIDE = 256, 128
 
 COLUMNS = SimpleNamespace(sin=F.sin, cos=F.cos, sinh=F.sinh, cosh=F.cosh, asin=F.asin, asinh=F.asinh, atanh=F.atanh, atan2=F.atan2, sqrt=F.sqrt)
 ARRAYS = SimpleNamespace(sin=np.sin, cos=np.cos, sinh=np.sinh, cosh=np.cosh, asin=np.arcsin, asinh=np.arcsinh, atanh=np.arctanh, atan2=np.arctan2, sqrt=np.sqrt)
@@ -112,10 +114,27 @@ def target_grids(scenes: DataFrame, res: float, per_edge: int = 1) -> DataFrame:
 _INFO = ("zone", "south", "x0", "y0", "res", "n_rows", "n_cols", "t_x0", "t_y0", "t_rows", "t_cols")
 
 
-def _mapped(info: dict, bi: int, bj: int, res: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Target rows and columns of a block and the source rows and columns that their centres fall into, of those inside the source."""
-    rows = np.arange(bi * SIDE, min((bi + 1) * SIDE, info["t_rows"]))
-    cols = np.arange(bj * SIDE, min((bj + 1) * SIDE, info["t_cols"]))
+def _box(info: dict, res: float) -> tuple[int, int, int, int]:
+    """First and last row and column (ends not included) of the target cells whose centres may lie in a source block: the box of its
+    outline, mapped at every cell's corner, wider by a cell and the longest step along it, as the image may bulge between
+    corners. Where the target grid goes once around the pole and more, columns repeat and all of them are in the box."""
+    rows = np.arange(info["_si"] * SOURCE_SIDE, min((info["_si"] + 1) * SOURCE_SIDE, info["n_rows"]) + 1)
+    cols = np.arange(info["_sj"] * SOURCE_SIDE, min((info["_sj"] + 1) * SOURCE_SIDE, info["n_cols"]) + 1)
+    r = np.r_[np.full(len(cols), rows[0]), rows, np.full(len(cols), rows[-1]), rows[::-1]]
+    c = np.r_[cols, np.full(len(rows), cols[-1]), cols[::-1], np.full(len(rows), cols[0])]
+    lon, lat = from_utm(info["x0"] + c * info["res"], info["y0"] - r * info["res"], info["zone"], info["south"], ARRAYS)
+    x, y = to_sinusoidal(lon, lat, ARRAYS)
+    down, right = (info["t_y0"] - y) / res, (x - info["t_x0"]) / res
+    more = 1 + max(np.abs(np.diff(down)).max(), np.abs(np.diff(right)).max())
+    within = lambda v, n: (max(0, math.floor(v.min() - more)), min(n, math.ceil(v.max() + more) + 1))
+    r0, r1 = within(down, info["t_rows"])
+    ends = np.array([[info["t_x0"]], [info["t_x0"] + info["t_cols"] * res]])
+    far = from_sinusoidal(ends, info["t_y0"] - np.array([r0, r1]) * res, ARRAYS)[0] - meridian(info["zone"])
+    return r0, r1, *((0, info["t_cols"]) if np.abs(far).max() >= math.pi else within(right, info["t_cols"]))
+
+
+def _mapped(info: dict, rows: np.ndarray, cols: np.ndarray, res: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Target rows and columns and the source rows and columns that their centres fall into, of those inside the source."""
     r, c = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
     lon, lat = from_sinusoidal(info["t_x0"] + (c + 0.5) * res, info["t_y0"] - (r + 0.5) * res, ARRAYS)
     east, north = to_utm(lon, lat, info["zone"], info["south"], ARRAYS)
@@ -127,29 +146,15 @@ def _mapped(info: dict, bi: int, bj: int, res: float) -> tuple[np.ndarray, np.nd
 def on_grids(scenes: DataFrame, grids: DataFrame, cells: DataFrame, values: Sequence[str], res: float) -> DataFrame:
     """(scene, row, col, values): the nearest source values of all target cells that a scene covers. ``cells``: scene, row, col and
     ``values`` (bands, mask), which share one mapping. Cells without a row in ``cells`` have none in the result."""
-    known = scenes.join(grids, "scene").select("scene", *_INFO)
-    last = lambda c: F.sequence(F.lit(0), F.floor((F.col(c) - 1) / SIDE).cast("int"))
-    blocks = known.select("*", F.explode(last("t_rows")).alias("bi")).select("*", F.explode(last("t_cols")).alias("bj"))
-    asked = StructType([*blocks.schema.fields, StructField("_si", IntegerType()), StructField("_sj", IntegerType())])
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, si, sj = [], [], []
-            for i, info in enumerate(b.to_pylist()):
-                *_, r, c = _mapped(info, info["bi"], info["bj"], res)
-                pairs = np.unique(r // SOURCE_SIDE * (1 << 31) + c // SOURCE_SIDE)
-                at += [i] * len(pairs)
-                si.append(pairs >> 31)
-                sj.append(pairs & ((1 << 31) - 1))
-            whole = lambda x: pa.array(np.concatenate(x).astype(np.int32) if x else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns), whole(si), whole(sj)], names=asked.names)
-
+    known = kept(scenes.join(grids, "scene").select("scene", *_INFO))
     spot = F.col("row") % SOURCE_SIDE * SOURCE_SIDE + F.col("col") % SOURCE_SIDE
     packed = cells.groupBy("scene", block_of(F.col("row"), SOURCE_SIDE).alias("_si"), block_of(F.col("col"), SOURCE_SIDE).alias("_sj")).agg(
         F.collect_list(F.struct(spot.cast("int").alias("_at"), *(F.col(v).cast("double").alias(v) for v in values))).alias("_cells")
     )
-    made = StructType([blocks.schema["scene"], StructField("row", IntegerType()), StructField("col", IntegerType()), *(StructField(v, DoubleType()) for v in values)])
-    both = blocks.mapInArrow(needed, asked).join(packed, ["scene", "_si", "_sj"])
+    made = StructType([known.schema["scene"], StructField("row", IntegerType()), StructField("col", IntegerType()), *(StructField(v, DoubleType()) for v in values)])
+    # a block without a cell inside its scene has no value to give
+    inside = (F.col("_si") >= 0) & (F.col("_si") * SOURCE_SIDE < F.col("n_rows")) & (F.col("_sj") >= 0) & (F.col("_sj") * SOURCE_SIDE < F.col("n_cols"))
+    both = packed.join(known, "scene").where(inside)
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,14 +165,16 @@ def on_grids(scenes: DataFrame, grids: DataFrame, cells: DataFrame, values: Sequ
                 at = pieces.field("_at").to_numpy()
                 place = np.full(SOURCE_SIDE * SOURCE_SIDE, -1)
                 place[at] = np.arange(len(at))
-                r, c, sr, sc = _mapped(info, info["bi"], info["bj"], res)
-                own = (sr // SOURCE_SIDE == info["_si"]) & (sc // SOURCE_SIDE == info["_sj"])
-                r, c, where = r[own], c[own], place[sr[own] % SOURCE_SIDE * SOURCE_SIDE + sc[own] % SOURCE_SIDE]
-                there = where >= 0
-                take = pa.array(where[there])
-                yield pa.RecordBatch.from_arrays(
-                    [scene.take(pa.array(np.full(int(there.sum()), i))), pa.array(r[there].astype(np.int32)), pa.array(c[there].astype(np.int32)), *(pieces.field(v).take(take) for v in values)], names=made.names
-                )
+                r0, r1, c0, c1 = _box(info, res)
+                for top, left in product(range(r0, r1, SIDE), range(c0, c1, SIDE)):
+                    r, c, sr, sc = _mapped(info, np.arange(top, min(top + SIDE, r1)), np.arange(left, min(left + SIDE, c1)), res)
+                    own = (sr // SOURCE_SIDE == info["_si"]) & (sc // SOURCE_SIDE == info["_sj"])
+                    r, c, where = r[own], c[own], place[sr[own] % SOURCE_SIDE * SOURCE_SIDE + sc[own] % SOURCE_SIDE]
+                    there = where >= 0
+                    take = pa.array(where[there])
+                    yield pa.RecordBatch.from_arrays(
+                        [scene.take(pa.array(np.full(int(there.sum()), i))), pa.array(r[there].astype(np.int32)), pa.array(c[there].astype(np.int32)), *(pieces.field(v).take(take) for v in values)], names=made.names
+                    )
 
     return both.mapInArrow(filled, made)
 
