@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -15,17 +15,24 @@ KEYS = ("scene", "scene_band")
 
 
 class Reference(NamedTuple):
-    """A fitted series as a raster: cells (epoch_date, band, row, col, value), the grid's corner and cell."""
+    """A fitted series as a raster: its epochs (epoch_date), ``at``, which gives its cells (epoch_date, band, row, col, value) among
+    those asked for (epoch_date, row, col; each once), the grid's corner and cell."""
 
-    cells: DataFrame
+    epochs: DataFrame
+    at: Callable[[DataFrame], DataFrame]
     x0: float
     y0: float
     res: float
 
+    @classmethod
+    def of(cls, cells: DataFrame, x0: float, y0: float, res: float) -> Reference:
+        """Of a raster that is there with all its cells."""
+        return cls(cells.select("epoch_date").distinct(), lambda asked: cells.join(asked.hint("merge"), ["epoch_date", "row", "col"], "left_semi"), x0, y0, res)
 
-def usable(scenes: DataFrame, reference: DataFrame) -> DataFrame:
+
+def usable(scenes: DataFrame, epochs: DataFrame) -> DataFrame:
     """Scenes that are not older than the first fitted epoch."""
-    first = reference.agg(F.min("epoch_date").alias("_first"))  # one row
+    first = epochs.agg(F.min("epoch_date").alias("_first"))  # one row
     return scenes.crossJoin(F.broadcast(first)).where("acq_date >= _first").drop("_first")
 
 
@@ -53,15 +60,18 @@ def blocks(scenes: DataFrame, cells: DataFrame, bands: Mapping[int, str], refere
 
 def pairs(scenes: DataFrame, cells: DataFrame, bands: Mapping[int, str], band_map: DataFrame, reference: Reference, size: int = 15) -> DataFrame:
     """(scene, scene_band, ref_band, row, col, x, y): blocks that are seen in full beside the 3 x 3 means of the reference's epoch
-    nearest to the scene's day. ``band_map`` (sensor, scene_band, ref_band) is a table of fixed size."""
-    scenes = kept(usable(scenes, reference.cells))
-    seen = blocks(scenes, cells, bands, reference, size).where("p >= 1")
-    near = kept(temporal.nearest(scenes.select("scene", "sensor", "acq_date"), reference.cells.select("epoch_date").distinct(), "acq_date", "epoch_date").select("scene", "sensor", F.col("nearest").alias("epoch_date")))
-    needed = reference.cells.join(near.select("epoch_date").distinct(), "epoch_date", "left_semi")
-    means = spatial.focal_mean(needed, ("epoch_date", "band")).select("epoch_date", F.col("band").alias("ref_band"), "row", "col", F.col("focal").alias("y"))
+    nearest to the scene's day. The reference is asked for these blocks and their neighbours only. ``band_map`` (sensor, scene_band, ref_band) is a table of fixed size."""
+    epochs = kept(reference.epochs)
+    scenes = kept(usable(scenes, epochs))
+    seen = kept(blocks(scenes, cells, bands, reference, size).where("p >= 1"))
+    near = kept(temporal.nearest(scenes.select("scene", "sensor", "acq_date"), epochs, "acq_date", "epoch_date").select("scene", "sensor", F.col("nearest").alias("epoch_date")))
+    around = lambda c: F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1)))).alias(c)
+    asked = kept(seen.join(near, "scene").select("epoch_date", around("row"), "col").select("epoch_date", "row", around("col")).distinct())
+    means = spatial.focal_mean(reference.at(asked), ("epoch_date", "band")).select("epoch_date", F.col("band").alias("ref_band"), "row", "col", F.col("focal").alias("y"))
     told = seen.select("scene", "row", "col", F.explode(F.array(*(F.struct(F.lit(b).alias("scene_band"), F.col(c).alias("x")) for b, c in bands.items()))).alias("_b")).select("scene", "row", "col", "_b.scene_band", "_b.x")
     mapped = told.join(near, "scene").join(F.broadcast(band_map), ["sensor", "scene_band"])
-    return mapped.join(means, ["epoch_date", "ref_band", "row", "col"]).where("x > 0 AND y > 0").select("scene", "scene_band", "ref_band", "row", "col", "x", "y")
+    # joined by a shuffle: the size that is reckoned with leaves out what explode makes
+    return mapped.join(means.hint("merge"), ["epoch_date", "ref_band", "row", "col"]).where("x > 0 AND y > 0").select("scene", "scene_band", "ref_band", "row", "col", "x", "y")
 
 
 def lines(found: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -79,14 +89,14 @@ def lines(found: DataFrame, alpha: float = 0.05) -> DataFrame:
 def calibrated(cells: DataFrame, bands: Mapping[int, str], fitted: DataFrame, method: str = "odr") -> DataFrame:
     """(scene, scene_band, row, col, calibrated): original cells on the reference's scale, in 0..10000; scenes and bands without a line go."""
     told = cells.select("scene", "row", "col", F.explode(F.array(*(F.struct(F.lit(b).alias("scene_band"), F.col(c).cast("double").alias("value")) for b, c in bands.items()))).alias("_b"))
-    one = fitted.where(F.col("method") == method).select(*KEYS, "b0", "b1")
+    one = kept(fitted.where(F.col("method") == method).select(*KEYS, "b0", "b1"))
     value = F.when(F.col("value") != 0, F.col("value"))
     return told.select("scene", "row", "col", "_b.scene_band", "_b.value").join(one, list(KEYS)).select(*KEYS, "row", "col", masks.calibrated_range(F.col("b0") + F.col("b1") * value).alias("calibrated"))
 
 
 def difference(found: DataFrame, fitted: DataFrame, method: str = "odr") -> DataFrame:
     """(scene, scene_band, row, col, difference): the reference's means less the calibrated blocks."""
-    one = fitted.where(F.col("method") == method).select(*KEYS, "b0", "b1")
+    one = kept(fitted.where(F.col("method") == method).select(*KEYS, "b0", "b1"))
     return found.join(one, list(KEYS)).select(*KEYS, "row", "col", (F.col("y") - masks.calibrated_block(F.col("b0") + F.col("b1") * F.col("x"))).alias("difference"))
 
 
