@@ -17,6 +17,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from terraloom.sources.stores import kept
 
+#: Blocks that a kernel sees at once, at most: a weighted fit of 7 harmonics holds some ten times 46 x 15 numbers of each.
+TOGETHER = 512
 #: Spectral powers within this relative distance of the largest count as equal to it.
 SAME = 1e-12
 
@@ -83,7 +85,7 @@ def to_blocks(df: DataFrame, keys: Sequence[str], value: str = "v", weight: str
 
 
 def _kernel(blocks: DataFrame, out: str, run) -> DataFrame:
-    """Adds ``out``: ``run(vs, ws)`` over matrices of blocks, NaN being NULL. All blocks have the same length."""
+    """Adds ``out``: ``run(vs, ws)`` over matrices of ``TOGETHER`` blocks at most, NaN being NULL. All blocks have the same length."""
     names = blocks.columns
     schema = StructType([*blocks.schema.fields, StructField(out, ArrayType(DoubleType()))])
 
@@ -95,12 +97,13 @@ def _kernel(blocks: DataFrame, out: str, run) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            vs = matrix(b.column(names.index("vs")))
-            ws = matrix(b.column(names.index("ws"))) if "ws" in names else None
-            made = run(vs, ws)
-            flat = pa.array(made.ravel(), from_pandas=True)
-            ends = pa.array(np.arange(0, made.size + 1, max(1, made.shape[1])), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, flat)], names=schema.names)
+            for part in (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER)):
+                vs = matrix(part.column(names.index("vs")))
+                ws = matrix(part.column(names.index("ws"))) if "ws" in names else None
+                made = run(vs, ws)
+                flat = pa.array(made.ravel(), from_pandas=True)
+                ends = pa.array(np.arange(0, made.size + 1, max(1, made.shape[1])), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, flat)], names=schema.names)
 
     return blocks.mapInArrow(mapped, schema)
 

@@ -143,3 +143,12 @@ def test_offset_to_the_first_whole_reference_cell(spark):
     row = spark.range(1).select(*projections.grid_offset(F.lit(1030.0), F.lit(5970.0), 0.0, 10_000.0, 300.0, 15)).first()
     assert tuple(row) == ((10_000 - 5970) % 300 and (300 - (10_000 - 5970) % 300) / 20 // 1 + ((300 - (10_000 - 5970) % 300) / 20 % 1 > 0.5), round((300 - 1030 % 300) / 20))
     assert scene_queries.FINE == 30.88751
+
+
+def test_kernels_see_a_bounded_number_of_blocks(spark):
+    from terraloom.operators import spectral
+
+    blocks = spark.range(2000).coalesce(1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vs"))
+    out = spectral._kernel(blocks, "seen", lambda vs, _: np.stack([vs[:, 0], np.full(len(vs), float(len(vs)))], axis=1)).collect()
+    assert all(r["seen"][0] == r["id"] for r in out) and len(out) == 2000
+    assert max(r["seen"][1] for r in out) <= 512
