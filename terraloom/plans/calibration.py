@@ -74,6 +74,18 @@ def pairs(scenes: DataFrame, cells: DataFrame, bands: Mapping[int, str], band_ma
     return mapped.join(means.hint("merge"), ["epoch_date", "ref_band", "row", "col"]).where("x > 0 AND y > 0").select("scene", "scene_band", "ref_band", "row", "col", "x", "y")
 
 
+def fits(left: DataFrame) -> DataFrame:
+    """(scene, scene_band, method, n, b0, b1, r, r2): both regressions of ``left``, a row each; those without a slope go."""
+    both = regress.lines(left, KEYS)
+    one = (F.struct(F.lit(m).alias("method"), F.col(f"{m}_b0").alias("b0"), F.col(f"{m}_b1").alias("b1")) for m in ("ols", "odr"))
+    return both.select(*KEYS, "n", "r", "r2", F.explode(F.array(*one)).alias("_f")).select(*KEYS, "_f.method", "n", "_f.b0", "_f.b1", "r", "r2").where("b1 IS NOT NULL")
+
+
+def coefficients(found: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``fits`` of what Grubbs' test leaves of ``pairs``, for those who don't ask for residuals. ``found`` is read twice."""
+    return fits(robust.grubbs(found, KEYS, "x", alpha))
+
+
 def lines(found: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(scene, scene_band, method, n, b0, b1, r, r2, residual statistics): both regressions of what Grubbs' test leaves of ``pairs``."""
     found = kept(found)
