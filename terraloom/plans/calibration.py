@@ -88,14 +88,11 @@ def coefficients(found: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def lines(found: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(scene, scene_band, method, n, b0, b1, r, r2, residual statistics): both regressions of what Grubbs' test leaves of ``pairs``."""
-    found = kept(found)
-    left = kept(robust.grubbs(found, KEYS, "x", alpha))
-    both = kept(regress.lines(left, KEYS))
-    parts = []
-    for method in ("ols", "odr"):
-        one = both.select(*KEYS, "n", F.col(f"{method}_b0").alias("b0"), F.col(f"{method}_b1").alias("b1"), "r", "r2").where("b1 IS NOT NULL")
-        parts.append(one.join(regress.residual_stats(left, one, KEYS, "b0", "b1").drop("n"), list(KEYS)).withColumn("method", F.lit(method)))
-    return parts[0].unionByName(parts[1])
+    left = kept(robust.grubbs(kept(found), KEYS, "x", alpha))
+    both, keys = kept(fits(left)), (*KEYS, "method")
+    # each row once for either method, so that one plan tells the residuals of both
+    rows = left.withColumn("method", F.explode(F.array(F.lit("ols"), F.lit("odr"))))
+    return both.join(regress.residual_stats(rows, both, keys, "b0", "b1").drop("n"), list(keys))
 
 
 def calibrated(cells: DataFrame, bands: Mapping[int, str], fitted: DataFrame, method: str = "odr") -> DataFrame:

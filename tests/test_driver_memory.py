@@ -30,7 +30,7 @@ def _broadcasts(spark, run):
     return rows
 
 
-@pytest.mark.parametrize("name", ["f10c_calibrated_scenes", "f10c_g05_differences"])
+@pytest.mark.parametrize("name", ["f10c_calibrated_scenes", "f10c_g05_differences", "f10c_k06_scene_report"])
 def test_relations_on_the_driver_are_of_fixed_size(spark, sf_dir, name):
     rows = _broadcasts(spark, lambda: entry.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
     assert rows and max(rows) <= FEW
